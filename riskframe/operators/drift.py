@@ -37,7 +37,7 @@ def kolmogorov_p(d: Column, en: Column, terms: int = 100) -> Column:
     """Asymptotic two-sample KS p-value with Stephens' small-sample factor:
     Q(lambda) = 2 sum_j (-1)^(j-1) exp(-2 j^2 lambda^2)."""
     s = F.sqrt(en)
-    lam = (s + F.lit(0.12) + F.lit(0.11) / s) * d
+    lam = (s + F.lit(0.12) + F.try_divide(F.lit(0.11), s)) * d
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
                          lambda acc, j: acc + F.lit(2.0) * F.when(j % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
                          * F.exp(F.lit(-2.0) * j * j * lam * lam))
@@ -52,10 +52,10 @@ def ks_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], n_bu
     cum = running_sum(counts, "value", ["n_ref", "n_cur"], ["feature"], n_buckets=n_buckets)
     tot = counts.groupBy("feature").agg(F.sum("n_ref").alias("tot_ref"), F.sum("n_cur").alias("tot_cur"))
     j = cum.join(F.broadcast(tot), "feature")
-    gap = F.abs(F.col("cum_n_ref") / F.col("tot_ref") - F.col("cum_n_cur") / F.col("tot_cur"))
+    gap = F.abs(F.try_divide(F.col("cum_n_ref"), F.col("tot_ref")) - F.try_divide(F.col("cum_n_cur"), F.col("tot_cur")))
     ks = j.groupBy("feature").agg(F.max(gap).alias("D"), F.first("tot_ref").alias("n_ref"),
                                   F.first("tot_cur").alias("n_cur"))
-    en = F.col("n_ref") * F.col("n_cur") / (F.col("n_ref") + F.col("n_cur"))
+    en = F.try_divide(F.col("n_ref") * F.col("n_cur"), F.col("n_ref") + F.col("n_cur"))
     feats = reference.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
     out = feats.join(ks, "feature", "left")
     empty = F.coalesce(F.col("n_ref"), F.lit(0)) * F.coalesce(F.col("n_cur"), F.lit(0)) == 0
