@@ -121,3 +121,40 @@ def raw_importance(imp: DataFrame, raw_of: Column, max_contrib: int = 5) -> Data
         F.slice(F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("neg_imp"), F.col("feature")))), 1, max_contrib)
         .alias("__top"))
     return g.select("raw_feature", "importance", "n_derived", F.transform("__top", lambda s: s["feature"]).alias("top_contributors"))
+
+
+# ---------------------------------------------------------------- feature provenance and labels
+
+# fixed values: prefixes of aggregated feature families
+AGG_PREFIXES = ("BUREAU_", "PREV_", "POS_", "CC_", "INST_")
+
+
+def feature_source(name: Column, raw: Sequence[str]) -> Column:
+    """RW raw input / PL polynomial / AG child-table aggregate / DM domain."""
+    agg = None
+    for p in AGG_PREFIXES:
+        c = name.startswith(p)
+        agg = c if agg is None else agg | c
+    return (F.when(name.isin(*raw), "RW").when(name.startswith("POLY_"), "PL").when(agg, "AG").otherwise("DM"))
+
+
+def feature_table(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """(feature, n_non_null) for every column: one aggregate, stacked."""
+    cols = [c for c in df.columns if c not in key]
+    wide = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("n_non_null"))
+                                           for c in cols])).alias("s")).select("s.*")
+
+
+def format_value(v: Column, is_integral: bool = False) -> Column:
+    """NA for missing; integers with thousands separators; |x| >= 1000 -> no
+    decimals, >= 1 -> 2 decimals, else 4 decimals."""
+    if is_integral:
+        return F.when(v.isNull(), "NA").otherwise(F.format_number(v, 0))
+    a = F.abs(v)
+    return (F.when(v.isNull(), "NA").when(a >= 1000, F.format_number(v, 0))
+            .when(a >= 1, F.format_number(v, 2)).otherwise(F.format_number(v, 4)))
+
+
+def format_label(name: Column, source: Column, missing: Column) -> Column:
+    return F.concat(F.when(missing, F.lit("[M] ")).otherwise(F.lit("")), name, F.lit(" ("), source, F.lit(")"))

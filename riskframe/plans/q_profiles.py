@@ -467,3 +467,84 @@ reg("diff_bands", f"SELECT COUNT(*) AS n, {rnd_sql(f'AVG({_DD})')} AS mean_abs_d
     + ", ".join(f"CAST(COUNT_IF({_DD} {op}) AS BIGINT) AS {n}" for n, op in [
         ("n_lt_1e4", "< 1e-4"), ("n_lt_01", "< 0.01e0"), ("n_lt_05", "< 0.05e0"), ("n_lt_10", "< 0.10e0"), ("n_ge_10", ">= 0.10e0")])
     + " FROM lineitem")
+
+
+# ---------------------------------------------------------------- B26 / format labels
+
+def _provenance_frame(spark, d):
+    from riskframe.operators import features as FT
+    from riskframe.operators import loan
+    from riskframe.plans.q_features import POLY_COLS
+    from riskframe.plans.q_marts import CREDIT_ACTIVE_VOCAB
+    app = role(spark, d, "application")
+    m = app.join(loan.rollup_bureau(role(spark, d, "bureau"), CREDIT_ACTIVE_VOCAB), "SK_ID_CURR", "left")
+    return FT.poly_features(FT.domain_features(m), POLY_COLS, 2), app.columns
+
+
+@query("feature_class")
+def q_feature_class(spark, d):
+    wide, raw = _provenance_frame(spark, d)
+    t = P.feature_table(wide, ["SK_ID_CURR"])
+    return t.withColumn("source", P.feature_source(F.col("feature"), raw))
+
+
+def _feature_class_sql():
+    import itertools
+    from riskframe.plans.bind import _application
+    from riskframe.plans.q_features import DOMAIN, POLY_COLS
+    from riskframe.plans.q_marts import B_D, B_O, _bureau_final
+    raw = [n for n, _ in _application("duckdb")]
+    exprs = {c: c for c in raw if c != "SK_ID_CURR"}
+    exprs["DAYS_EMPLOYED"] = "NULLIF(DAYS_EMPLOYED, 365243)"
+    for c in B_O + B_D:
+        exprs[c] = c
+    for n, e, _ in DOMAIN:
+        exprs[n] = e
+    for a, b in itertools.combinations_with_replacement(POLY_COLS, 2):
+        exprs[f"POLY_{a}_pow_2" if a == b else f"POLY_{a}_x_{b}"] = "1"   # median-filled: never NULL
+    agg = set(["BUREAU_", "PREV_", "POS_", "CC_", "INST_"])
+
+    def src(n):
+        if n in raw:
+            return "RW"
+        if n.startswith("POLY_"):
+            return "PL"
+        if any(n.startswith(p) for p in agg):
+            return "AG"
+        return "DM"
+    base = (f"(SELECT a.*, b.* EXCLUDE (SK_ID_CURR) FROM application a LEFT JOIN ({_bureau_final()}) b "
+            "ON a.SK_ID_CURR = b.SK_ID_CURR) m")
+    parts = [f"SELECT '{n}' AS feature, COUNT({e}) AS n_non_null, '{src(n)}' AS source FROM {base}" for n, e in exprs.items()]
+    return with_roles("application", "bureau") + " UNION ALL ".join(parts)
+
+
+reg("feature_class", _feature_class_sql())
+
+LABEL_COLS = [("AMT_INCOME_TOTAL", False), ("AMT_CREDIT", False), ("EXT_SOURCE_1", False), ("OWN_CAR_AGE", True),
+              ("CNT_CHILDREN", True)]
+
+
+@query("format_labels")
+def q_format_labels(spark, d):
+    a = role(spark, d, "application")
+    parts = []
+    for c, integral in LABEL_COLS:
+        parts.append(a.select("SK_ID_CURR", F.lit(c).alias("feature"),
+                              P.format_label(F.lit(c), F.lit("RW"), F.col(c).isNull()).alias("label"),
+                              P.format_value(F.col(c), integral).alias("value_text")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _fmt_sql(c, integral):
+    if integral:
+        return f"CASE WHEN {c} IS NULL THEN 'NA' ELSE format('{{:,}}', CAST({c} AS BIGINT)) END"
+    return (f"CASE WHEN {c} IS NULL THEN 'NA' WHEN abs({c}) >= 1000 THEN format('{{:,.0f}}', CAST({c} AS DOUBLE)) "
+            f"WHEN abs({c}) >= 1 THEN format('{{:,.2f}}', CAST({c} AS DOUBLE)) ELSE format('{{:,.4f}}', CAST({c} AS DOUBLE)) END")
+
+
+reg("format_labels", with_roles("application") + " UNION ALL ".join(
+    f"SELECT SK_ID_CURR, '{c}' AS feature, CASE WHEN {c} IS NULL THEN '[M] ' ELSE '' END || '{c} (RW)' AS label, "
+    f"{_fmt_sql(c, i)} AS value_text FROM application" for c, i in LABEL_COLS))

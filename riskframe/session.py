@@ -45,7 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = d.get() if d.isDefined() else None
     if not d:
+        # only reached when the session names no shared folder (tests, local runs)
         d = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # some deployments reject runtime changes of core settings
+            pass
     spark.sparkContext.setCheckpointDir(d)
     return d
