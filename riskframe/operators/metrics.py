@@ -61,13 +61,11 @@ def score_table(df: DataFrame, label: str, score: str, groups: Sequence[str] = (
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def curve_table(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), n_buckets: int = 256) -> DataFrame:
+def curve_table(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
     """Per distinct threshold (descending): cumulative tp / fp and class totals."""
     st = score_table(df, label, score, groups)
-    cum = running_sum(st, "score", ["pos", "neg"], groups, ascending=False, n_buckets=n_buckets)
-    tot = st.groupBy(*groups).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = cum.join(F.broadcast(tot), list(groups), "inner") if groups else cum.crossJoin(F.broadcast(tot))
-    return j.withColumnRenamed("cum_pos", "tp").withColumnRenamed("cum_neg", "fp")
+    cum = running_sum(st, "score", ["pos", "neg"], groups, ascending=False, n_buckets=n_buckets, totals=True)
+    return cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "tot_pos": "P", "tot_neg": "N"})
 
 
 def roc_auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -21,17 +21,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+MIN_BUCKETS, MAX_BUCKETS = 8, 1024
+
+
+def default_buckets(spark) -> int:
+    """One order range per shuffle partition: the cluster's configured
+    parallelism, so each range window is one task's worth of rows."""
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except Exception:
+        n = 200
+    return max(MIN_BUCKETS, min(MAX_BUCKETS, n))
 
 
 def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups: Sequence[str] = (),
-                ascending: bool = True, n_buckets: int = DEFAULT_BUCKETS, prefix: str = "cum_") -> DataFrame:
+                ascending: bool = True, n_buckets: int | None = None, prefix: str = "cum_",
+                materialize: bool = True, totals: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows ordered by ``order_col`` up to
     and including the current row, per ``groups``.  Rows must be unique per
-    (groups, order_col)."""
+    (groups, order_col).  ``n_buckets`` defaults to the shuffle parallelism.
+
+    The (already aggregated) input is read three times -- edges, range
+    totals, windows -- so by default it is materialised once with a reliable
+    ``checkpoint()`` in ``spark.checkpoint.dir``: the raw data behind it is
+    scanned and shuffled once, and a lost executor re-reads the checkpoint
+    instead of recomputing the aggregation.  ``totals=True`` adds the group
+    totals ``tot_<c>`` (taken from the range table, no extra pass)."""
     groups = list(groups)
+    n_buckets = n_buckets or default_buckets(df.sparkSession)
     o = F.col(order_col).cast("double")
     d = df.withColumn("__o", o if ascending else -o)
+    if materialize:
+        from riskframe.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        d = d.checkpoint(eager=True)
     probs = [i / n_buckets for i in range(1, n_buckets)]
     edges = d.groupBy(*groups).agg(
         F.array_distinct(F.percentile_approx("__o", probs, 10000)).alias("__edges")) if groups else \
@@ -43,10 +66,15 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
     wt = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1) if groups else \
         Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     # window over (groups x n_buckets) bucket totals, not over data rows
+    extra = []
+    if totals:
+        wg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+        extra = [F.sum(f"__t_{c}").over(wg).alias(f"tot_{c}") for c in sum_cols]
     offs = tot.select(*groups, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wt), F.lit(0)).alias(f"__off_{c}")
-                                        for c in sum_cols])
+                                        for c in sum_cols], *extra)
     j = b.join(F.broadcast(offs), groups + ["__b"], "inner")
     w = Window.partitionBy(*groups, "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
     out = j.select(*[c for c in df.columns],
-                   *[(F.col(f"__off_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols])
+                   *[(F.col(f"__off_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols],
+                   *[F.col(f"tot_{c}") for c in sum_cols if totals])
     return out

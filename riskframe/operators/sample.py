@@ -63,7 +63,7 @@ def stratified_split(df: DataFrame, key: str, label: str, train_frac: float = 0.
     return df.withColumn("split", F.when(u < F.lit(train_frac), "train").otherwise("val"))
 
 
-def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed=42, n_buckets: int = 256) -> DataFrame:
+def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed=42, n_buckets: int | None = None) -> DataFrame:
     """fold = (rank of (hash, key) within the class) mod k -- exact ranks from
     a distributed running count over distinct hashes (no per-class window)."""
     h = with_hash(df, key, seed)
