@@ -68,18 +68,40 @@ def curve_table(df: DataFrame, label: str, score: str, groups: Sequence[str] = (
     return cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "tot_pos": "P", "tot_neg": "N"})
 
 
-def roc_auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Tie-aware ROC AUC: trapezoids between consecutive distinct thresholds."""
+def curve_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), beta: float = BETA) -> DataFrame:
+    """ROC AUC (tie-aware trapezoids), average precision (step sum) and the
+    best F-beta with its threshold and cost -- one pass over one curve table."""
     c = curve_table(df, label, score, groups)
-    area = F.col("neg") * (F.lit(2.0) * F.col("tp") - F.col("pos")) / F.lit(2.0)
-    return c.groupBy(*groups).agg(F.try_divide(F.sum(area), F.first("P") * F.first("N")).alias("roc_auc"))
+    b2 = beta * beta
+    tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
+    fn = F.col("P") - tp
+    area = neg * (F.lit(2.0) * tp - pos) / F.lit(2.0)
+    ap = F.when(F.col("P") > 0, pos / F.col("P") * (tp / (tp + fp)))
+    fb = _z(F.lit(1 + b2) * tp, F.lit(1 + b2) * tp + F.lit(b2) * fn + fp)
+    cost = F.lit(COST_FN) * fn + F.lit(COST_FP) * fp
+    r = c.groupBy(*groups).agg(
+        F.try_divide(F.sum(area), F.first("P") * F.first("N")).alias("roc_auc"),
+        F.sum(ap).alias("average_precision"),
+        F.max(F.struct(fb.alias("fbeta"), (-F.col("score")).alias("neg_t"), cost.alias("c"))).alias("b"),
+        F.first("P").alias("__p"), F.first("N").alias("__n"))
+    return r.select(*groups, "roc_auc", "average_precision", F.col("b.fbeta").alias("best_fbeta"),
+                    (-F.col("b.neg_t")).alias("best_threshold"), F.col("b.c").alias("cost"),
+                    (F.col("b.c") / (F.col("__p") + F.col("__n"))).alias("avg_cost"))
+
+
+def roc_auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
+    return curve_metrics(df, label, score, groups).select(*groups, "roc_auc")
 
 
 def average_precision(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
-    """Step-sum AP = sum_k (R_k - R_{k-1}) P_k over distinct thresholds."""
-    c = curve_table(df, label, score, groups)
-    term = F.col("pos") / F.col("P") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    return c.groupBy(*groups).agg(F.sum(F.when(F.col("P") > 0, term)).alias("average_precision"))
+    return curve_metrics(df, label, score, groups).select(*groups, "average_precision")
+
+
+def best_fbeta(df: DataFrame, label: str, score: str, beta: float = BETA, groups: Sequence[str] = ()) -> DataFrame:
+    """Max F-beta over all distinct thresholds (predict positive when score >=
+    threshold); ties -> smallest threshold; cost 10 FN + FP at that threshold."""
+    return curve_metrics(df, label, score, groups, beta).select(
+        *groups, "best_fbeta", "best_threshold", "cost", "avg_cost")
 
 
 def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -94,20 +116,6 @@ def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
                     _z(F.col("tp"), F.col("P")).alias("recall"))
 
 
-def best_fbeta(df: DataFrame, label: str, score: str, beta: float = BETA, groups: Sequence[str] = ()) -> DataFrame:
-    """Max F-beta over all distinct thresholds (predict positive when score >=
-    threshold); ties -> smallest threshold; cost 10 FN + FP at that threshold."""
-    c = curve_table(df, label, score, groups)
-    b2 = beta * beta
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("P") - F.col("tp")
-    fb = _z(F.lit(1 + b2) * tp, F.lit(1 + b2) * tp + F.lit(b2) * fn + fp)
-    c = c.withColumn("fbeta", fb).withColumn("cost", F.lit(COST_FN) * fn + F.lit(COST_FP) * fp)
-    best = F.max(F.struct(F.col("fbeta"), (-F.col("score")).alias("neg_t"), F.col("cost").alias("c")))
-    r = c.groupBy(*groups).agg(best.alias("b"), F.first("P").alias("P"), F.first("N").alias("N"))
-    return r.select(*groups, F.col("b.fbeta").alias("best_fbeta"), (-F.col("b.neg_t")).alias("best_threshold"),
-                    F.col("b.c").alias("cost"), (F.col("b.c") / (F.col("P") + F.col("N"))).alias("avg_cost"))
-
-
 def threshold_grid(spark, n: int = 99, start: float = 0.01, step: float = 0.01) -> DataFrame:
     """Thresholds start + i*step (as doubles), i = 0..n-1."""
     return spark.range(n).select(F.col("id").alias("i"),

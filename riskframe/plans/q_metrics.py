@@ -213,10 +213,7 @@ MODELS_SQL = ("SELECT TARGET, 'quantity_model' AS model, PROBABILITY AS score FR
 @query("model_compare")
 def q_model_compare(spark, d):
     m = _models(spark, d)
-    auc = M.roc_auc(m, "TARGET", "score", ["model"])
-    ap = M.average_precision(m, "TARGET", "score", ["model"])
-    fb = M.best_fbeta(m, "TARGET", "score", groups=["model"])
-    return round_double_cols(auc.join(ap, "model").join(fb, "model").orderBy(F.col("roc_auc").desc()))
+    return round_double_cols(M.curve_metrics(m, "TARGET", "score", ["model"]).orderBy(F.col("roc_auc").desc()))
 
 
 reg("model_compare", W + f", m AS ({MODELS_SQL}) SELECT a.model, roc_auc, average_precision, best_fbeta, best_threshold, cost, avg_cost FROM "
