@@ -254,10 +254,11 @@ def range_rules(df: DataFrame, rules: Mapping[str, tuple], key: str) -> DataFram
 
 def outliers_iqr(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """Q1 - k IQR .. Q3 + k IQR per feature (exact quantiles), count and % of all rows."""
-    wide = df.agg(F.count(F.lit(1)).alias("__n"),
-                  *[F.percentile(F.col(c).cast("double"), 0.25).alias(f"q1__{c}") for c in cols],
-                  *[F.percentile(F.col(c).cast("double"), 0.75).alias(f"q3__{c}") for c in cols])
-    q = stack_row(wide, [(c, [f"q1__{c}", f"q3__{c}", "__n"]) for c in cols], ["q1", "q3", "n_rows"])
+    from riskframe.operators.ordered import column_quantiles
+    qs = column_quantiles(df, cols, [0.25, 0.75]).groupBy("feature").agg(
+        F.max(F.when(F.col("p_index") == 0, F.col("quantile"))).alias("q1"),
+        F.max(F.when(F.col("p_index") == 1, F.col("quantile"))).alias("q3"))
+    q = qs.crossJoin(df.agg(F.count(F.lit(1)).alias("n_rows")))
     q = q.withColumn("lower", F.col("q1") - F.lit(k) * (F.col("q3") - F.col("q1"))) \
          .withColumn("upper", F.col("q3") + F.lit(k) * (F.col("q3") - F.col("q1")))
     long = unpivot(df, [], cols)

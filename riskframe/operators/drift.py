@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.operators.checks import unpivot
-from riskframe.operators.ordered import running_sum
+from riskframe.operators.ordered import exact_quantiles, running_sum
 
 # fixed values: smoothing constants, bin count, alert level and interpretation labels
 PSI_BINS = 10
@@ -67,8 +67,9 @@ def psi(reference: DataFrame, current: DataFrame, cols: Sequence[str], n_bins: i
     cover both sides, last bin closed, +1e-6 smoothing."""
     ref, cur = _long(reference, cols, "ref"), _long(current, cols, "cur")
     probs = [i / n_bins for i in range(n_bins + 1)]
-    qs = ref.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("value", probs))).alias("q"),
-                                    F.min("value").alias("rmin"), F.max("value").alias("rmax"))
+    # exact reference deciles per feature, computed without gathering a feature's values in one task
+    qs = exact_quantiles(ref, "value", probs, ["feature"]).groupBy("feature").agg(
+        F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("q"))
     cm = cur.groupBy("feature").agg(F.min("value").alias("cmin"), F.max("value").alias("cmax"))
     # edges: one row per feature with <= n_bins + 1 values -> bounded broadcast
     edges = qs.join(cm, "feature", "inner").where(F.size("q") >= 2).select(

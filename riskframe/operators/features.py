@@ -301,8 +301,8 @@ def pick_poly_columns(df: DataFrame, max_features: int = 15, priority: Sequence[
 
 def fit_medians(df: DataFrame, cols: Sequence[str]) -> dict:
     """Exact median per column in one aggregate (state: one value per column)."""
-    row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    from riskframe.operators.fit import fit_medians as _fit
+    return _fit(df, cols)
 
 
 def poly_features(df: DataFrame, cols: Sequence[str], degree: int = 2, interaction_only: bool = False,

@@ -41,21 +41,31 @@ def one_hot(df: DataFrame, vocab: Mapping[str, Sequence], cols: Sequence[str], d
 
 def fit_impute(df: DataFrame, strategies: Mapping[str, str | tuple]) -> dict:
     """strategy per column: 'median' | 'mean' | 'mode' | ('constant', v)."""
-    aggs = []
+    med = fit_medians(df, [c for c, s in strategies.items() if s == "median"])
+    means = [c for c, s in strategies.items() if s == "mean"]
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in means]).first() if means else None
+    state = {}
     for c, s in strategies.items():
-        if s == "median":
-            aggs.append(F.median(F.col(c).cast("double")).alias(c))
+        if isinstance(s, tuple):
+            state[c] = s[1]
+        elif s == "median":
+            state[c] = med[c]
         elif s == "mean":
-            aggs.append(F.avg(F.col(c).cast("double")).alias(c))
+            state[c] = row[c]
         elif s == "mode":
-            aggs.append(F.mode(F.col(c), True).alias(c))     # deterministic: smallest on ties
-    row = df.agg(*aggs).first() if aggs else None
-    state = {}
-    for c, s in strategies.items():
-        state[c] = s[1] if isinstance(s, tuple) else row[c]
+            state[c] = fit_mode(df, c)
     return state
 
 
+def fit_mode(df: DataFrame, c: str):
+    """Most frequent non-null value, smallest on ties (counts per value first,
+    so no task holds more than one value's count)."""
+    vc = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+    top = vc.agg(F.max("__n").alias("__m"))
+    r = vc.join(top, vc["__n"] == top["__m"]).agg(F.min(c).alias("mode")).first()
+    return r["mode"]
+
+
 def impute(df: DataFrame, state: Mapping[str, object], indicator: bool = True) -> DataFrame:
     new = {}
     for c, v in state.items():
@@ -66,9 +76,12 @@ def impute(df: DataFrame, state: Mapping[str, object], indicator: bool = True) -
 
 
 def fit_medians(df: DataFrame, cols: Sequence[str] | None = None) -> dict:
-    cols = cols or [c for c in df.columns if is_numeric(df, c)]
-    row = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+    """Exact median per column (distributed quantiles; one value per column
+    reaches the driver; all-missing columns map to None)."""
+    from riskframe.operators.ordered import column_quantiles
+    cols = list(cols or [c for c in df.columns if is_numeric(df, c)])
+    got = {r.feature: r.quantile for r in column_quantiles(df, cols, [0.5]).collect()}
+    return {c: got.get(c) for c in cols}
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], train_medians: Mapping[str, float]) -> DataFrame:

@@ -31,11 +31,13 @@ def latest_metric(log: DataFrame, metric: str, value: str, ts: str) -> DataFrame
 
 def request_stats(log: DataFrame, ts: str, latency: str, is_error, by_day: bool = True) -> DataFrame:
     """Volume, error rate and exact latency p50 / p95 / p99."""
-    g = [F.to_date(ts).cast("string").alias("day")] if by_day else []
-    return log.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n_requests"), F.avg(is_error.cast("double")).alias("error_rate"),
-        F.percentile(latency, 0.5).alias("p50_ms"), F.percentile(latency, 0.95).alias("p95_ms"),
-        F.percentile(latency, 0.99).alias("p99_ms"))
+    from riskframe.operators.ordered import exact_quantiles
+    d = log.withColumn("day", F.to_date(ts).cast("string")) if by_day else log
+    g = ["day"] if by_day else []
+    base = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n_requests"), F.avg(is_error.cast("double")).alias("error_rate"))
+    q = exact_quantiles(d, latency, [0.5, 0.95, 0.99], g).groupBy(*g).agg(
+        *[F.max(F.when(F.col("p_index") == i, F.col("quantile"))).alias(n) for i, n in enumerate(["p50_ms", "p95_ms", "p99_ms"])])
+    return base.join(q, g, "left") if g else base.crossJoin(q)
 
 
 def retention(df: DataFrame, ts: str, days: int = 180, as_of=None) -> DataFrame:

@@ -78,3 +78,42 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
                    *[(F.col(f"__off_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols],
                    *[F.col(f"tot_{c}") for c in sum_cols if totals])
     return out
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], groups: Sequence[str] = (),
+                    n_buckets: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / numpy default, same as
+    Spark's ``percentile``) without holding a group's values in one task.
+
+    Count per distinct value -> distributed running count -> every distinct
+    value knows the rank interval it covers; the few target ranks
+    (floor / ceil of (n-1) p) are matched against those intervals row-locally.
+    Returns (groups..., p_index, p, quantile); groups with no non-null value
+    are absent."""
+    groups = list(groups)
+    v = F.col(value_col).cast("double")
+    counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    cum = running_sum(counts, "__v", ["__c"], groups, n_buckets=n_buckets, totals=True)
+    first = F.col("cum___c") - F.col("__c")
+    last = F.col("cum___c") - 1
+    n = F.col("tot___c")
+    targets = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    with_h = F.transform(targets, lambda t: F.struct(
+        t["pi"].alias("pi"), t["p"].alias("p"), ((n - 1).cast("double") * t["p"]).alias("h"),
+        F.floor((n - 1).cast("double") * t["p"]).alias("lo"), F.ceil((n - 1).cast("double") * t["p"]).alias("hi")))
+    hit = F.filter(with_h, lambda t: ((t["lo"] >= first) & (t["lo"] <= last)) | ((t["hi"] >= first) & (t["hi"] <= last)))
+    x = cum.select(*groups, "__v", first.alias("__f"), last.alias("__l"), F.explode(hit).alias("t"))
+    in_lo = (F.col("t.lo") >= F.col("__f")) & (F.col("t.lo") <= F.col("__l"))
+    in_hi = (F.col("t.hi") >= F.col("__f")) & (F.col("t.hi") <= F.col("__l"))
+    g = x.groupBy(*groups, F.col("t.pi").alias("p_index"), F.col("t.p").alias("p")).agg(
+        F.max(F.when(in_lo, F.col("__v"))).alias("__lo_v"), F.max(F.when(in_hi, F.col("__v"))).alias("__hi_v"),
+        F.first("t.h").alias("__h"), F.first("t.lo").alias("__lo"))
+    q = F.col("__lo_v") + (F.col("__h") - F.col("__lo")) * (F.col("__hi_v") - F.col("__lo_v"))
+    return g.select(*groups, "p_index", "p", q.alias("quantile"))
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """exact_quantiles for several columns at once: (feature, p_index, p, quantile)."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                                         for c in cols])).alias("__s")).select("__s.*")
+    return exact_quantiles(long, "value", probs, ["feature"])

@@ -24,11 +24,14 @@ def crosstab_pct(df: DataFrame, row: str, col: str) -> DataFrame:
 
 
 def describe_by(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    from riskframe.operators.ordered import exact_quantiles
     v = F.col(value).cast("double")
-    return df.groupBy(*group).agg(
+    base = df.groupBy(*group).agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-        F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.75).alias("p75"),
         F.max(v).alias("max"))
+    q = exact_quantiles(df, value, [0.25, 0.5, 0.75], group).groupBy(*group).agg(
+        *[F.max(F.when(F.col("p_index") == i, F.col("quantile"))).alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
+    return base.join(q, list(group), "left")
 
 
 def category_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -469,7 +469,10 @@ reg("decision", SCORED_WITH + (
 def q_quantile_band(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     # one-row quantile table: a broadcast of bounded (1-row) size
-    q = c.agg(F.percentile("c_acctbal", 0.9).alias("p90"), F.percentile("c_acctbal", 0.1).alias("p10"))
+    from riskframe.operators.ordered import exact_quantiles
+    q = exact_quantiles(c, "c_acctbal", [0.9, 0.1]).agg(
+        F.max(F.when(F.col("p_index") == 0, F.col("quantile"))).alias("p90"),
+        F.max(F.when(F.col("p_index") == 1, F.col("quantile"))).alias("p10"))
     out = c.crossJoin(F.broadcast(q)).select(
         "c_custkey", F.when(F.col("c_acctbal") >= F.col("p90"), "High")
         .when(F.col("c_acctbal") <= F.col("p10"), "Low").otherwise("Medium").alias("risk_category"))

@@ -96,10 +96,9 @@ reg("impute_mode", APP + "SELECT SK_ID_CURR, COALESCE(OCCUPATION_TYPE, (SELECT O
 
 @query("fit_medians")
 def q_fit_medians(spark, d):
-    a = _app(spark, d)
-    wide = a.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in NUMS])
-    return round_double_cols(wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("median"))
-                                                             for c in NUMS])).alias("s")).select("s.*"))
+    from riskframe.operators.ordered import column_quantiles
+    q = column_quantiles(_app(spark, d), NUMS, [0.5]).select("feature", F.col("quantile").alias("median"))
+    return round_double_cols(q)
 
 
 reg("fit_medians", APP + " UNION ALL ".join(f"SELECT '{c}' AS feature, {rnd_sql(f'MEDIAN(CAST({c} AS DOUBLE))')} AS median FROM application" for c in NUMS))

@@ -73,7 +73,9 @@ reg("stream_dedup", "SELECT event_type, COUNT(DISTINCT event_id) AS n_events FRO
 def _ref_edges(spark, d):
     from riskframe.plans.q_drift import events_split
     ref, _ = events_split(spark, d)
-    q = ref.agg(F.array_sort(F.array_distinct(F.percentile("value", [i / 10 for i in range(11)]))).alias("q"))
+    from riskframe.operators.ordered import exact_quantiles
+    q = exact_quantiles(ref, "value", [i / 10 for i in range(11)]).agg(
+        F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("q"))
     return q.select(F.slice("q", 2, F.size("q") - 2).alias("inner"))
 
 
