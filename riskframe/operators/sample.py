@@ -3,8 +3,8 @@
 The hash is md5 of (key, seed) -- a pure function of the row, so results do
 not depend on partitioning or executor loss, and the same rows are picked by
 the SQL oracle.  Per-group "first n by hash" never sorts a whole group in one
-task: a 65,536-bucket hash histogram per group fixes an exact cut-off bucket
-first, and only rows at or below it are ranked.
+task: a 65,536-bucket hash histogram per group fixes an exact cut-off bucket;
+buckets below it are taken whole and only the cut bucket is ranked.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ def with_hash(df: DataFrame, key: str, seed=42, name: str = "__h") -> DataFrame:
 def hash_top_n(df: DataFrame, key: str, n, groups: Sequence[str] = (), seed=42) -> DataFrame:
     """Exactly the ``n`` rows with the smallest (hash, key) per group.
 
-    ``n`` is an int or a column expression evaluated per group (e.g. from a
-    per-group count).  Histogram -> cut-off bucket -> rank the candidates."""
+    ``n`` is an int or a one-row / per-group DataFrame with column ``__n``.
+    Histogram -> cut-off bucket -> rank only the cut bucket's rows."""
     groups = list(groups)
     h = with_hash(df, key, seed).withColumn("__bk", F.floor(F.col("__h") / F.lit(4294967296 // HIST_BUCKETS)))
     hist = h.groupBy(*groups, "__bk").agg(F.count(F.lit(1)).alias("__c"))
@@ -41,12 +41,17 @@ def hash_top_n(df: DataFrame, key: str, n, groups: Sequence[str] = (), seed=42)
     else:
         hist = hist.join(n, groups) if groups else hist.crossJoin(n)
     cut = hist.where(F.col("__cum") - F.col("__c") < F.col("__n")).groupBy(*groups).agg(
-        F.max("__bk").alias("__cut"), F.first("__n").alias("__n"))
+        F.max(F.struct(F.col("__bk").alias("bk"), (F.col("__cum") - F.col("__c")).alias("before"))).alias("__m"),
+        F.first("__n").alias("__n"))
+    cut = cut.select(*groups, F.col("__m.bk").alias("__cut"), (F.col("__n") - F.col("__m.before")).alias("__need"))
     cand = h.join(F.broadcast(cut), groups, "inner") if groups else h.crossJoin(F.broadcast(cut))
-    cand = cand.where(F.col("__bk") <= F.col("__cut"))
+    # buckets below the cut are taken whole; only the cut bucket (~1/65,536 of
+    # a group) is ranked, so no task sorts a whole (possibly hot) group
+    below = cand.where(F.col("__bk") < F.col("__cut"))
+    edge = cand.where(F.col("__bk") == F.col("__cut"))
     rw = (Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))).orderBy("__h", key)
-    return cand.withColumn("__r", F.row_number().over(rw)).where(F.col("__r") <= F.col("__n")).drop(
-        "__h", "__bk", "__cut", "__n", "__r")
+    edge = edge.withColumn("__r", F.row_number().over(rw)).where(F.col("__r") <= F.col("__need")).drop("__r")
+    return below.unionByName(edge).drop("__h", "__bk", "__cut", "__need")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
