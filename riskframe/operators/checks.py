@@ -362,3 +362,39 @@ def quality_gate(df: DataFrame, expected: Sequence[str], max_missing_pct: float
         F.concat_ws("; ", F.when(~ok, F.lit("INVALID")).otherwise(F.lit("VALID")),
                     F.format_string("%d columns above %.0f%% missing", F.col("n_bad_columns"), F.lit(max_missing_pct)),
                     F.lit(f"{len(missing_cols)} expected columns absent")).alias("summary"))
+
+
+# ---------------------------------------------------------------- set logic on schemas
+
+def _one_row(spark, row: tuple, ddl: str) -> DataFrame:
+    return spark.createDataFrame([row], ddl)
+
+
+def feature_set_match(df: DataFrame, expected: Sequence[str], exact: bool = True) -> DataFrame:
+    """Missing and extra feature names; ``exact`` also requires no extras."""
+    have = list(df.columns)
+    missing = [c for c in expected if c not in have]
+    extra = [c for c in have if c not in expected]
+    ok = not missing and (not extra or not exact)
+    return _one_row(df.sparkSession, (missing, extra, ok),
+                    "missing array<string>, extra array<string>, is_match boolean")
+
+
+def critical_coverage(df: DataFrame, critical: Sequence[str], threshold: float = 0.85) -> DataFrame:
+    """Share of critical columns present; passes at >= threshold."""
+    present = [c for c in critical if c in df.columns]
+    share = len(present) / len(critical) if critical else 1.0
+    return _one_row(df.sparkSession, (len(present), len(critical), float(share), share >= threshold,
+                                      [c for c in critical if c not in df.columns]),
+                    "n_present long, n_critical long, coverage double, passes boolean, absent array<string>")
+
+
+def required_tables(spark, provided: Sequence[str], required: Sequence[str]) -> DataFrame:
+    missing = sorted(set(required) - set(provided))
+    return _one_row(spark, (missing, not missing), "missing_tables array<string>, complete boolean")
+
+
+def column_overlap(current: DataFrame, reference: DataFrame) -> DataFrame:
+    cur, ref = set(current.columns), set(reference.columns)
+    return _one_row(current.sparkSession, (sorted(cur & ref), sorted(cur - ref), sorted(ref - cur)),
+                    "shared array<string>, only_current array<string>, only_reference array<string>")

@@ -120,3 +120,35 @@ def explain_text(contribs: DataFrame, key: Sequence[str], top: int = 5) -> DataF
         (-F.abs("contribution")).alias("neg_abs"), "feature", "value", "contribution"))), 1, top).alias("t"))
     txt = F.transform("t", lambda s: F.format_string("%s (%.4f): %+.3f", s["feature"], s["value"], s["contribution"]))
     return g.select(*key, F.concat_ws("; ", txt).alias("explanation"))
+
+
+def feature_importance(model, features: Sequence[str], raw: Sequence[str] = ()) -> DataFrame:
+    """Tree-model importances as a (feature, importance, source) table."""
+    from riskframe.operators.profile import feature_source
+    from pyspark.sql import SparkSession
+    spark = SparkSession.active()
+    imp = model.stages[-1].featureImportances.toArray().tolist()
+    df = spark.createDataFrame(list(zip(features, [float(x) for x in imp])), "feature string, importance double")
+    return df.withColumn("source", feature_source(F.col("feature"), list(raw)))
+
+
+def submission(model, df: DataFrame, key: str, threshold: float) -> DataFrame:
+    """id, probability of default, class at the chosen threshold."""
+    s = score(model, df, [key])
+    return s.select(key, "probability", (F.col("probability") >= F.lit(threshold)).cast("int").alias("predicted_class"))
+
+
+def random_search(df: DataFrame, features: Sequence[str], label: str, key: str, folds: DataFrame,
+                  grid: Mapping[str, Sequence], n_trials: int = 5, seed: int = 42, kind: str = "lr") -> DataFrame:
+    """Seeded random search: each trial is a k-fold CV (distributed fits);
+    returns one row per trial with the mean metrics."""
+    import random
+    rnd = random.Random(seed)
+    rows = None
+    for t in range(n_trials):
+        params = {k: rnd.choice(list(v)) for k, v in grid.items()}
+        _, mets = cross_validate(df, features, label, key, folds, kind=kind, **params)
+        r = mets.agg(F.avg("roc_auc").alias("roc_auc"), F.avg("best_fbeta").alias("best_fbeta")).select(
+            F.lit(t).alias("trial"), F.lit(str(sorted(params.items()))).alias("params"), "*")
+        rows = r if rows is None else rows.unionByName(r)
+    return rows

@@ -229,3 +229,19 @@ def q_batch_export(spark, d):
 reg("batch_export", (f"SELECT event_id, user_id, {rnd_sql('LEAST(value / 500e0, 1e0)')} AS probability, CASE WHEN LEAST(value / 500e0, 1e0) < 0.3e0 "
                      "THEN 'LOW' WHEN LEAST(value / 500e0, 1e0) < 0.5e0 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level FROM events "
                      "WHERE CAST(ts AS DATE) = (SELECT MAX(CAST(ts AS DATE)) FROM events) ORDER BY ts, event_id"))
+
+
+@query("append_partitioned")
+def q_append_partitioned(spark, d):
+    """Batch predictions appended batch by batch to a Parquet table
+    partitioned by batch date, then read back."""
+    lg = prediction_log(T_(spark, d, "events")).select("event_id", "batch_date", "probability", "risk_level")
+    path = IO.scratch_path(spark, "predictions")
+    split = F.lit("2024-01-16").cast("date")
+    IO.write_parquet(lg.where(F.col("batch_date") < split), path, ["batch_date"], mode="append")
+    IO.write_parquet(lg.where(F.col("batch_date") >= split), path, ["batch_date"], mode="append")
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("batch_date").cast("string").alias("batch_date")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+reg("append_partitioned", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS batch_date, COUNT(*) AS n_rows FROM events GROUP BY 1")

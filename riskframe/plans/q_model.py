@@ -131,3 +131,20 @@ reg("explain_text", APP + (
     "SELECT SK_ID_CURR, string_agg(printf('%s (%.4f): %+.3f', feature, value, contribution), '; ' ORDER BY abs(contribution) DESC, feature) "
     f"AS explanation FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY SK_ID_CURR ORDER BY abs(contribution) DESC, feature) AS rn FROM ({_CONTRIB_SQL}) c "
     "WHERE contribution IS NOT NULL) r WHERE rn <= 3 GROUP BY SK_ID_CURR"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, d):
+    """Random-forest importances with provenance tags."""
+    tr, _ = _data(spark, d)
+    model = MD.fit(tr, FEATS, "TARGET", "rf", numTrees=50)
+    raw = role(spark, d, "application").columns
+    return MD.feature_importance(model, FEATS, raw)
+
+
+@query("submission")
+def q_submission(spark, d):
+    """K8: final fit on the training part, scored rest as (id, probability, class)."""
+    tr, va = _data(spark, d)
+    model = MD.fit(tr, FEATS, "TARGET", "lr")
+    return MD.submission(model, va, "SK_ID_CURR", 0.5)

@@ -124,3 +124,11 @@ reg("stream_score", (
     "WITH st AS (SELECT event_type, AVG(value) AS m FROM events WHERE ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY 1) "
     f"SELECT event_id, events.event_type, {rnd_sql('value')} AS value, {rnd_sql('value / (m + 1e-5)')} AS value_vs_type_mean "
     "FROM events LEFT JOIN st ON events.event_type = st.event_type"))
+
+
+@query("stream_late")
+def q_stream_late(spark, d):
+    """M5: late arrivals beyond the watermark are dropped and counted."""
+    windows, dropped = J.late_data(spark, d)
+    return windows.agg(F.count(F.lit(1)).alias("n_windows_emitted"), F.sum("n").alias("n_rows_emitted")).withColumn(
+        "n_rows_dropped_late", F.lit(dropped).cast("bigint"))

@@ -38,15 +38,14 @@ def query(key: str, sql: str | None = None, note: str = ""):
 def normalize_types(df: DataFrame) -> DataFrame:
     """Integral -> bigint, float/decimal -> double: one numeric type per kind
     so result schemas compare equal across engines."""
-    cols = []
-    changed = False
+    exprs, changed = [], False
     for f in df.schema.fields:
         t = f.dataType
-        c = F.col(f"`{f.name}`")
+        q = "`" + f.name.replace("`", "``") + "`"
         if isinstance(t, (T.IntegerType, T.ShortType, T.ByteType)):
-            cols.append(c.cast("bigint").alias(f.name)); changed = True
+            exprs.append(f"CAST({q} AS BIGINT) AS {q}"); changed = True
         elif isinstance(t, (T.FloatType, T.DecimalType)):
-            cols.append(c.cast("double").alias(f.name)); changed = True
+            exprs.append(f"CAST({q} AS DOUBLE) AS {q}"); changed = True
         else:
-            cols.append(c)
-    return df.select(*cols) if changed else df
+            exprs.append(q)
+    return df.selectExpr(*exprs) if changed else df

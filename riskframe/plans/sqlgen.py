@@ -62,12 +62,15 @@ def sql_agg(spec: Mapping[str, Sequence[str]], prefix: str, int_cols: Sequence[s
 
 
 def round_double_cols(df, d: int = 6, exclude: Sequence[str] = ()):
-    """Apply ``rnd`` to every double column of a Spark DataFrame."""
+    """Apply ``rnd`` to every double column (one ``selectExpr``: a single
+    analyzer pass however wide the table)."""
     from pyspark.sql import types as T
-    cols = []
+    g = GRID[d]
+    exprs = []
     for f in df.schema.fields:
+        q = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in exclude:
-            cols.append(rnd(F.col(f"`{f.name}`"), d).alias(f.name))
+            exprs.append(f"CAST(FLOOR(CAST({q} AS DOUBLE) * {g:.1f}D + 0.5D) AS DOUBLE) / {g:.1f}D AS {q}")
         else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)
+            exprs.append(q)
+    return df.selectExpr(*exprs)

@@ -20,14 +20,17 @@ def _nan_to_null(c: Column) -> Column:
 
 
 def nan_to_null_all(df: DataFrame) -> DataFrame:
-    """Replace NaN by NULL in every floating column (other columns untouched)."""
-    cols = []
+    """Replace NaN by NULL in every floating column (other columns untouched);
+    one ``selectExpr`` so wide tables cost one analyzer pass."""
+    exprs, changed = [], False
     for f in df.schema.fields:
+        q = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, FLOATING):
-            cols.append(_nan_to_null(F.col(f.name)).cast(f.dataType).alias(f.name))
+            exprs.append(f"CAST(CASE WHEN isnan({q}) THEN NULL ELSE {q} END AS {f.dataType.simpleString()}) AS {q}")
+            changed = True
         else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+            exprs.append(q)
+    return df.selectExpr(*exprs) if changed else df
 
 
 def read_table(spark: SparkSession, base: str, name: str, *, schema: T.StructType | None = None,

@@ -113,3 +113,30 @@ def test_threshold_grid_is_exact(spark):
     sw = {round(r.threshold, 2): r for r in M.threshold_sweep(df, "y", "s").collect()}
     assert sw[0.3].tp + sw[0.3].fp == 3  # 0.3, 0.99, 1.0 (0.29 stays below)
     assert sw[0.01].tp + sw[0.01].fp == 5
+
+
+def test_schema_set_checks(spark):
+    from riskframe.operators import checks as C
+    df = spark.createDataFrame([(1, 2.0, "x")], "a long, b double, c string")
+    r = C.feature_set_match(df, ["a", "b", "d"]).first()
+    assert r.missing == ["d"] and r.extra == ["c"] and not r.is_match
+    cov = C.critical_coverage(df, ["a", "b", "c", "d", "e", "f", "g"], 0.85).first()
+    assert cov.n_present == 3 and not cov.passes
+    assert C.required_tables(spark, ["app", "bureau"], ["app", "bureau", "prev"]).first().missing_tables == ["prev"]
+
+
+def test_exact_quantiles_match_percentile(spark):
+    from riskframe.operators.ordered import exact_quantiles
+    df = spark.createDataFrame([(g, float(v)) for g in ("a", "b") for v in ([1, 2, 3, 10] if g == "a" else [5, 5, 5, 7, 9])],
+                               "g string, v double")
+    got = {(r.g, r.p): r.quantile for r in exact_quantiles(df, "v", [0.25, 0.5, 1.0], ["g"]).collect()}
+    assert got[("a", 0.25)] == 1.75 and got[("a", 0.5)] == 2.5 and got[("a", 1.0)] == 10.0
+    assert got[("b", 0.5)] == 5.0 and got[("b", 0.25)] == 5.0
+
+
+def test_hash_top_n_exact_under_skew(spark):
+    from riskframe.operators.sample import hash_top_n
+    # one hot group with most rows
+    df = spark.range(0, 20000).select("id", F.when(F.col("id") < 15000, "hot").otherwise("cold").alias("g"))
+    got = hash_top_n(df, "id", 50, ["g"]).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in got} == {"hot": 50, "cold": 50}
