@@ -129,6 +129,7 @@ reg("stream_score", (
 @query("stream_late")
 def q_stream_late(spark, d):
     """M5: late arrivals beyond the watermark are dropped and counted."""
-    windows, dropped = J.late_data(spark, d)
-    return windows.agg(F.count(F.lit(1)).alias("n_windows_emitted"), F.sum("n").alias("n_rows_emitted")).withColumn(
-        "n_rows_dropped_late", F.lit(dropped).cast("bigint"))
+    windows, n_in, dropped = J.late_data(spark, d)
+    return windows.agg(F.count(F.lit(1)).alias("n_windows_emitted"), F.sum("n").alias("n_rows_emitted")).select(
+        F.lit(n_in).cast("bigint").alias("n_rows_input"), "n_windows_emitted", "n_rows_emitted",
+        F.lit(dropped).cast("bigint").alias("n_late_rows_dropped_at_state"))

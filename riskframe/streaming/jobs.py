@@ -124,24 +124,28 @@ def stream_static_score(spark: SparkSession, sf_dir: str, state: DataFrame) -> D
     return spark.read.parquet(out)
 
 
-def late_data(spark: SparkSession, sf_dir: str, watermark: str = "1 day") -> tuple[DataFrame, int]:
-    """Two arrivals: the newer half of the log first, then the older half.
-    Windows of the late half fall behind the watermark and are dropped; the
-    number of dropped rows comes from the query progress."""
+def late_data(spark: SparkSession, sf_dir: str, watermark: str = "1 day") -> tuple[DataFrame, int, int]:
+    """Three arrivals: the newest week, the week before, then the older half of
+    the log.  Late events are judged against the previous batch's watermark,
+    so the third arrival falls behind it and is dropped by the window
+    aggregation.  Returns (emitted windows, input rows, rows dropped late
+    as counted by the stateful operator)."""
+    import time
     src = scratch_path(spark, "late-src")
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cut = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
-    ev.where(F.col("ts") >= cut).coalesce(1).write.parquet(f"{src}/part=1")
-    ev.where(F.col("ts") < cut).coalesce(1).write.parquet(f"{src}/part=2")
+    t1 = F.lit("2024-01-23 00:00:00").cast("timestamp_ntz")
+    t0 = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    for i, cond in enumerate([F.col("ts") >= t1, (F.col("ts") >= t0) & (F.col("ts") < t1), F.col("ts") < t0]):
+        ev.where(cond).coalesce(1).write.parquet(f"{src}/arrival{i}")
+        time.sleep(1.5)   # the file source orders arrivals by modification time
     s = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-         .parquet(src).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark))
+         .option("pathGlobFilter", "*.parquet").parquet(src)
+         .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark))
     agg = s.groupBy(F.window("ts", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     out, ckpt = scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
     q = (agg.writeStream.outputMode("append").format("parquet").option("path", out)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    dropped = 0
-    for p in q.recentProgress:
-        for so in p.get("stateOperators", []) if isinstance(p, dict) else (p.stateOperators or []):
-            dropped += (so.get("numRowsDroppedByWatermark", 0) if isinstance(so, dict) else so.numRowsDroppedByWatermark)
-    return spark.read.parquet(out), dropped
+    n_in = sum(p.numInputRows for p in q.recentProgress)
+    dropped = sum(so.numRowsDroppedByWatermark for p in q.recentProgress for so in (p.stateOperators or []))
+    return spark.read.parquet(out), n_in, dropped
