@@ -242,3 +242,12 @@ def batch_drift(reference: DataFrame, current: DataFrame, min_ref: int = 10, min
         F.count_if(F.col("side") == "ref").alias("__nr"), F.count_if(F.col("side") == "cur").alias("__nc"))
     ok = cnt.where((F.col("__nr") >= min_ref) & (F.col("__nc") >= min_cur)).select("feature")
     return rec.join(ok, "feature", "left_semi")
+
+
+def persist_drift(records: DataFrame, path: str, batch_id: str) -> DataFrame:
+    """Append drift records (both KS and PSI kept -- no 'psi or ks' fallback)
+    to a table partitioned by batch id; returns the re-read partition."""
+    from riskframe.sources.io import write_parquet
+    rec = records.withColumn("batch_id", F.lit(batch_id)).withColumn("recorded_at", F.current_timestamp())
+    write_parquet(rec, path, ["batch_id"], mode="append")
+    return records.sparkSession.read.parquet(path).where(F.col("batch_id") == batch_id)

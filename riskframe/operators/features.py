@@ -331,3 +331,21 @@ def poly_terms_of(filled: dict, cols: list[str], degree: int, interaction_only:
                 term = filled[c] if term is None else term * filled[c]
             out["POLY_" + name] = term
     return out
+
+
+# fixed values: feature strategies of the experiment grid
+FEATURE_STRATEGIES = ("baseline", "domain", "polynomial", "combined")
+
+
+def feature_strategy(df: DataFrame, name: str, poly_cols: Sequence[str] | None = None) -> DataFrame:
+    """Dispatch a feature strategy: raw columns, + domain block, + degree-2
+    polynomial terms, or both."""
+    if name not in FEATURE_STRATEGIES:
+        raise ValueError(f"unknown feature strategy {name!r}")
+    out = df
+    if name in ("domain", "combined"):
+        out = domain_features(out)
+    if name in ("polynomial", "combined"):
+        cols = list(poly_cols or pick_poly_columns(df, 5, exclude=["SK_ID_CURR", "TARGET"]))
+        out = poly_features(out, cols, 2)
+    return out

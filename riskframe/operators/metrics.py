@@ -180,3 +180,10 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     p, r = _z(F.col("tp"), F.col("tp") + F.col("fp")), _z(F.col("tp"), F.col("tp") + F.col("fn"))
     return x.select(F.col("cls").alias("class"), p.alias("precision"), r.alias("recall"),
                     _z(F.lit(2.0) * p * r, p + r).alias("f1"), (F.col("tp") + F.col("fn")).alias("support"))
+
+
+def materialize(df: DataFrame, path: str) -> DataFrame:
+    """Write a small result table (e.g. a threshold sweep) and read it back,
+    so later lookups never recompute it from the scored data."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -152,3 +152,22 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
             F.lit(t).alias("trial"), F.lit(str(sorted(params.items()))).alias("params"), "*")
         rows = r if rows is None else rows.unionByName(r)
     return rows
+
+
+def experiment_grid(df: DataFrame, key: str, label: str, folds: DataFrame, strategies: Mapping[str, object],
+                    samplings: Mapping[str, object], feature_cols) -> DataFrame:
+    """Feature strategy x sampling strategy grid; each cell is a k-fold CV.
+
+    ``strategies`` maps a name to ``df -> df``; ``samplings`` maps a name to a
+    per-fold resampler (or None); ``feature_cols(df)`` lists model inputs."""
+    rows = None
+    for fs, build in strategies.items():
+        data = build(df)
+        feats = feature_cols(data)
+        for ss, resample in samplings.items():
+            _, mets = cross_validate(data, feats, label, key, folds, resample=resample)
+            r = mets.agg(*[F.avg(c).alias(f"{c}_mean") for c in ("roc_auc", "average_precision", "best_fbeta", "avg_cost")],
+                         *[F.stddev_samp(c).alias(f"{c}_std") for c in ("roc_auc", "best_fbeta")]).select(
+                F.lit(fs).alias("feature_strategy"), F.lit(ss).alias("sampling_strategy"), "*")
+            rows = r if rows is None else rows.unionByName(r)
+    return rows

@@ -266,3 +266,12 @@ def q_retrain(spark, d):
     reasons = F.array_compact(F.array(F.when(F.col("auc") < 0.70, F.lit("auc below 0.70")),
                                       F.when(F.col("drift_share") > 0.10, F.lit("drift share above 10%"))))
     return round_double_cols(w.select("auc", "drift_share", (F.size(reasons) > 0).alias("retrain"), reasons.alias("reasons")))
+
+
+@query("drift_persist")
+def q_drift_persist(spark, d):
+    """Drift records appended under a batch id and read back."""
+    from riskframe.sources.io import scratch_path
+    ref, cur = events_split(spark, d)
+    rec = DR.batch_drift(ref, cur, exclude=["event_id"])
+    return round_double_cols(DR.persist_drift(rec, scratch_path(spark, "drift"), "2024-01-16").drop("recorded_at"))

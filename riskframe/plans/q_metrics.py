@@ -268,3 +268,14 @@ def _class_report_sql():
 
 
 reg("class_report", _class_report_sql())
+
+
+@query("sweep_materialized")
+def q_sweep_materialized(spark, d):
+    """The sweep written to Parquet and reloaded."""
+    from riskframe.sources.io import scratch_path
+    sw = M.threshold_sweep(scored(spark, d), "TARGET", "PROBABILITY2")
+    return round_double_cols(M.materialize(sw, scratch_path(spark, "sweep")))
+
+
+reg("sweep_materialized", ORACLE["threshold_sweep"])
