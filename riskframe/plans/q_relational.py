@@ -80,8 +80,12 @@ def q_pred_compare(spark, d):
     return round_double_cols(j)
 
 
-reg("pred_compare", f"SELECT {LI_SEL}, {rnd_sql('l_quantity / 50e0')} AS proba_a, {rnd_sql('l_extendedprice / 105000e0')} AS proba_b, "
-    f"{rnd_sql('abs(l_quantity / 50e0 - l_extendedprice / 105000e0)')} AS abs_diff FROM lineitem")
+_K4 = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+reg("pred_compare", (
+    "SELECT a.l_orderkey, CAST(a.l_linenumber AS BIGINT) AS l_linenumber, a.l_partkey, a.l_suppkey, "
+    f"{rnd_sql('a.l_quantity / 50e0')} AS proba_a, {rnd_sql('b.l_extendedprice / 105000e0')} AS proba_b, "
+    f"{rnd_sql('abs(a.l_quantity / 50e0 - b.l_extendedprice / 105000e0)')} AS abs_diff "
+    "FROM lineitem a JOIN lineitem b ON " + " AND ".join(f"a.{k} = b.{k}" for k in _K4)))
 
 
 def _cust(spark, d):
@@ -180,11 +184,20 @@ def q_table_diff(spark, d):
     return round_double_cols(R.table_diff(a, b, LKEY, ["PROBABILITY", "PROBABILITY2"], 1e-4))
 
 
-reg("table_diff", (
-    f"SELECT {LI_SEL}, 'PROBABILITY2' AS feature, {rnd_sql('l_extendedprice / 105000e0')} AS value_a, "
-    f"{rnd_sql('round(l_extendedprice / 105000e0, 3)')} AS value_b, "
-    f"{rnd_sql('abs(l_extendedprice / 105000e0 - round(l_extendedprice / 105000e0, 3))')} AS abs_diff FROM lineitem "
-    "WHERE abs(l_extendedprice / 105000e0 - round(l_extendedprice / 105000e0, 3)) > 1e-4"))
+def _table_diff_sql():
+    keys = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_suppkey"
+    la = (f"SELECT {keys}, 'PROBABILITY' AS feature, l_quantity / 50e0 AS v FROM lineitem UNION ALL "
+          f"SELECT {keys}, 'PROBABILITY2', l_extendedprice / 105000e0 FROM lineitem")
+    lb = (f"SELECT {keys}, 'PROBABILITY' AS feature, l_quantity / 50e0 AS v FROM lineitem UNION ALL "
+          f"SELECT {keys}, 'PROBABILITY2', round(l_extendedprice / 105000e0, 3) FROM lineitem")
+    on = " AND ".join(f"a.{k} = b.{k}" for k in _K4 + ["feature"])
+    sel = ", ".join(f"COALESCE(a.{k}, b.{k}) AS {k}" for k in _K4 + ["feature"])
+    return (f"SELECT {sel}, {rnd_sql('a.v')} AS value_a, {rnd_sql('b.v')} AS value_b, {rnd_sql('abs(a.v - b.v)')} AS abs_diff "
+            f"FROM ({la}) a FULL JOIN ({lb}) b ON {on} "
+            "WHERE COALESCE((a.v IS NULL) <> (b.v IS NULL) OR abs(a.v - b.v) > 1e-4, false)")
+
+
+reg("table_diff", _table_diff_sql())
 
 
 # G1

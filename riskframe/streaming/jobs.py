@@ -116,9 +116,11 @@ def incremental_psi(spark: SparkSession, sf_dir: str, edges: DataFrame, feature:
 
 
 def stream_static_score(spark: SparkSession, sf_dir: str, state: DataFrame) -> DataFrame:
-    """Stream x broadcast fitted state (one row per category): scored rows appended."""
+    """Stream x static fitted state (one row per category): scored rows appended.
+    No broadcast hint: the state's size is a category count, so the planner
+    decides from its statistics."""
     s = prediction_stream(spark, sf_dir)
-    j = s.join(F.broadcast(state), "event_type", "left").select(
+    j = s.join(state, "event_type", "left").select(
         "event_id", "event_type", "value", (F.col("value") / (F.col("type_mean") + F.lit(1e-5))).alias("value_vs_type_mean"))
     out = run_available(j, "score", "append")
     return spark.read.parquet(out)
