@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import flag, safe_div
-from riskframe.operators.rollup import agg_spec, fit_vocabulary
+from riskframe.operators.rollup import agg_spec, fit_vocabulary, pivot_count_exprs
 
 KEY = "SK_ID_CURR"
 
@@ -112,21 +112,17 @@ def two_level_rollup(bureau: DataFrame, bb: DataFrame, key: str = "SK_ID_BUREAU"
 
 def rollup_bureau(bureau: DataFrame, status_vocab=None, status_col: str = "CREDIT_ACTIVE") -> DataFrame:
     vocab = status_vocab if status_vocab is not None else fit_vocabulary(bureau, status_col)
-    out = agg_spec(bureau, KEY, "BUREAU", BUREAU_SPEC, extra=[
-        F.count_if(F.col(status_col) == F.lit(v)).alias(f"BUREAU_CREDIT_{str(v).upper()}_COUNT")
-        for v in vocab])
-    return (out
-            .withColumn("BUREAU_DEBT_TO_CREDIT_RATIO",
-                        safe_div("BUREAU_AMT_CREDIT_SUM_DEBT_SUM", "BUREAU_AMT_CREDIT_SUM_SUM", 1.0))
-            .withColumn("BUREAU_OVERDUE_RATIO",
-                        safe_div("BUREAU_AMT_CREDIT_SUM_OVERDUE_SUM", "BUREAU_AMT_CREDIT_SUM_SUM", 1.0)))
+    out = agg_spec(bureau, KEY, "BUREAU", BUREAU_SPEC, extra=pivot_count_exprs(
+        status_col, vocab, "BUREAU_CREDIT", "{prefix}_{value}_COUNT"))
+    return out.withColumns({
+        "BUREAU_DEBT_TO_CREDIT_RATIO": safe_div("BUREAU_AMT_CREDIT_SUM_DEBT_SUM", "BUREAU_AMT_CREDIT_SUM_SUM", 1.0),
+        "BUREAU_OVERDUE_RATIO": safe_div("BUREAU_AMT_CREDIT_SUM_OVERDUE_SUM", "BUREAU_AMT_CREDIT_SUM_SUM", 1.0)})
 
 
 def rollup_previous(prev: DataFrame, status_vocab=None, status_col: str = "NAME_CONTRACT_STATUS") -> DataFrame:
     vocab = status_vocab if status_vocab is not None else fit_vocabulary(prev, status_col)
-    out = agg_spec(prev, KEY, "PREV", PREVIOUS_SPEC, extra=[
-        F.count_if(F.col(status_col) == F.lit(v)).alias(f"PREV_STATUS_{str(v).upper()}_COUNT")
-        for v in vocab])
+    out = agg_spec(prev, KEY, "PREV", PREVIOUS_SPEC, extra=pivot_count_exprs(
+        status_col, vocab, "PREV_STATUS", "{prefix}_{value}_COUNT"))
     out = out.withColumn("PREV_APP_CREDIT_RATIO",
                          safe_div("PREV_AMT_APPLICATION_MEAN", "PREV_AMT_CREDIT_MEAN", 1.0))
     if "Approved" in vocab:
@@ -141,11 +137,9 @@ def rollup_pos(pos: DataFrame) -> DataFrame:
 
 def rollup_card(cc: DataFrame) -> DataFrame:
     out = agg_spec(cc, KEY, "CC", CARD_SPEC)
-    return (out
-            .withColumn("CC_BALANCE_TO_LIMIT_RATIO",
-                        safe_div("CC_AMT_BALANCE_MEAN", "CC_AMT_CREDIT_LIMIT_ACTUAL_MEAN", 1.0))
-            .withColumn("CC_DRAWING_TO_LIMIT_RATIO",
-                        safe_div("CC_AMT_DRAWINGS_CURRENT_MEAN", "CC_AMT_CREDIT_LIMIT_ACTUAL_MEAN", 1.0)))
+    return out.withColumns({
+        "CC_BALANCE_TO_LIMIT_RATIO": safe_div("CC_AMT_BALANCE_MEAN", "CC_AMT_CREDIT_LIMIT_ACTUAL_MEAN", 1.0),
+        "CC_DRAWING_TO_LIMIT_RATIO": safe_div("CC_AMT_DRAWINGS_CURRENT_MEAN", "CC_AMT_CREDIT_LIMIT_ACTUAL_MEAN", 1.0)})
 
 
 def installment_terms(inst: DataFrame) -> DataFrame:

@@ -39,20 +39,34 @@ def stat_expr(column: str | Column, stat: str) -> Column:
         raise ValueError(f"unknown statistic {stat!r}; use one of {sorted(_STATS)}") from None
 
 
+# the same statistics as SQL text: one py4j call per aggregate when building
+# very wide rollups (hundreds of aggregates) instead of several
+_STATS_SQL = {
+    "count": "count({c})", "size": "count(1)", "sum": "coalesce(sum({c}), 0)", "mean": "avg({c})",
+    "min": "min({c})", "max": "max({c})", "std": "stddev_samp({c})", "var": "var_samp({c})",
+    "median": "median({c})", "nunique": "count(DISTINCT {c})",
+}
+
+
 def agg_exprs(spec: Mapping[str, Sequence[str]], prefix: str) -> list[Column]:
     """Aggregate expressions named ``PREFIX_COL_STAT`` (stat upper-cased)."""
     out = []
     for c, stats in spec.items():
         for s in ([stats] if isinstance(stats, str) else stats):
-            out.append(stat_expr(c, s).alias(f"{prefix}_{c}_{s.upper()}"))
+            if s not in _STATS_SQL:
+                raise ValueError(f"unknown statistic {s!r}; use one of {sorted(_STATS_SQL)}")
+            q = "`" + c.replace("`", "``") + "`"
+            out.append(F.expr(f"{_STATS_SQL[s].format(c=q)} AS `{prefix}_{c}_{s.upper()}`"))
     return out
 
 
 def pivot_count_exprs(column: str, values: Sequence[str], prefix: str,
                       template: str = "{prefix}_{value}_COUNT") -> list[Column]:
     """One ``count_if(column = v)`` per fitted category (missing -> 0)."""
-    return [F.count_if(F.col(column) == F.lit(v)).alias(
-        template.format(prefix=prefix, value=str(v).upper())) for v in values]
+    q = "`" + column.replace("`", "``") + "`"
+    return [F.expr("count_if({} = '{}') AS `{}`".format(q, str(v).replace("'", "\\'"),
+                                                        template.format(prefix=prefix, value=str(v).upper())))
+            for v in values]
 
 
 def fit_vocabulary(df: DataFrame, column: str, max_categories: int = 1000) -> list:
