@@ -42,19 +42,19 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
     (groups, order_col).  ``n_buckets`` defaults to the shuffle parallelism.
 
     The (already aggregated) input is read three times -- edges, range
-    totals, windows -- so by default it is materialised once with a reliable
-    ``checkpoint()`` in ``spark.checkpoint.dir``: the raw data behind it is
-    scanned and shuffled once, and a lost executor re-reads the checkpoint
-    instead of recomputing the aggregation.  ``totals=True`` adds the group
+    totals, windows -- so by default it is written once as a Parquet table
+    under ``spark.checkpoint.dir`` and read back: the raw data behind it is
+    scanned and shuffled once (one job, where ``checkpoint()`` would compute it
+    twice), and a lost executor re-reads the table instead of recomputing
+    the aggregation.  ``totals=True`` adds the group
     totals ``tot_<c>`` (taken from the range table, no extra pass)."""
     groups = list(groups)
     n_buckets = n_buckets or default_buckets(df.sparkSession)
     o = F.col(order_col).cast("double")
     d = df.withColumn("__o", o if ascending else -o)
     if materialize:
-        from riskframe.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        d = d.checkpoint(eager=True)
+        from riskframe.sources.io import materialize as _materialize
+        d = _materialize(d, "running-sum")
     probs = [i / n_buckets for i in range(1, n_buckets)]
     edges = d.groupBy(*groups).agg(
         F.array_distinct(F.percentile_approx("__o", probs, 10000)).alias("__edges")) if groups else \
