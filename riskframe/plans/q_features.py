@@ -513,3 +513,17 @@ reg("per_item", (
     f"SELECT user_id, {rnd_sql('SUM(value)')} AS total_ms, CAST(COUNT_IF(event_type = 'purchase') AS BIGINT) AS n_items, "
     f"{rnd_sql('COALESCE(SUM(value) / NULLIF(COUNT_IF(event_type = ' + chr(39) + 'purchase' + chr(39) + '), 0), 0e0)')} AS ms_per_item "
     "FROM events GROUP BY user_id"))
+
+
+@query("feature_strategies")
+def q_feature_strategies(spark, d):
+    """Width of the model table under each feature strategy."""
+    app = _app(spark, d)
+    num = [c for c in FT.numeric_columns(app, ["SK_ID_CURR", "TARGET"])]
+    rows = None
+    for name in FT.FEATURE_STRATEGIES:
+        df = FT.feature_strategy(app.select("SK_ID_CURR", "TARGET", *num), name, POLY_COLS[:3])
+        r = df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(name).alias("strategy"), F.lit(len(df.columns) - 2).cast("bigint").alias("n_features"), "n_rows")
+        rows = r if rows is None else rows.unionByName(r)
+    return rows

@@ -270,3 +270,14 @@ def _mart_sql():
 
 
 ORACLE["feature_mart"] = _mart_sql()
+
+
+@query("precompute_features")
+def q_precompute(spark, d):
+    """The feature mart precomputed into a Parquet table (shared folder)
+    and served from it."""
+    from riskframe.sources.io import materialize
+    return materialize(round_double_cols(build_mart(spark, d)), "feature-mart")
+
+
+ORACLE["precompute_features"] = ORACLE["feature_mart"]
