@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskframe.operators import checks as C
-from riskframe.plans.bind import _application, _previous, role, with_roles
+from riskframe.plans.bind import _application, role, with_roles
 from riskframe.plans.registry import query
 from riskframe.plans.sqlgen import rnd_sql, round_double_cols
 

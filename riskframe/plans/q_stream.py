@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskframe.operators import drift as DR
 from riskframe.plans.q_io import LOG_SCHEMA, jsonl_log
 from riskframe.plans.registry import query
 from riskframe.plans.sqlgen import rnd_sql, round_double_cols
