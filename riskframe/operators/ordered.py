@@ -59,8 +59,10 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
     edges = d.groupBy(*groups).agg(
         F.array_distinct(F.percentile_approx("__o", probs, 10000)).alias("__edges")) if groups else \
         d.agg(F.array_distinct(F.percentile_approx("__o", probs, 10000)).alias("__edges"))
-    # edges: one row per group with <= n_buckets values -> bounded broadcast
-    b = (d.join(F.broadcast(edges), groups, "inner") if groups else d.crossJoin(F.broadcast(edges)))
+    # edges: one row per group with <= n_buckets values.  Without groups it is
+    # one row (broadcast).  With groups its size follows the group count, which
+    # may be large (per-entity medians), so the planner / AQE picks the join.
+    b = (d.join(edges, groups, "inner") if groups else d.crossJoin(F.broadcast(edges)))
     b = b.withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__o")))).drop("__edges")
     tot = b.groupBy(*groups, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
     wt = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1) if groups else \
@@ -72,7 +74,7 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
         extra = [F.sum(f"__t_{c}").over(wg).alias(f"tot_{c}") for c in sum_cols]
     offs = tot.select(*groups, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wt), F.lit(0)).alias(f"__off_{c}")
                                         for c in sum_cols], *extra)
-    j = b.join(F.broadcast(offs), groups + ["__b"], "inner")
+    j = b.join(offs if groups else F.broadcast(offs), groups + ["__b"], "inner")
     w = Window.partitionBy(*groups, "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
     out = j.select(*[c for c in df.columns],
                    *[(F.col(f"__off_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols],
@@ -102,9 +104,9 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
         t["pi"].alias("pi"), t["p"].alias("p"), ((n - 1).cast("double") * t["p"]).alias("h"),
         F.floor((n - 1).cast("double") * t["p"]).alias("lo"), F.ceil((n - 1).cast("double") * t["p"]).alias("hi")))
     hit = F.filter(with_h, lambda t: ((t["lo"] >= first) & (t["lo"] <= last)) | ((t["hi"] >= first) & (t["hi"] <= last)))
-    x = cum.select(*groups, "__v", first.alias("__f"), last.alias("__l"), F.explode(hit).alias("t"))
-    in_lo = (F.col("t.lo") >= F.col("__f")) & (F.col("t.lo") <= F.col("__l"))
-    in_hi = (F.col("t.hi") >= F.col("__f")) & (F.col("t.hi") <= F.col("__l"))
+    x = cum.select(*groups, "__v", first.alias("__rank_first"), last.alias("__rank_last"), F.explode(hit).alias("t"))
+    in_lo = (F.col("t.lo") >= F.col("__rank_first")) & (F.col("t.lo") <= F.col("__rank_last"))
+    in_hi = (F.col("t.hi") >= F.col("__rank_first")) & (F.col("t.hi") <= F.col("__rank_last"))
     g = x.groupBy(*groups, F.col("t.pi").alias("p_index"), F.col("t.p").alias("p")).agg(
         F.max(F.when(in_lo, F.col("__v"))).alias("__lo_v"), F.max(F.when(in_hi, F.col("__v"))).alias("__hi_v"),
         F.first("t.h").alias("__h"), F.first("t.lo").alias("__lo"))

@@ -92,7 +92,12 @@ def agg_spec(df: DataFrame, key: str | Sequence[str], prefix: str,
     aggregate columns.  Everything lands in a single aggregate node.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    exprs = agg_exprs(spec, prefix)
+    # medians go through the distributed exact-quantile path (a hot key's
+    # values are never gathered in one task); every other statistic stays in
+    # one aggregate node
+    plain = {c: [s for s in ([st] if isinstance(st, str) else st) if s != "median"] for c, st in spec.items()}
+    medians = [c for c, st in spec.items() if "median" in ([st] if isinstance(st, str) else st)]
+    exprs = agg_exprs({c: st for c, st in plain.items() if st}, prefix)
     for c, vocab in (pivots or {}).items():
         exprs += pivot_count_exprs(c, vocab, f"{prefix}_{c}")
     exprs += list(extra)
@@ -101,7 +106,19 @@ def agg_spec(df: DataFrame, key: str | Sequence[str], prefix: str,
         for k in keys:
             cond = F.col(k).isNotNull() if cond is None else cond & F.col(k).isNotNull()
         df = df.where(cond)
-    return df.groupBy(*keys).agg(*exprs)
+    out = df.groupBy(*keys).agg(*exprs) if exprs else df.select(*keys).distinct()
+    if medians:
+        from riskframe.operators.ordered import exact_quantiles
+        long = df.select(*keys, F.explode(F.array(*[
+            F.struct(F.lit(c).alias("__feat"), F.col(c).cast("double").alias("__x")) for c in medians])).alias("__s")
+        ).select(*keys, "__s.__feat", "__s.__x")
+        med = exact_quantiles(long, "__x", [0.5], keys + ["__feat"]).groupBy(*keys).agg(*[
+            F.max(F.when(F.col("__feat") == c, F.col("quantile"))).alias(f"{prefix}_{c}_MEDIAN") for c in medians])
+        out = out.join(med, keys, "left")
+        order = [f"{prefix}_{c}_{s.upper()}" for c, st in spec.items() for s in ([st] if isinstance(st, str) else st)]
+        rest = [c for c in out.columns if c not in keys and c not in order]
+        out = out.select(*keys, *order, *rest)
+    return out
 
 
 def with_ratio(df: DataFrame, name: str, num: str, den: str, plus: float = 1.0) -> DataFrame:
