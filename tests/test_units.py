@@ -140,3 +140,19 @@ def test_hash_top_n_exact_under_skew(spark):
     df = spark.range(0, 20000).select("id", F.when(F.col("id") < 15000, "hot").otherwise("cold").alias("g"))
     got = hash_top_n(df, "id", 50, ["g"]).groupBy("g").count().collect()
     assert {r.g: r["count"] for r in got} == {"hot": 50, "cold": 50}
+
+
+@pytest.mark.parametrize("key", ["rollup_installments", "roc_auc", "strat_kfold", "outliers_iqr", "psi"])
+def test_partition_count_invariance(spark, key):
+    """Results do not depend on the number of shuffle partitions / ranges."""
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = sorted(map(tuple, E.queries()[key](spark, sf).collect()))
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        b = sorted(map(tuple, E.queries()[key](spark, sf).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
