@@ -22,6 +22,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_BUCKETS, MAX_BUCKETS = 8, 1024
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Size-checked broadcast for a side table whose size follows a group
+    count: it is written once (Parquet, shared folder), its row count read
+    from the written table, and only then hinted for broadcast; beyond
+    ``max_rows`` the planner's shuffle join is used instead."""
+    from riskframe.sources.io import materialize
+    m = materialize(small, "side-table")
+    return F.broadcast(m) if m.count() <= max_rows else m
 
 
 def default_buckets(spark) -> int:
@@ -61,7 +72,13 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
         d.agg(F.array_distinct(F.percentile_approx("__o", probs, 10000)).alias("__edges"))
     # edges: one row per group with <= n_buckets values.  Without groups it is
     # one row (broadcast).  With groups its size follows the group count, which
-    # may be large (per-entity medians), so the planner / AQE picks the join.
+    # may be large (per-entity medians): broadcast only after a size check.
+    small = True
+    if groups:
+        from riskframe.sources.io import materialize
+        edges = materialize(edges, "range-edges")
+        small = edges.count() * n_buckets <= BROADCAST_MAX_ROWS   # row count from the written table
+        edges = F.broadcast(edges) if small else edges
     b = (d.join(edges, groups, "inner") if groups else d.crossJoin(F.broadcast(edges)))
     b = b.withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__o")))).drop("__edges")
     tot = b.groupBy(*groups, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
@@ -74,7 +91,8 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
         extra = [F.sum(f"__t_{c}").over(wg).alias(f"tot_{c}") for c in sum_cols]
     offs = tot.select(*groups, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wt), F.lit(0)).alias(f"__off_{c}")
                                         for c in sum_cols], *extra)
-    j = b.join(offs if groups else F.broadcast(offs), groups + ["__b"], "inner")
+    # offsets: (groups x ranges) rows -- bounded by the edges check above
+    j = b.join(F.broadcast(offs) if small else offs, groups + ["__b"], "inner")
     w = Window.partitionBy(*groups, "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
     out = j.select(*[c for c in df.columns],
                    *[(F.col(f"__off_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols],

@@ -45,8 +45,12 @@ def hash_top_n(df: DataFrame, key: str, n, groups: Sequence[str] = (), seed=42)
         F.first("__n").alias("__n"))
     cut = cut.select(*groups, F.col("__m.bk").alias("__cut"), (F.col("__n") - F.col("__m.before")).alias("__need"))
     # cut: one row per group (one row without groups -> broadcast; with groups
-    # its size follows the stratum count, so the planner chooses)
-    cand = h.join(cut, groups, "inner") if groups else h.crossJoin(F.broadcast(cut))
+    # its size follows the stratum count: broadcast only after a size check)
+    if groups:
+        from riskframe.operators.ordered import broadcast_if_small
+        cand = h.join(broadcast_if_small(cut), groups, "inner")
+    else:
+        cand = h.crossJoin(F.broadcast(cut))
     # buckets below the cut are taken whole; only the cut bucket (~1/65,536 of
     # a group) is ranked, so no task sorts a whole (possibly hot) group
     below = cand.where(F.col("__bk") < F.col("__cut"))
