@@ -44,12 +44,12 @@ def kolmogorov_p(d: Column, en: Column, terms: int = 100) -> Column:
     return F.when(lam < F.lit(0.2), F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
-def ks_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], n_buckets: int | None = None) -> DataFrame:
+def ks_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Two-sample KS statistic D (exact) and p-value per feature."""
     both = _long(reference, cols, "ref").unionByName(_long(current, cols, "cur"))
     counts = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == "ref").alias("n_ref"),
                                                   F.count_if(F.col("side") == "cur").alias("n_cur"))
-    cum = running_sum(counts, "value", ["n_ref", "n_cur"], ["feature"], n_buckets=n_buckets, totals=True)
+    cum = running_sum(counts, "value", ["n_ref", "n_cur"], ["feature"], ranges=ranges, totals=True)
     j = cum.withColumnsRenamed({"tot_n_ref": "tot_ref", "tot_n_cur": "tot_cur"})
     gap = F.abs(F.try_divide(F.col("cum_n_ref"), F.col("tot_ref")) - F.try_divide(F.col("cum_n_cur"), F.col("tot_cur")))
     ks = j.groupBy("feature").agg(F.max(gap).alias("D"), F.first("tot_ref").alias("n_ref"),

@@ -61,10 +61,10 @@ def score_table(df: DataFrame, label: str, score: str, groups: Sequence[str] = (
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def curve_table(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), n_buckets: int | None = None) -> DataFrame:
+def curve_table(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Per distinct threshold (descending): cumulative tp / fp and class totals."""
     st = score_table(df, label, score, groups)
-    cum = running_sum(st, "score", ["pos", "neg"], groups, ascending=False, n_buckets=n_buckets, totals=True)
+    cum = running_sum(st, "score", ["pos", "neg"], groups, ascending=False, ranges=ranges, totals=True)
     return cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "tot_pos": "P", "tot_neg": "N"})
 
 

@@ -3,15 +3,16 @@
 Spark's ``Window.orderBy`` with no ``partitionBy`` moves every row to ONE
 task.  ``running_sum`` instead
 
-1. cuts the order into ~``n_buckets`` ranges per group from approximate
-   quantiles (one aggregate; edges are bounded: groups x n_buckets),
-2. sums each range (tiny table), turns those sums into range offsets with a
-   window over the tiny table,
-3. runs the real window partitioned by (group, range), adding the offset.
+1. range-partitions the rows by (groups, order value) and writes them once
+   with their partition number -- a hot group is split by value, the number
+   of ranges is the session's shuffle parallelism;
+2. sums every (group, partition); only a group that crosses a range border
+   needs an offset, and a partition can only begin inside one group, so the
+   offset table has at most two rows per partition;
+3. runs the real window partitioned by (group, partition) and adds the offset.
 
 The input is expected to hold one row per (group, order value) -- callers
-pre-aggregate, which also removes every hot key -- so a range holds about
-distinct_values / n_buckets rows whatever the skew of the raw data.
+pre-aggregate, which also removes every hot key.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_BUCKETS, MAX_BUCKETS = 8, 1024
 BROADCAST_MAX_ROWS = 2_000_000
 
 
@@ -35,73 +35,53 @@ def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) ->
     return F.broadcast(m) if m.count() <= max_rows else m
 
 
-def default_buckets(spark) -> int:
+def n_ranges(spark) -> int:
     """One order range per shuffle partition: the cluster's configured
-    parallelism, so each range window is one task's worth of rows."""
+    parallelism."""
     try:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:
-        n = 200
-    return max(MIN_BUCKETS, min(MAX_BUCKETS, n))
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    except (TypeError, ValueError):
+        return 200
 
 
 def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups: Sequence[str] = (),
-                ascending: bool = True, n_buckets: int | None = None, prefix: str = "cum_",
-                materialize: bool = True, totals: bool = False) -> DataFrame:
+                ascending: bool = True, ranges: int | None = None, prefix: str = "cum_",
+                totals: bool = False) -> DataFrame:
     """Add ``cum_<c>`` = sum of ``c`` over rows ordered by ``order_col`` up to
-    and including the current row, per ``groups``.  Rows must be unique per
-    (groups, order_col).  ``n_buckets`` defaults to the shuffle parallelism.
-
-    The (already aggregated) input is read three times -- edges, range
-    totals, windows -- so by default it is written once as a Parquet table
-    under ``spark.checkpoint.dir`` and read back: the raw data behind it is
-    scanned and shuffled once (one job, where ``checkpoint()`` would compute it
-    twice), and a lost executor re-reads the table instead of recomputing
-    the aggregation.  ``totals=True`` adds the group
-    totals ``tot_<c>`` (taken from the range table, no extra pass)."""
+    and including the current row, per ``groups`` (null groups are a group).
+    Rows must be unique per (groups, order_col).  ``totals=True`` adds the
+    group totals ``tot_<c>``.
+
+    The ranged rows are written once as a Parquet table in the shared
+    folder: their partition numbers stay fixed for the offsets and the
+    windows, and a lost executor re-reads the table."""
+    from riskframe.sources.io import materialize
     groups = list(groups)
-    n_buckets = n_buckets or default_buckets(df.sparkSession)
-    o = F.col(order_col).cast("double")
-    d = df.withColumn("__o", o if ascending else -o)
-    if materialize:
-        from riskframe.sources.io import materialize as _materialize
-        d = _materialize(d, "running-sum")
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    edges = d.groupBy(*groups).agg(
-        F.array_distinct(F.percentile_approx("__o", probs, 10000)).alias("__edges")) if groups else \
-        d.agg(F.array_distinct(F.percentile_approx("__o", probs, 10000)).alias("__edges"))
-    # edges: one row per group with <= n_buckets values.  Without groups it is
-    # one row (broadcast).  With groups its size follows the group count, which
-    # may be large (per-entity medians): broadcast only after a size check.
-    small = True
-    if groups:
-        from riskframe.sources.io import materialize
-        edges = materialize(edges, "range-edges")
-        small = edges.count() * n_buckets <= BROADCAST_MAX_ROWS   # row count from the written table
-        edges = F.broadcast(edges) if small else edges
-    b = (d.join(edges, groups, "inner") if groups else d.crossJoin(F.broadcast(edges)))
-    b = b.withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__o")))).drop("__edges")
-    tot = b.groupBy(*groups, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
-    wt = Window.partitionBy(*groups).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1) if groups else \
-        Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # window over (groups x n_buckets) bucket totals, not over data rows
-    extra = []
-    if totals:
-        wg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-        extra = [F.sum(f"__t_{c}").over(wg).alias(f"tot_{c}") for c in sum_cols]
-    offs = tot.select(*groups, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wt), F.lit(0)).alias(f"__off_{c}")
-                                        for c in sum_cols], *extra)
-    # offsets: (groups x ranges) rows -- bounded by the edges check above
-    j = b.join(F.broadcast(offs) if small else offs, groups + ["__b"], "inner")
-    w = Window.partitionBy(*groups, "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
-    out = j.select(*[c for c in df.columns],
-                   *[(F.col(f"__off_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols],
-                   *[F.col(f"tot_{c}") for c in sum_cols if totals])
-    return out
+    o = F.col(order_col).asc() if ascending else F.col(order_col).desc()
+    t = materialize(df.repartitionByRange(ranges or n_ranges(df.sparkSession), *[F.col(g) for g in groups], o)
+                    .withColumn("__p", F.spark_partition_id()), "running-sum")
+    per_group = Window.partitionBy(*groups)
+    before = per_group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = t.groupBy(*groups, "__p").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    crossing = (sums.withColumn("__n", F.count(F.lit(1)).over(per_group))
+                .select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col("__p").alias("__q"), "__n",
+                        *[F.sum(f"__t_{c}").over(before).alias(f"__off_{c}") for c in sum_cols],
+                        *[F.sum(f"__t_{c}").over(per_group).alias(f"__tot_{c}") for c in sum_cols])
+                .where("__n > 1"))
+    on = t["__p"] == crossing["__q"]
+    for g in groups:
+        on = on & t[g].eqNullSafe(crossing[f"__g_{g}"])
+    # at most two rows per range: a group that ends in it and one that begins in it
+    j = t.join(F.broadcast(crossing), on, "left")
+    local = Window.partitionBy(*groups, "__p")
+    w = local.orderBy(o).rowsBetween(Window.unboundedPreceding, 0)
+    extra = [F.coalesce(F.col(f"__tot_{c}"), F.sum(c).over(local)).alias(f"tot_{c}") for c in sum_cols] if totals else []
+    return j.select(*df.columns, *[F.when(F.col(f"__off_{c}").isNull(), F.sum(c).over(w)).otherwise(
+        F.col(f"__off_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols], *extra)
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], groups: Sequence[str] = (),
-                    n_buckets: int | None = None) -> DataFrame:
+                    ranges: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / numpy default, same as
     Spark's ``percentile``) without holding a group's values in one task.
 
@@ -113,7 +93,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], group
     groups = list(groups)
     v = F.col(value_col).cast("double")
     counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_sum(counts, "__v", ["__c"], groups, n_buckets=n_buckets, totals=True)
+    cum = running_sum(counts, "__v", ["__c"], groups, ranges=ranges, totals=True)
     first = F.col("cum___c") - F.col("__c")
     last = F.col("cum___c") - 1
     n = F.col("tot___c")

@@ -74,12 +74,12 @@ def stratified_split(df: DataFrame, key: str, label: str, train_frac: float = 0.
     return df.withColumn("split", F.when(u < F.lit(train_frac), "train").otherwise("val"))
 
 
-def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed=42, n_buckets: int | None = None) -> DataFrame:
+def stratified_kfold(df: DataFrame, key: str, label: str, k: int = 5, seed=42, ranges: int | None = None) -> DataFrame:
     """fold = (rank of (hash, key) within the class) mod k -- exact ranks from
     a distributed running count over distinct hashes (no per-class window)."""
     h = with_hash(df, key, seed)
     counts = h.groupBy(label, "__h").agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_sum(counts, "__h", ["__c"], [label], n_buckets=n_buckets)
+    cum = running_sum(counts, "__h", ["__c"], [label], ranges=ranges)
     j = h.join(cum.select(label, "__h", (F.col("cum___c") - F.col("__c")).alias("__before")), [label, "__h"])
     # ties on the 32-bit hash: rank inside the (class, hash) group, tiny by construction
     tw = Window.partitionBy(label, "__h").orderBy(key)

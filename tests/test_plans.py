@@ -22,7 +22,7 @@ def test_running_sum_window_is_partitioned(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("o"), F.lit(1).alias("one"))
     p = _plan(running_sum(df, "o", ["one"]))
     # the data-row window is partitioned by the range bucket
-    assert "Window [" in p and "__b" in p
+    assert "Window [" in p and "__p" in p
 
 
 def test_feature_mart_has_no_cartesian_product(spark):

@@ -62,8 +62,8 @@ def test_clean_names_collision(spark):
 def test_running_sum_partition_invariance(spark):
     df = spark.range(0, 5000).select((F.col("id") % 997).alias("g"), (F.col("id") * 7 % 5003).cast("double").alias("o"),
                                      F.lit(1).alias("one"))
-    a = running_sum(df, "o", ["one"], ["g"], n_buckets=8).orderBy("g", "o").collect()
-    b = running_sum(df.repartition(1), "o", ["one"], ["g"], n_buckets=64).orderBy("g", "o").collect()
+    a = running_sum(df, "o", ["one"], ["g"], ranges=8).orderBy("g", "o").collect()
+    b = running_sum(df.repartition(1), "o", ["one"], ["g"], ranges=64).orderBy("g", "o").collect()
     assert [r.cum_one for r in a] == [r.cum_one for r in b]
     first = {}
     for r in a:
