@@ -70,7 +70,13 @@ SELECT page_id, u.host, u.path, f.rule,
 FROM u LEFT JOIN f USING (host, path)
 """
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import simhash
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(d).select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_simhash": op10_simhash}
 ORACLE = {"op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
 
 
