@@ -76,7 +76,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(d).select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op10_simhash": op10_simhash}
+def op9_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import pivots
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
 ORACLE = {"op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
 
 
