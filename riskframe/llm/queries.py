@@ -14,6 +14,21 @@ from riskframe.llm.common import table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import topk
+    return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256e0 * x::DOUBLE)) AS w FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
     from riskframe.llm import bpe
@@ -81,8 +96,8 @@ def op9_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
-ORACLE = {"op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+QUERIES = {"op4_topk": op4_topk, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
+ORACLE = {"op4_topk": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
 
 
 def queries():
