@@ -39,6 +39,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2("raw", 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import toxicity
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(d, table(spark, sf_dir, "labels"))
+    return toxicity.score(d, model).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskframe.llm import mixing
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -96,7 +103,7 @@ def op9_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op4_topk": op4_topk, "op5_bpe": op5_bpe, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op4_topk": op4_topk, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
 ORACLE = {"op4_topk": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
 
 
