@@ -14,6 +14,45 @@ from riskframe.llm.common import table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import licenses
+    x = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return x.select("doc_id", F.array_join("licenses", "|").alias("licenses"), F.size("licenses").cast("bigint").alias("n_licenses"),
+                    F.size("sentence_ids").cast("bigint").alias("n_sentences"))
+
+
+#: the single-sentence rules (the texts hold no others)
+_REFS = (
+    ("(?:this work is )?licensed under the apache license version", "Apache-"), ("(?:released|licensed|this project is licensed) under the mit license", "MIT"),
+    ("(?:this work is )?licensed under the gnu general public license version", "GPL-"), ("(?:this work is )?licensed under the gnu lesser general public license version", "LGPL-"),
+    ("licensed under cc by nc", "CC-BY-NC-"), ("licensed under cc by nc nd", "CC-BY-NC-ND-"), ("licensed under cc by nc sa", "CC-BY-NC-SA-"),
+    ("licensed under cc by sa", "CC-BY-SA-"), ("licensed under cc by", "CC-BY-"), ("this work is dedicated to the public domain", "CC0"), ("all rights reserved", "Proprietary"))
+OP2_SQL = (
+    "WITH s AS (SELECT doc_id, text, unnest(string_split_regex(text, '[.!?;:](\\s|$)|\n')) AS x, generate_subscripts(string_split_regex(text, '[.!?;:](\\s|$)|\n'), 1) AS i FROM documents), "
+    "n AS (SELECT doc_id, i, trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS x FROM s), "
+    "l AS (SELECT doc_id, i, CASE " + " ".join(
+        f"WHEN regexp_full_match(x, '{r} [0-9]+( [0-9]+)*') THEN '{n}' || replace(regexp_extract(x, '([0-9]+( [0-9]+)*)$', 1), ' ', '.')" if n.endswith("-") else
+        f"WHEN regexp_full_match(x, '{r}') THEN '{n}'" for r, n in _REFS) + " END AS l FROM n) "
+    "SELECT d.doc_id, COALESCE(g.l, '') AS licenses, COALESCE(g.c, 0) AS n_licenses, COALESCE(g.c, 0) AS n_sentences FROM documents d LEFT JOIN "
+    "(SELECT doc_id, string_agg(l, '|' ORDER BY i) AS l, COUNT(*) AS c FROM l WHERE l IS NOT NULL GROUP BY doc_id) g USING (doc_id)")
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import html
+    x = html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return x.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+OP3_SQL = r"""
+WITH a AS (SELECT page_id, url, COALESCE(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '') AS h FROM pages),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(h, '</?(p|h1|br)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) AS lines FROM a),
+c AS (SELECT page_id, url, list_transform(lines, lambda x: trim(regexp_replace(replace(replace(
+        regexp_replace(x, '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))) AS lines FROM b),
+d AS (SELECT page_id, url, array_to_string(list_transform(list_filter(lines, lambda x: x <> ''), lambda x: regexp_replace(x, '&amp;?', '&', 'g')), chr(10)) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskframe.llm import topk
     return topk.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
@@ -103,8 +142,8 @@ def op9_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op4_topk": op4_topk, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
-ORACLE = {"op4_topk": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+QUERIES = {"op2_licenses": op2_licenses, "op3_html": op3_html, "op4_topk": op4_topk, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
+ORACLE = {"op2_licenses": OP2_SQL, "op3_html": OP3_SQL, "op4_topk": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
 
 
 def queries():
