@@ -14,6 +14,13 @@ from riskframe.llm.common import table
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import lines
+    x = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), removed_col="removed")
+    return x.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"),
+                    F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskframe.llm import licenses
     x = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -142,7 +149,7 @@ def op9_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_licenses": op2_licenses, "op3_html": op3_html, "op4_topk": op4_topk, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_licenses": op2_licenses, "op3_html": op3_html, "op4_topk": op4_topk, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
 ORACLE = {"op2_licenses": OP2_SQL, "op3_html": OP3_SQL, "op4_topk": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
 
 
