@@ -49,12 +49,12 @@ def whole(vecs: list, dim: int, scale: float) -> np.ndarray:
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T without rounding: doubles while every sum fits in 53 bits, else
-    Python integers."""
+    Python integers, saturated at 64 bits."""
     top = lambda x: float(np.abs(x).max(initial=0.0))
     if top(a) * top(b) * max(1, a.shape[1]) < 2 ** 53:
         return a @ b.T
     big = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], object).reshape(x.shape)
-    return big(a) @ big(b).T
+    return np.clip(big(a) @ big(b).T, -2 ** 63, 2 ** 63 - 1)
 
 
 def bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -213,7 +213,7 @@ def _unit_fn(k: int, floors: bool):
                     ids = _ids(rows[j]["ids"])
                     blocks[j] = _unpack(rows[j]["mat"], dim, len(ids)), ids
                 _score(q, q_ids, live[at[live] == j], best, *blocks[j])
-        out = [(int(q_ids[i]), v, max(-2 ** 63, min(2 ** 63 - 1, -s))) for i, x in best.items() for s, v in x.rows]
+        out = [(int(q_ids[i]), v, -s) for i, x in best.items() for s, v in x.rows]
         return pa.table({c: pa.array([o[n] for o in out], pa.int64()) for n, c in enumerate(("query_id", "vec_id", "score"))})
     return run
 
