@@ -175,7 +175,7 @@ class Best:
     def add(self, scores, ids) -> None:
         self.rows = sorted([*self.rows, *((-s, i) for s, i in zip(scores, ids))])[:self.k]
         if len(self.rows) == self.k:
-            self.floor = max(self.floor, float(-self.rows[-1][0]))
+            self.floor = max(self.floor, -self.rows[-1][0])
 
 
 def _score(q: np.ndarray, q_ids: np.ndarray, which: np.ndarray, best: dict, m: np.ndarray, ids: np.ndarray) -> None:
@@ -197,6 +197,7 @@ def _unit_fn(k: int, floors: bool):
         dim, q_ids = rows[0]["dim"], _ids(rows[0]["q_ids"])
         q = _unpack(rows[0]["q_mat"], dim, len(q_ids))
         kth = np.frombuffer(rows[0]["kth"], np.float64) if floors else np.full(len(q_ids), -np.inf)
+        kth = np.where(np.isfinite(kth) & (np.abs(kth) >= 2 ** 53), kth - np.abs(kth) * 1e-9, kth)     # a rounded long: a little room
         best = {i: Best(k, kth[i]) for i in range(len(q_ids))}
         which = [np.frombuffer(r["q"], "<i4") for r in rows]
         bound = np.full((len(q_ids), len(rows)), -np.inf)
@@ -207,7 +208,7 @@ def _unit_fn(k: int, floors: bool):
         for step in range(len(rows)):              # every query's next block, the queries of a block together
             at = order[:, step]
             b = bound[np.arange(len(q_ids)), at]
-            live = np.flatnonzero((b > -np.inf) & (b >= np.array([best[i].floor for i in range(len(q_ids))])))
+            live = np.flatnonzero((b > -np.inf) & (b >= np.array([float(best[i].floor) for i in range(len(q_ids))])))
             for j in np.unique(at[live]).tolist():
                 if j not in blocks:
                     ids = _ids(rows[j]["ids"])

@@ -59,7 +59,7 @@ def test_topk_large_values_and_empty(spark):
     want = [(0, r, i, score[i]) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)]
     got = topk.top_k(vectors(spark, big), F.col("id") == 0).collect()
     assert sorted(map(tuple, got)) == want
-    half = [(i, [v[0] / 1e5, *v[1:]], 0) for i, v, _ in big]                          # beyond 53 bits, within 64
+    half = [(i, [v[0] / 1e6, *v[1:]], 0) for i, v, _ in big]                          # beyond 53 bits, within 64
     by = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in half}
     score = {i: sum(a * b for a, b in zip(by[0], by[i])) for i in by if i}
     want = [(0, r, i, score[i]) for r, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:5], 1)]
