@@ -175,7 +175,11 @@ def quality_report(df: DataFrame, target: str | None = None, max_card: int = 50,
     cols = df.columns
     num = [c for c in cols if is_numeric(df, c)]
     aggs = [F.count(F.lit(1)).alias("__n")]
-    aggs += [F.countDistinct(F.col(f"`{c}`")).alias(f"nu__{c}") for c in cols]
+    # constant: at most one distinct value, i.e. min = max or nothing but nulls; one
+    # pass without distinct counting
+    simple = [c for c, t in df.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    aggs += [F.coalesce((F.min(F.col(f"`{c}`")) < F.max(F.col(f"`{c}`"))).cast("int") + 1, F.count(F.col(f"`{c}`")) * 0).alias(f"nu__{c}")
+             if c in simple else F.countDistinct(F.col(f"`{c}`")).alias(f"nu__{c}") for c in cols]
     aggs += [F.count_if(F.abs(F.col(f"`{c}`").cast("double")) == F.lit(float("inf"))).alias(f"inf__{c}") for c in num]
     wide = df.agg(*aggs)
     items = [(c, [f"nu__{c}"]) for c in cols]
@@ -183,8 +187,11 @@ def quality_report(df: DataFrame, target: str | None = None, max_card: int = 50,
                                                   F.col("value").cast("double").alias("value"))
     out = nu.where(F.col("value") <= 1).withColumn("check", F.lit("constant"))
     hc = [c for c in cols if c not in num]
-    out = out.unionByName(nu.where(F.col("column").isin(*hc) & (F.col("value") > max_card))
-                          .withColumn("check", F.lit("high_cardinality"))) if hc else out
+    if hc:
+        # exact distinct counts of the string columns only: (column, value) pairs, combined map-side
+        pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in hc])).alias("s"))
+        card = pairs.select("s.*").where(F.col("v").isNotNull()).distinct().groupBy("column").agg(F.count(F.lit(1)).cast("double").alias("value"))
+        out = out.unionByName(card.where(F.col("value") > max_card).select(F.lit("high_cardinality").alias("check"), "column", "value"))
     if num:
         inf = stack_row(wide, [(c, [f"inf__{c}"]) for c in num], ["value"]).select(
             F.lit("infinite").alias("check"), F.col("feature").alias("column"), F.col("value").cast("double").alias("value"))

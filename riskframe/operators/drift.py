@@ -1,8 +1,9 @@
 """Distribution tests and drift, computed for ALL features in one job.
 
-Both sides are unpivoted once to (feature, value); every statistic is then a
-group-by on feature (or feature, value) -- partial aggregation happens before
-the shuffle, so a feature holding most rows, or one hot value, stays cheap.
+Each side is unpivoted once into ONE table of counts per (feature, value) with
+running and total counts; the KS gap, the reference deciles, the PSI bins, the
+moments and the minimum counts all follow from it.  Partial aggregation happens
+before the shuffle, so a feature holding most rows, or one hot value, stays cheap.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.operators.checks import unpivot
-from riskframe.operators.ordered import exact_quantiles, running_sum
+from riskframe.operators.ordered import running_sum
+from riskframe.sources.io import materialize
 
 # fixed values: smoothing constants, bin count, alert level and interpretation labels
 PSI_BINS = 10
@@ -29,10 +30,6 @@ CATEGORICAL_LABELS = ("✅ No significant drift", "⚠️ Small drift detected",
                       "🔴 Significant drift detected")
 
 
-def _long(df: DataFrame, cols: Sequence[str], side: str) -> DataFrame:
-    return unpivot(df, [], cols).where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("side", F.lit(side))
-
-
 def kolmogorov_p(d: Column, en: Column, terms: int = 100) -> Column:
     """Asymptotic two-sample KS p-value with Stephens' small-sample factor:
     Q(lambda) = 2 sum_j (-1)^(j-1) exp(-2 j^2 lambda^2)."""
@@ -44,49 +41,80 @@ def kolmogorov_p(d: Column, en: Column, terms: int = 100) -> Column:
     return F.when(lam < F.lit(0.2), F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
 
 
+def value_counts(reference: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, value, n_ref, n_cur) with running and total counts: one unpivot
+    per side.  Text that is no number counts as missing (try_cast)."""
+    def long(df, side):
+        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").try_cast("double").alias("value")) for c in cols])
+        return df.select(F.inline(cells)).where(F.col("value").isNotNull() & ~F.isnan("value")).withColumn("ref", F.lit(side))
+    both = long(reference, 1).unionByName(long(current, 0))
+    counts = both.groupBy("feature", "value").agg(F.sum("ref").alias("n_ref"), F.sum(1 - F.col("ref")).alias("n_cur"))
+    return materialize(running_sum(counts, "value", ["n_ref", "n_cur"], ["feature"], totals=True), "drift-counts")
+
+
+def feature_stats(reference: DataFrame, current: DataFrame, cols: Sequence[str], n_bins: int = PSI_BINS) -> DataFrame:
+    """One row per feature: n_ref, n_cur, D (largest gap), PSI, means and population
+    standard deviations of both sides -- all from the count table: one
+    aggregate for gaps, reference deciles and means, one for bins and squares."""
+    c = value_counts(reference, current, cols)
+    gap = F.abs(F.try_divide(F.col("cum_n_ref"), F.col("tot_n_ref")) - F.try_divide(F.col("cum_n_cur"), F.col("tot_n_cur")))
+    probs = [i / n_bins for i in range(n_bins + 1)]
+    last, first = F.col("cum_n_ref") - 1, F.col("cum_n_ref") - F.col("n_ref")
+
+    def at(rank):       # the value that covers a reference rank
+        return F.max(F.when((F.col("n_ref") > 0) & (rank >= first) & (rank <= last), F.col("value")))
+    h = [(F.col("tot_n_ref") - 1).cast("double") * F.lit(p) for p in probs]
+    one = c.groupBy("feature").agg(
+        F.max("tot_n_ref").alias("n_ref"), F.max("tot_n_cur").alias("n_cur"), F.max(gap).alias("D"),
+        F.try_divide(F.sum(F.col("value") * F.col("n_ref")), F.sum("n_ref")).alias("ref_mean"),
+        F.try_divide(F.sum(F.col("value") * F.col("n_cur")), F.sum("n_cur")).alias("cur_mean"),
+        *[at(F.floor(x)).alias(f"lo{i}") for i, x in enumerate(h)], *[at(F.ceil(x)).alias(f"hi{i}") for i, x in enumerate(h)])
+    rank = lambda i: (F.col("n_ref") - 1).cast("double") * F.lit(probs[i])
+    q = F.array_sort(F.array_distinct(F.array(*[F.col(f"lo{i}") + (rank(i) - F.floor(rank(i))) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
+                                                for i in range(len(probs))])))
+    stats = materialize(one.withColumn("q", F.when(F.col("n_ref") > 0, q)).select("feature", "n_ref", "n_cur", "D", "ref_mean", "cur_mean", "q"), "drift-stats")
+    # one row per feature with at most n_bins + 1 edges: bounded by the schema
+    j = c.join(F.broadcast(stats.select("feature", "ref_mean", "cur_mean", "q")), "feature")
+    inner = F.slice("q", 2, F.greatest(F.size("q") - 2, F.lit(0)))
+    b = j.withColumn("bin", F.coalesce(F.size(F.filter(inner, lambda e: e <= F.col("value"))), F.lit(0)))
+    dev = lambda m: (F.col("value") - F.col(m)) * (F.col("value") - F.col(m))
+    two = b.groupBy("feature").agg(
+        F.sum(dev("ref_mean") * F.col("n_ref")).alias("ref_sq"), F.sum(dev("cur_mean") * F.col("n_cur")).alias("cur_sq"),
+        *[F.sum(F.when(F.col("bin") == i, F.col(n)).otherwise(0)).alias(f"{n}_{i}") for i in range(n_bins) for n in ("n_ref", "n_cur")])
+    share = lambda n, i: (F.col(f"{n}_{i}") + F.lit(PSI_EPS)) / (F.col(n) + F.lit(PSI_EPS))
+    psi_ = F.lit(0.0)
+    for i in range(n_bins):
+        term = (share("n_cur", i) - share("n_ref", i)) * F.log(share("n_cur", i) / share("n_ref", i))
+        psi_ = psi_ + F.when(F.size("q") - 1 > i, term).otherwise(F.lit(0.0))
+    feats = reference.sparkSession.createDataFrame([(c_,) for c_ in cols], "feature string")
+    full = feats.join(stats, "feature", "left").join(two, "feature", "left")
+    both = (F.coalesce("n_ref", F.lit(0)) > 0) & (F.coalesce("n_cur", F.lit(0)) > 0)
+    return full.select(
+        "feature", F.coalesce("n_ref", F.lit(0)).alias("n_ref"), F.coalesce("n_cur", F.lit(0)).alias("n_cur"), F.when(both, F.col("D")).alias("D"),
+        F.when(both & (F.size("q") >= 2), psi_).otherwise(F.lit(0.0)).alias("psi"), "ref_mean", "cur_mean",
+        F.sqrt(F.try_divide("ref_sq", "n_ref")).alias("ref_std"), F.sqrt(F.try_divide("cur_sq", "n_cur")).alias("cur_std"))
+
+
+def _with_ks(stats: DataFrame) -> DataFrame:
+    en = F.try_divide(F.col("n_ref") * F.col("n_cur"), F.col("n_ref") + F.col("n_cur"))
+    return stats.withColumn("ks_statistic", F.coalesce("D", F.lit(0.0))).withColumn(
+        "p_value", F.when(F.col("D").isNull(), F.lit(1.0)).otherwise(kolmogorov_p(F.col("D"), en)))
+
+
 def ks_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Two-sample KS statistic D (exact) and p-value per feature."""
-    both = _long(reference, cols, "ref").unionByName(_long(current, cols, "cur"))
-    counts = both.groupBy("feature", "value").agg(F.count_if(F.col("side") == "ref").alias("n_ref"),
-                                                  F.count_if(F.col("side") == "cur").alias("n_cur"))
-    cum = running_sum(counts, "value", ["n_ref", "n_cur"], ["feature"], ranges=ranges, totals=True)
-    j = cum.withColumnsRenamed({"tot_n_ref": "tot_ref", "tot_n_cur": "tot_cur"})
-    gap = F.abs(F.try_divide(F.col("cum_n_ref"), F.col("tot_ref")) - F.try_divide(F.col("cum_n_cur"), F.col("tot_cur")))
-    ks = j.groupBy("feature").agg(F.max(gap).alias("D"), F.first("tot_ref").alias("n_ref"),
-                                  F.first("tot_cur").alias("n_cur"))
-    en = F.try_divide(F.col("n_ref") * F.col("n_cur"), F.col("n_ref") + F.col("n_cur"))
-    feats = reference.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
-    out = feats.join(ks, "feature", "left")
-    empty = F.coalesce(F.col("n_ref"), F.lit(0)) * F.coalesce(F.col("n_cur"), F.lit(0)) == 0
-    return out.select("feature", F.when(empty, F.lit(0.0)).otherwise(F.col("D")).alias("ks_statistic"),
-                      F.when(empty, F.lit(1.0)).otherwise(kolmogorov_p(F.col("D"), en)).alias("p_value"))
+    c = value_counts(reference, current, cols)
+    gap = F.abs(F.try_divide(F.col("cum_n_ref"), F.col("tot_n_ref")) - F.try_divide(F.col("cum_n_cur"), F.col("tot_n_cur")))
+    ks = c.groupBy("feature").agg(F.max(gap).alias("D"), F.max("tot_n_ref").alias("n_ref"), F.max("tot_n_cur").alias("n_cur"))
+    feats = reference.sparkSession.createDataFrame([(c_,) for c_ in cols], "feature string")
+    both = (F.coalesce("n_ref", F.lit(0)) > 0) & (F.coalesce("n_cur", F.lit(0)) > 0)
+    return _with_ks(feats.join(ks, "feature", "left").withColumn("D", F.when(both, F.col("D")))).select("feature", "ks_statistic", "p_value")
 
 
 def psi(reference: DataFrame, current: DataFrame, cols: Sequence[str], n_bins: int = PSI_BINS) -> DataFrame:
-    """PSI on the reference's decile edges (unique), outer edges widened to
-    cover both sides, last bin closed, +1e-6 smoothing."""
-    ref, cur = _long(reference, cols, "ref"), _long(current, cols, "cur")
-    probs = [i / n_bins for i in range(n_bins + 1)]
-    # exact reference deciles per feature, computed without gathering a feature's values in one task
-    qs = exact_quantiles(ref, "value", probs, ["feature"]).groupBy("feature").agg(
-        F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("q"))
-    cm = cur.groupBy("feature").agg(F.min("value").alias("cmin"), F.max("value").alias("cmax"))
-    # edges: one row per feature with <= n_bins + 1 values -> bounded broadcast
-    edges = qs.join(cm, "feature", "inner").where(F.size("q") >= 2).select(
-        "feature", F.slice("q", 2, F.size("q") - 2).alias("inner"), (F.size("q") - 1).alias("n_bins"))
-    both = ref.unionByName(cur).join(F.broadcast(edges), "feature")
-    binned = both.withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
-    counts = binned.groupBy("feature", "bin").agg(F.count_if(F.col("side") == "ref").alias("r"),
-                                                  F.count_if(F.col("side") == "cur").alias("c"))
-    allbins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
-    full = allbins.join(counts, ["feature", "bin"], "left").fillna(0, ["r", "c"])
-    tot = full.groupBy("feature").agg(F.sum("r").alias("r_tot"), F.sum("c").alias("c_tot"))
-    p = full.join(tot, "feature").select(
-        "feature", ((F.col("r") + F.lit(PSI_EPS)) / (F.col("r_tot") + F.lit(PSI_EPS))).alias("rp"),
-        ((F.col("c") + F.lit(PSI_EPS)) / (F.col("c_tot") + F.lit(PSI_EPS))).alias("cp"))
-    val = p.groupBy("feature").agg(F.sum((F.col("cp") - F.col("rp")) * F.log(F.col("cp") / F.col("rp"))).alias("psi"))
-    feats = reference.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
-    return feats.join(val, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    """PSI on the reference's exact decile edges (unique), outer edges open on
+    both sides, +1e-6 smoothing."""
+    return feature_stats(reference, current, cols, n_bins).select("feature", "psi")
 
 
 def chi2_statistic(reference: DataFrame, current: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -171,24 +199,31 @@ def chi2_drift(reference: DataFrame, current: DataFrame, cols: Sequence[str]) ->
         .when(F.col("chi2_statistic") < 25, CATEGORICAL_LABELS[2]).otherwise(CATEGORICAL_LABELS[3]))
 
 
-def drift_record(reference: DataFrame, current: DataFrame, cols: Sequence[str], alert_p: float = ALERT_P) -> DataFrame:
+def drift_record(reference: DataFrame, current: DataFrame, cols: Sequence[str], alert_p: float = ALERT_P,
+                 categorical: Sequence[str] = (), min_ref: int = 0, min_cur: int = 0) -> DataFrame:
     """Per numeric feature: KS, p, PSI (4-dec half-even rounding), drifted flag,
-    interpretation, reference/current mean and population std."""
-    ks = ks_drift(reference, current, cols)
-    ps = psi(reference, current, cols)
-
-    def moments(df, tag):
-        long = _long(df, cols, tag)
-        return long.groupBy("feature").agg(F.avg("value").alias(f"{tag}_mean"), F.stddev_pop("value").alias(f"{tag}_std"))
-    out = ks.join(ps, "feature").join(moments(reference, "reference"), "feature", "left") \
-            .join(moments(current, "current"), "feature", "left")
+    interpretation, reference/current mean and population std; features with
+    fewer than ``min_ref`` / ``min_cur`` values are left out.  ``categorical``
+    features join the same record with their chi-square test (statistic in
+    ``ks_statistic``'s place is null)."""
+    out = _with_ks(feature_stats(reference, current, cols))
+    if min_ref or min_cur:
+        out = out.where((F.col("n_ref") >= min_ref) & (F.col("n_cur") >= min_cur))
     p = F.col("p_value")
     interp = (F.when(p > alert_p, NUMERIC_LABELS[0]).when(F.col("psi") < 0.1, NUMERIC_LABELS[1])
               .when(F.col("psi") < 0.25, NUMERIC_LABELS[2]).otherwise(NUMERIC_LABELS[3]))
-    return out.select("feature", F.lit("KS").alias("drift_test"),
-                      F.bround("ks_statistic", 4).alias("ks_statistic"), F.bround(p, 4).alias("p_value"),
-                      F.bround("psi", 4).alias("psi"), (p < alert_p).alias("is_drifted"), interp.alias("interpretation"),
-                      "reference_mean", "current_mean", "reference_std", "current_std")
+    rec = out.select("feature", F.lit("KS").alias("drift_test"),
+                     F.bround("ks_statistic", 4).alias("ks_statistic"), F.bround(p, 4).alias("p_value"),
+                     F.bround("psi", 4).alias("psi"), (p < alert_p).alias("is_drifted"), interp.alias("interpretation"),
+                     F.col("ref_mean").alias("reference_mean"), F.col("cur_mean").alias("current_mean"),
+                     F.col("ref_std").alias("reference_std"), F.col("cur_std").alias("current_std"))
+    if categorical:
+        chi = chi2_drift(reference, current, categorical)
+        none = F.lit(None).cast("double")
+        rec = rec.unionByName(chi.select("feature", F.lit("chi2").alias("drift_test"), none.alias("ks_statistic"), F.bround("p_value", 4).alias("p_value"),
+                                         none.alias("psi"), (F.col("p_value") < alert_p).alias("is_drifted"), "interpretation",
+                                         *[none.alias(c) for c in ("reference_mean", "current_mean", "reference_std", "current_std")]))
+    return rec
 
 
 def drift_summary(records: DataFrame) -> DataFrame:
@@ -228,20 +263,13 @@ def prediction_drift(reference: DataFrame, current: DataFrame, score: str) -> Da
 
 
 def batch_drift(reference: DataFrame, current: DataFrame, min_ref: int = 10, min_cur: int = 5,
-                exclude: Sequence[str] = (), max_features: int | None = None) -> DataFrame:
+                exclude: Sequence[str] = ()) -> DataFrame:
     """Drift records for every numeric column shared by both tables that has
-    at least ``min_ref`` / ``min_cur`` non-null values.  All features run in
-    one job; the reference capped them at 50 only to bound a Python loop."""
+    at least ``min_ref`` / ``min_cur`` non-null values, from one count table."""
     num = ("int", "bigint", "smallint", "tinyint", "double", "float")
     shared = [f.name for f in reference.schema.fields
               if f.dataType.simpleString() in num and f.name in current.columns and f.name not in exclude]
-    if max_features:
-        shared = shared[:max_features]
-    rec = drift_record(reference, current, shared)
-    cnt = _long(reference, shared, "ref").unionByName(_long(current, shared, "cur")).groupBy("feature").agg(
-        F.count_if(F.col("side") == "ref").alias("__nr"), F.count_if(F.col("side") == "cur").alias("__nc"))
-    ok = cnt.where((F.col("__nr") >= min_ref) & (F.col("__nc") >= min_cur)).select("feature")
-    return rec.join(ok, "feature", "left_semi")
+    return drift_record(reference, current, shared, min_ref=min_ref, min_cur=min_cur)
 
 
 def persist_drift(records: DataFrame, path: str, batch_id: str) -> DataFrame:

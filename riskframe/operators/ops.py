@@ -43,6 +43,6 @@ def request_stats(log: DataFrame, ts: str, latency: str, is_error, by_day: bool
 def retention(df: DataFrame, ts: str, days: int = 180, as_of=None) -> DataFrame:
     """Rows newer than ``days`` before ``as_of`` (default: the newest row)."""
     if as_of is None:
-        mx = df.agg(F.max(ts).alias("__asof"))
-        return df.crossJoin(mx).where(F.col(ts) > F.col("__asof") - F.expr(f"INTERVAL {days} DAYS")).drop("__asof")
+        from riskframe.operators.profile import after_newest
+        return after_newest(df, ts, lambda mx: mx - F.expr(f"INTERVAL {days} DAYS"))
     return df.where(F.col(ts) > F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS"))

@@ -22,19 +22,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Size-checked broadcast for a side table whose size follows a group
-    count: it is written once (Parquet, shared folder), its row count read
-    from the written table, and only then hinted for broadcast; beyond
-    ``max_rows`` the planner's shuffle join is used instead."""
-    from riskframe.sources.io import materialize
-    m = materialize(small, "side-table")
-    return F.broadcast(m) if m.count() <= max_rows else m
-
-
 def n_ranges(spark) -> int:
     """One order range per shuffle partition: the cluster's configured
     parallelism."""
@@ -80,35 +67,55 @@ def running_sum(df: DataFrame, order_col: str, sum_cols: Sequence[str], groups:
         F.col(f"__off_{c}") + F.sum(c).over(w)).alias(f"{prefix}{c}") for c in sum_cols], *extra)
 
 
+#: Half-width of the rank bracket around a quantile, as a share of the rows; far
+#: above the error of the approximate ranks (1 / ACCURACY), so the bracket
+#: always holds the exact ranks.
+BRACKET, ACCURACY, SMALL_GROUP = 0.005, 10_000, 2_000
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], groups: Sequence[str] = (),
                     ranges: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / numpy default, same as
     Spark's ``percentile``) without holding a group's values in one task.
 
-    Count per distinct value -> distributed running count -> every distinct
-    value knows the rank interval it covers; the few target ranks
-    (floor / ceil of (n-1) p) are matched against those intervals row-locally.
-    Returns (groups..., p_index, p, quantile); groups with no non-null value
-    are absent."""
+    One aggregate brackets every wanted rank by two approximate quantiles (groups
+    below ``SMALL_GROUP`` rows: by their extremes); one aggregate counts the
+    rows below each bracket; only values inside a bracket (about a hundredth of
+    the rows) are counted per distinct value, ranked by a running count and
+    matched against the wanted ranks.  Returns (groups..., p_index, p,
+    quantile); groups with no non-null value are absent."""
+    from riskframe.sources.io import materialize
     groups = list(groups)
     v = F.col(value_col).cast("double")
-    counts = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    cum = running_sum(counts, "__v", ["__c"], groups, ranges=ranges, totals=True)
-    first = F.col("cum___c") - F.col("__c")
-    last = F.col("cum___c") - 1
-    n = F.col("tot___c")
-    targets = F.array(*[F.struct(F.lit(i).alias("pi"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    with_h = F.transform(targets, lambda t: F.struct(
-        t["pi"].alias("pi"), t["p"].alias("p"), ((n - 1).cast("double") * t["p"]).alias("h"),
-        F.floor((n - 1).cast("double") * t["p"]).alias("lo"), F.ceil((n - 1).cast("double") * t["p"]).alias("hi")))
-    hit = F.filter(with_h, lambda t: ((t["lo"] >= first) & (t["lo"] <= last)) | ((t["hi"] >= first) & (t["hi"] <= last)))
-    x = cum.select(*groups, "__v", first.alias("__rank_first"), last.alias("__rank_last"), F.explode(hit).alias("t"))
-    in_lo = (F.col("t.lo") >= F.col("__rank_first")) & (F.col("t.lo") <= F.col("__rank_last"))
-    in_hi = (F.col("t.hi") >= F.col("__rank_first")) & (F.col("t.hi") <= F.col("__rank_last"))
-    g = x.groupBy(*groups, F.col("t.pi").alias("p_index"), F.col("t.p").alias("p")).agg(
-        F.max(F.when(in_lo, F.col("__v"))).alias("__lo_v"), F.max(F.when(in_hi, F.col("__v"))).alias("__hi_v"),
-        F.first("t.h").alias("__h"), F.first("t.lo").alias("__lo"))
-    q = F.col("__lo_v") + (F.col("__h") - F.col("__lo")) * (F.col("__hi_v") - F.col("__lo_v"))
+    base = df.where(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("__v"))
+    ends = [min(1.0, max(0.0, p + s)) for p in probs for s in (-BRACKET, BRACKET)]
+    b = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", ends, ACCURACY).alias("__e"),
+                                  F.min("__v").alias("__min"), F.max("__v").alias("__max")).where("__n > 0")
+    small = F.col("__n") < SMALL_GROUP
+    n = F.col("__n")
+    targets = F.array(*[F.struct(
+        F.lit(i).alias("pi"), F.lit(float(p)).alias("p"), ((n - 1).cast("double") * F.lit(float(p))).alias("h"),
+        F.when(small | F.lit(p <= BRACKET), F.col("__min")).otherwise(F.col("__e")[2 * i]).alias("from"),
+        F.when(small | F.lit(p >= 1 - BRACKET), F.col("__max")).otherwise(F.col("__e")[2 * i + 1]).alias("to")) for i, p in enumerate(probs)])
+    brackets = materialize(b.select(*[F.col(g).alias(f"__g_{g}") for g in groups], targets.alias("__t")), "quantile-brackets")
+    on = F.lit(True)
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    # one row per group; without groups a single row
+    j = base.join(brackets, on) if groups else base.crossJoin(F.broadcast(brackets))
+    below = j.groupBy(*groups).agg(*[F.count_if(F.col("__v") < F.col("__t")[i]["from"]).alias(f"__b{i}") for i in range(len(probs))])
+    below = below.select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.array(*[f"__b{i}" for i in range(len(probs))]).alias("__below"))
+    hits = F.filter("__t", lambda t: (t["from"] <= F.col("__v")) & (F.col("__v") <= t["to"]))
+    inside = j.select(*groups, "__v", F.explode(hits).alias("t")).groupBy(*groups, F.col("t.pi").alias("p_index"), F.col("t.p").alias("p"),
+                                                                         F.col("t.h").alias("__h"), "__v").agg(F.count(F.lit(1)).alias("__c"))
+    cum = running_sum(inside, "__v", ["__c"], [*groups, "p_index", "p", "__h"], ranges=ranges)
+    k = cum.join(below, on) if groups else cum.crossJoin(F.broadcast(below))
+    last = F.col("__below")[F.col("p_index")] + F.col("cum___c") - 1
+    first = last - F.col("__c") + 1
+    lo, hi = F.floor("__h"), F.ceil("__h")
+    g = k.groupBy(*groups, "p_index", "p", "__h").agg(
+        F.max(F.when((lo >= first) & (lo <= last), F.col("__v"))).alias("__lo_v"), F.max(F.when((hi >= first) & (hi <= last), F.col("__v"))).alias("__hi_v"))
+    q = F.col("__lo_v") + (F.col("__h") - lo) * (F.col("__hi_v") - F.col("__lo_v"))
     return g.select(*groups, "p_index", "p", q.alias("quantile"))
 
 

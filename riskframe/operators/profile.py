@@ -85,10 +85,16 @@ def batches(log: DataFrame, max_error_share: float = 0.22) -> DataFrame:
     ).withColumn("status", F.when(F.col("n_errors") / F.col("total") > F.lit(max_error_share), "failed").otherwise("completed"))
 
 
+def after_newest(df: DataFrame, col: str, cut) -> DataFrame:
+    """Rows whose ``col`` is greater than ``cut(max of col)``.  The maximum is a
+    scalar subquery, so the filter reaches the scan."""
+    newest = df.select(F.col(col).alias("__v")).agg(F.max("__v").alias("__mx"))
+    return df.where(F.col(col) > newest.select(cut(F.col("__mx"))).scalar())
+
+
 def rolling_rates(log: DataFrame, days: int = 7) -> DataFrame:
     """Default (error) rate, average probability, high-risk share over the last N days of the log."""
-    mx = log.agg(F.max("ts").alias("__mx"))
-    recent = log.crossJoin(mx).where(F.col("ts") > F.col("__mx") - F.expr(f"INTERVAL {days} DAYS"))
+    recent = after_newest(log, "ts", lambda mx: mx - F.expr(f"INTERVAL {days} DAYS"))
     return recent.agg(F.count(F.lit(1)).alias("n"),
                       F.avg((F.col("event_type") == "error").cast("double")).alias("default_rate"),
                       F.avg("probability").alias("avg_probability"),

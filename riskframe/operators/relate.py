@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.checks import unpivot
-
 
 def cascade_subset(parent: DataFrame, parent_key: str, chain: Sequence[tuple[DataFrame, str, str]]) -> list[DataFrame]:
     """Subset every table of a key chain to the rows reachable from ``parent``.
@@ -25,12 +23,15 @@ def cascade_subset(parent: DataFrame, parent_key: str, chain: Sequence[tuple[Dat
 
 
 def known_unknown(batch: DataFrame, key: str, precomputed: DataFrame, compute) -> DataFrame:
-    """Rows whose key is in ``precomputed`` take those features; the others are
-    computed by ``compute(unknown_batch)``; union by name with a source tag."""
-    known = precomputed.join(batch.select(key), key, "left_semi").withColumn("source", F.lit("precomputed"))
+    """Every row of ``batch`` once: with the features stored in ``precomputed``, or
+    else with those of ``compute(unknown_batch)`` (null where it has none), and
+    a source tag.  Both are joined to the batch, so no applicant is lost."""
+    known = precomputed.withColumn("source", F.lit("precomputed"))
     unknown = batch.join(precomputed.select(key), key, "left_anti")
-    fresh = compute(unknown).withColumn("source", F.lit("computed"))
-    return known.unionByName(fresh, allowMissingColumns=True)
+    fresh = compute(unknown)
+    stored = batch.join(known, key, "inner")
+    computed = unknown.join(fresh, key, "left").withColumn("source", F.lit("computed"))
+    return stored.unionByName(computed, allowMissingColumns=True)
 
 
 def fit_group_means(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -64,12 +65,13 @@ def id_remap(df: DataFrame, col: str, mapping: DataFrame, old: str = "old_id", n
 
 
 def table_diff(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str], tol: float = 1e-4) -> DataFrame:
-    """Cell-wise differences: unpivot both, full outer join on (keys, feature);
-    NULL == NULL counts as equal; |a - b| > tol is a difference."""
-    la = unpivot(a, keys, cols, val="value_a")
-    lb = unpivot(b, keys, cols, val="value_b")
-    j = la.join(lb, list(keys) + ["feature"], "full")
-    va, vb = F.col("value_a"), F.col("value_b")
-    diff = F.abs(va - vb)
-    differs = (va.isNull() != vb.isNull()) | (diff > F.lit(tol))
-    return j.where(F.coalesce(differs, F.lit(False))).select(*keys, "feature", "value_a", "value_b", diff.alias("abs_diff"))
+    """Cell-wise differences: one full outer join of the wide rows, then only the
+    cells that differ are exploded.  NULL == NULL counts as equal;
+    |a - b| > tol is a difference; a row on one side only differs in its
+    non-null cells."""
+    wide = lambda df, side: df.select(*keys, F.struct(*[F.col(c).cast("double").alias(c) for c in cols]).alias(side))
+    j = wide(a, "a").join(wide(b, "b"), list(keys), "full")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a.{c}").alias("value_a"), F.col(f"b.{c}").alias("value_b"),
+                               F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")).alias("abs_diff")) for c in cols])
+    differs = F.filter(cells, lambda s: F.coalesce((s["value_a"].isNull() != s["value_b"].isNull()) | (s["abs_diff"] > F.lit(tol)), F.lit(False)))
+    return j.select(*keys, F.inline(differs))

@@ -45,10 +45,9 @@ def hash_top_n(df: DataFrame, key: str, n, groups: Sequence[str] = (), seed=42)
         F.first("__n").alias("__n"))
     cut = cut.select(*groups, F.col("__m.bk").alias("__cut"), (F.col("__n") - F.col("__m.before")).alias("__need"))
     # cut: one row per group (one row without groups -> broadcast; with groups
-    # its size follows the stratum count: broadcast only after a size check)
+    # its size follows the stratum count: the planner decides)
     if groups:
-        from riskframe.operators.ordered import broadcast_if_small
-        cand = h.join(broadcast_if_small(cut), groups, "inner")
+        cand = h.join(cut, groups, "inner")
     else:
         cand = h.crossJoin(F.broadcast(cut))
     # buckets below the cut are taken whole; only the cut bucket (~1/65,536 of
@@ -97,7 +96,7 @@ def undersample(df: DataFrame, key: str, label: str, minority=1, ratio: float =
     """All minority rows + the first minority/ratio majority rows by hash."""
     mino = df.where(F.col(label) == F.lit(minority))
     majo = df.where(F.col(label) != F.lit(minority))
-    n = mino.agg(F.floor(F.count(F.lit(1)) / F.lit(ratio)).cast("int").alias("__n"))
+    n = mino.agg(F.floor(F.count(F.lit(1)) / F.lit(ratio)).cast("bigint").alias("__n"))
     return mino.unionByName(hash_top_n(majo, key, n, (), seed))
 
 

@@ -203,25 +203,24 @@ reg("target_drift", (
     f"{rnd_sql('SUM(CASE WHEN cls = 1 THEN b END) / MAX(TB)')} AS current_positive_rate FROM j"))
 
 
-def hash_sample(df, key: str, n: int, seed=42):
-    """n rows with the smallest md5 hash of (key, seed): a portable sample.
-    ``orderBy(...).limit(n)`` plans as a per-partition top-n + merge."""
-    return df.withColumn("__h", hash_bigint(key, seed=seed)).orderBy("__h", key).limit(n).drop("__h")
+def hash_share(df, key: str, share: float, seed=42):
+    """The rows whose md5 hash of (key, seed) falls in the lowest ``share``: a
+    sample that grows with the table."""
+    return df.where(hash_bigint(key, seed=seed).cast("double") < F.lit(share * 4294967296.0))
 
 
 @query("sampled_drift")
 def q_sampled_drift(spark, d):
+    """Drift on hash samples: 40 % of the reference, 10 % of the current rows."""
     ref, cur = events_split(spark, d)
-    return round_double_cols(DR.drift_record(hash_sample(ref, "event_id", 2000), hash_sample(cur, "event_id", 500),
-                                             ["value", "k"]))
+    return round_double_cols(DR.drift_record(hash_share(ref, "event_id", 0.4), hash_share(cur, "event_id", 0.1), ["value", "k"]))
 
 
-def _hs_sql(src, n):
-    return (f"(SELECT * FROM {src} ORDER BY CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '_42'), 1, 8) AS BIGINT), "
-            f"event_id LIMIT {n})")
+def _hs_sql(src, share):
+    return (f"(SELECT * FROM {src} WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR) || '_42'), 1, 8) AS BIGINT) < {share * 4294967296.0!r}e0)")
 
 
-reg("sampled_drift", EV + f", rs AS {_hs_sql('ref', 2000)}, cs AS {_hs_sql('cur', 500)} " + drift_record_sql(["value", "k"], "rs", "cs"))
+reg("sampled_drift", EV + f", rs AS {_hs_sql('ref', 0.4)}, cs AS {_hs_sql('cur', 0.1)} " + drift_record_sql(["value", "k"], "rs", "cs"))
 
 
 def monitoring_metrics(spark, d):

@@ -122,8 +122,7 @@ reg("risk_distribution", LOG + f" SELECT risk_level, COUNT(*) AS count, {rnd_sql
 @query("daily_counts")
 def q_daily_counts(spark, d, days: int = 7):
     lg = plog(spark, d)
-    mx = lg.agg(F.max("batch_date").alias("__mx"))
-    return lg.crossJoin(mx).where(F.col("batch_date") > F.date_sub("__mx", days)).groupBy("batch_date").agg(
+    return P.after_newest(lg, "batch_date", lambda mx: F.date_sub(mx, days)).groupBy("batch_date").agg(
         F.count(F.lit(1)).alias("count")).orderBy(F.col("batch_date").desc()).withColumn(
         "batch_date", F.col("batch_date").cast("string"))
 
@@ -402,28 +401,32 @@ reg("topk_per_row", _topk_row_sql())
 
 @query("waterfall_steps")
 def q_waterfall(spark, d):
-    c = contributions(spark, d).where(F.col("l_orderkey") <= F.lit(10 ** 18))
-    long = c.select(*LKEY, F.explode("contribs").alias("s")).select(*LKEY, "s.feature", "s.contribution")
-    # per-row windows: each partition holds one row's features (bounded by the model)
-    w = Window.partitionBy(*LKEY).orderBy(F.abs("contribution").desc(), "feature")
-    r = long.withColumn("rk", F.row_number().over(w))
-    step = r.withColumn("feature", F.when(F.col("rk") <= 2, F.col("feature")).otherwise(F.lit("sum of other features"))) \
-        .groupBy(*LKEY, "feature").agg(F.sum("contribution").alias("contribution"))
+    """Row-local: the two largest contributions and the sum of the others, in
+    order of size, as running steps from the base value (no exchange)."""
     base = 0.1
-    w2 = Window.partitionBy(*LKEY).orderBy(F.abs("contribution"), "feature")
-    out = step.withColumn("end_value", F.lit(base) + F.sum("contribution").over(w2.rowsBetween(Window.unboundedPreceding, 0))) \
-        .withColumn("start_value", F.col("end_value") - F.col("contribution"))
+    c = contributions(spark, d)
+    ranked = F.sort_array(F.transform("contribs", lambda s: F.struct((-F.abs(s["contribution"])).alias("o"), s["feature"].alias("feature"),
+                                                                     s["contribution"].alias("contribution"))))
+    rest = F.aggregate(F.slice("r", 3, len(CONTRIB)), F.lit(0.0), lambda a, s: a + s["contribution"])
+    step = F.array_append(F.transform(F.slice("r", 1, 2), lambda s: F.struct(F.abs(s["contribution"]).alias("o"), s["feature"].alias("feature"),
+                                                                             s["contribution"].alias("contribution"))),
+                          F.struct(F.abs("rest").alias("o"), F.lit("sum of other features").alias("feature"), F.col("rest").alias("contribution")))
+    x = c.select(*LKEY, ranked.alias("r")).withColumn("rest", rest).select(*LKEY, F.sort_array(step).alias("s"))
+    end = F.transform("s", lambda s, i: F.struct(s["feature"].alias("feature"), s["contribution"].alias("contribution"), F.aggregate(
+        F.slice("s", 1, i + 1), F.lit(base), lambda a, t: a + t["contribution"]).alias("end_value")))
+    out = x.select(*LKEY, F.inline(end)).withColumn("start_value", F.col("end_value") - F.col("contribution"))
     return round_double_cols(out)
 
 
 def _waterfall_sql():
-    long = " UNION ALL ".join(f"SELECT {LI_SEL}, '{n}' AS feature, ({e}) * {w} AS contribution FROM lineitem" for n, e, w in CONTRIB)
     keys = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-    return (f"WITH l AS ({long}), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {keys} ORDER BY abs(contribution) DESC, feature) AS rk FROM l), "
-            f"st AS (SELECT {keys}, CASE WHEN rk <= 2 THEN feature ELSE 'sum of other features' END AS feature, SUM(contribution) AS contribution "
+    long = " UNION ALL ".join(f"SELECT rid, {LI_SEL}, '{n}' AS feature, ({e}) * {w} AS contribution FROM li" for n, e, w in CONTRIB)
+    run = "SUM(contribution) OVER (PARTITION BY rid ORDER BY abs(contribution), feature ROWS UNBOUNDED PRECEDING)"
+    return (f"WITH li AS (SELECT *, ROW_NUMBER() OVER () AS rid FROM lineitem), l AS ({long}), "
+            "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY rid ORDER BY abs(contribution) DESC, feature) AS rk FROM l), "
+            f"st AS (SELECT rid, {keys}, CASE WHEN rk <= 2 THEN feature ELSE 'sum of other features' END AS feature, SUM(contribution ORDER BY rk) AS contribution "
             f"FROM r GROUP BY ALL) SELECT {keys}, feature, {rnd_sql('contribution')} AS contribution, "
-            f"{rnd_sql(f'0.1e0 + SUM(contribution) OVER (PARTITION BY {keys} ORDER BY abs(contribution), feature ROWS UNBOUNDED PRECEDING)')} AS end_value, "
-            f"{rnd_sql(f'0.1e0 + SUM(contribution) OVER (PARTITION BY {keys} ORDER BY abs(contribution), feature ROWS UNBOUNDED PRECEDING) - contribution')} AS start_value FROM st")
+            f"{rnd_sql(f'0.1e0 + {run}')} AS end_value, {rnd_sql(f'0.1e0 + {run} - contribution')} AS start_value FROM st")
 
 
 reg("waterfall_steps", _waterfall_sql())

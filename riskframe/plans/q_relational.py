@@ -63,10 +63,12 @@ def q_known_unknown(spark, d):
 
 
 reg("known_unknown", with_roles("previous_application", "application") + (
-    ", early AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1995) "
-    f"SELECT SK_ID_CURR, {rnd_sql('COALESCE(SUM(AMT_CREDIT), 0)')} AS PREV_AMT_CREDIT_SUM, COUNT(SK_ID_PREV) AS PREV_SK_ID_PREV_COUNT, "
+    ", early AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1995), "
+    f"f AS (SELECT SK_ID_CURR AS k, {rnd_sql('COALESCE(SUM(AMT_CREDIT), 0)')} AS PREV_AMT_CREDIT_SUM, COUNT(SK_ID_PREV) AS PREV_SK_ID_PREV_COUNT "
+    "FROM previous_application GROUP BY SK_ID_CURR) "
+    "SELECT SK_ID_CURR, PREV_AMT_CREDIT_SUM, PREV_SK_ID_PREV_COUNT, "
     "CASE WHEN SK_ID_CURR IN (SELECT k FROM early) THEN 'precomputed' ELSE 'computed' END AS source "
-    "FROM previous_application WHERE SK_ID_CURR IN (SELECT SK_ID_CURR FROM application) GROUP BY SK_ID_CURR"))
+    "FROM application LEFT JOIN f ON SK_ID_CURR = f.k"))
 
 
 # D6

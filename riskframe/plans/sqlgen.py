@@ -31,14 +31,15 @@ GRID = {6: 1048576.0, 4: 16384.0, 2: 128.0}
 def rnd_sql(expr: str, d: int = 6) -> str:
     """Deterministic rounding to the 2^-20 grid, spelled identically to ``rnd``."""
     g = GRID[d]
-    return f"(FLOOR(({expr}) * {g:.1f}e0 + 0.5e0) / {g:.1f}e0)"
+    return f"(round_even(({expr}) * {g:.1f}e0, 0) / {g:.1f}e0 + 0e0)"
 
 
 def rnd(c, d: int = 6) -> Column:
-    """floor(x * 2^20 + 0.5) / 2^20 -- bit-identical to ``rnd_sql`` for equal x."""
+    """rint(x * 2^20) / 2^20, doubles all the way (no range limit) -- bit-identical
+    to ``rnd_sql`` for equal x; adding 0 turns -0 into 0."""
     c = F.col(c) if isinstance(c, str) else c
     g = GRID[d]
-    return F.floor(c.cast("double") * F.lit(g) + F.lit(0.5)).cast("double") / F.lit(g)
+    return F.rint(c.cast("double") * F.lit(g)) / F.lit(g) + F.lit(0.0)
 
 
 def sql_agg(spec: Mapping[str, Sequence[str]], prefix: str, int_cols: Sequence[str] = (),
@@ -70,7 +71,7 @@ def round_double_cols(df, d: int = 6, exclude: Sequence[str] = ()):
     for f in df.schema.fields:
         q = "`" + f.name.replace("`", "``") + "`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in exclude:
-            exprs.append(f"CAST(FLOOR(CAST({q} AS DOUBLE) * {g:.1f}D + 0.5D) AS DOUBLE) / {g:.1f}D AS {q}")
+            exprs.append(f"rint(CAST({q} AS DOUBLE) * {g:.1f}D) / {g:.1f}D + 0.0D AS {q}")
         else:
             exprs.append(q)
     return df.selectExpr(*exprs)
