@@ -29,7 +29,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         # checkpoint files of running sums / marts are removed once unreferenced
+         # files of checkpoint() go when their data set is unreferenced; written
+         # scratch tables go with riskframe.sources.io.release_scratch or at exit
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -40,18 +41,19 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset
-    (local runs and tests)."""
+    """The cluster's ``spark.checkpoint.dir``.  Where it is unset a scratch folder
+    is made for local masters only (one machine: every task sees it); on a
+    cluster it must be named, because executors do not share local folders."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    current = current.get() if current.isDefined() else None
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
-    if not d:
-        # only reached when the session names no shared folder (tests, local runs)
+        if current:
+            return current
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
         d = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # some deployments reject runtime changes of core settings
-            pass
-    spark.sparkContext.setCheckpointDir(d)
+    if not current or d.rstrip("/") not in current:
+        spark.sparkContext.setCheckpointDir(d)      # makes a folder of its own on every call: once only
     return d

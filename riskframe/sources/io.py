@@ -6,9 +6,12 @@ Scratch output always goes under the cluster's shared checkpoint folder
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,13 +20,47 @@ from riskframe.functions.exprs import finite_or_null
 from riskframe.session import ensure_checkpoint_dir
 
 
+#: Scratch folders of this process that are not deleted yet: (path, Hadoop configuration).
+_SCRATCH: list[tuple[str, object]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder name in the shared checkpoint folder.  It is registered and
+    deleted by ``release_scratch``, at the end of a ``scratch_scope`` or when
+    the process exits, whichever comes first."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.unregister(release_scratch)
+        atexit.register(release_scratch)        # after the gateway's own hook, so it runs before it
+    _SCRATCH.append((path, spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
+
+
+def release_scratch(since: int = 0) -> None:
+    """Delete the scratch folders registered after the first ``since``."""
+    gone = _SCRATCH[since:]
+    del _SCRATCH[since:]
+    for path, conf in gone:
+        with contextlib.suppress(Exception):        # the JVM may have ended already
+            p = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Scratch tables written inside are deleted at the end: consume results
+    (collect, write) before leaving it."""
+    since = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        release_scratch(since)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and
-    return the table: cuts lineage with one job and survives executor loss."""
+    return the table: cuts lineage with one job and survives executor loss.
+    The table's life ends with ``scratch_scope`` / ``release_scratch`` / the process."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -60,10 +97,12 @@ def csv_to_parquet(spark: SparkSession, csv_path: str, schema: T.StructType, out
                                  ((F.col("rows_in") == F.col("rows_out")) & F.lit(len(src.columns) == len(back.columns))).alias("ok"))
 
 
-def compact(spark: SparkSession, pattern: str, schema: T.StructType, out: str, n_files: int = 1) -> DataFrame:
-    """Merge many small CSV files matching a glob into ``n_files`` Parquet files."""
+def compact(spark: SparkSession, pattern: str, schema: T.StructType, out: str, rows_per_file: int = 5_000_000) -> DataFrame:
+    """Merge many small CSV files matching a glob into Parquet files of at most
+    ``rows_per_file`` rows; the number of writing tasks follows the input (the
+    planner rebalances small partitions)."""
     df = read_csv(spark, pattern, schema)
-    write_parquet(df.coalesce(n_files), out)
+    df.hint("rebalance").write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", rows_per_file).parquet(out)
     return spark.read.parquet(out)
 
 
