@@ -8,9 +8,11 @@ output schema is fixed before any data is read.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import (bins_right_closed, clip, clip_lower, flag, missing_indicators,
@@ -70,69 +72,137 @@ def sentinel_null(df: DataFrame, col: str = "DAYS_EMPLOYED", sentinel=EMPLOYED_S
     return df.withColumn(col, F.nullif(F.col(col), F.lit(sentinel)))
 
 
+# ---------------------------------------------------------------- derived columns as a table
+
+@dataclass(frozen=True)
+class Feature:
+    """``out`` = ``expr()`` where all ``needs`` are columns and no ``absent`` is."""
+    out: str
+    needs: tuple[str, ...]
+    expr: Callable[[], Column]
+    absent: tuple[str, ...] = ()
+
+
+def derive(df: DataFrame, features: Iterable[Feature]) -> DataFrame:
+    """Add every feature whose inputs are there (all from the columns of ``df``)."""
+    have = set(df.columns)
+    return df.withColumns({f.out: f.expr() for f in features if have.issuperset(f.needs) and have.isdisjoint(f.absent)})
+
+
+def _years(c: str) -> Column:
+    return -F.col(c).cast("double") / F.lit(365.0)
+
+
+def _employed() -> Column:
+    return F.nullif(F.col("DAYS_EMPLOYED"), F.lit(EMPLOYED_SENTINEL))
+
+
+def _employment() -> Column:
+    return clip_lower(-_employed().cast("double") / F.lit(365.0), 0.0)
+
+
+def _ratio(out: str, a: str, b: str) -> Feature:
+    return Feature(out, (a, b), lambda: safe_div(a, b, EPS))
+
+
+def _square(out: str, a: str, b: str) -> Feature:
+    return Feature(out, (a, b), lambda: F.pow(safe_div(a, b, EPS), 2))
+
+
+def _above(out: str, a: str, b: str, limit: float) -> Feature:
+    return Feature(out, (a, b), lambda: flag(safe_div(a, b, EPS) > limit))
+
+
+def _of(out: str, c: str, fn: Callable[[Column], Column]) -> Feature:
+    return Feature(out, (c,), lambda: fn(F.col(c)))
+
+
+EMPLOYMENT = (Feature("DAYS_EMPLOYED", ("DAYS_EMPLOYED",), _employed), Feature("EMPLOYMENT_YEARS", ("DAYS_EMPLOYED",), _employment))
+
+DOMAIN = (
+    Feature("AGE_YEARS", ("DAYS_BIRTH",), lambda: _years("DAYS_BIRTH")),
+    *EMPLOYMENT,
+    Feature("IS_EMPLOYED", ("DAYS_EMPLOYED",), lambda: flag(_employment() > 0)),
+    _ratio("INCOME_PER_PERSON", "AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"),
+    _ratio("DEBT_TO_INCOME_RATIO", "AMT_CREDIT", "AMT_INCOME_TOTAL"),
+    _ratio("CREDIT_TO_GOODS_RATIO", "AMT_CREDIT", "AMT_GOODS_PRICE"),
+    _ratio("CREDIT_UTILIZATION", "AMT_CREDIT", "AMT_GOODS_PRICE"),
+    _ratio("ANNUITY_TO_INCOME_RATIO", "AMT_ANNUITY", "AMT_INCOME_TOTAL"),
+    _of("HAS_CHILDREN", "CNT_CHILDREN", lambda c: flag(c > 0)),
+    _ratio("CHILDREN_RATIO", "CNT_CHILDREN", "CNT_FAM_MEMBERS"),
+    Feature("REGION_RATING_COMBINED", ("REGION_RATING_CLIENT", "REGION_RATING_CLIENT_W_CITY"),
+            lambda: (F.col("REGION_RATING_CLIENT") + F.col("REGION_RATING_CLIENT_W_CITY")) / F.lit(2.0)),
+)
+
+AGE = (
+    Feature("AGE_YEARS", ("DAYS_BIRTH",), lambda: _years("DAYS_BIRTH")),
+    Feature("AGE_GROUP", ("DAYS_BIRTH",), lambda: bins_right_closed(_years("DAYS_BIRTH"), AGE_BINS, AGE_LABELS)),
+    Feature("AGE_SQUARED", ("DAYS_BIRTH",), lambda: F.pow(_years("DAYS_BIRTH"), 2)),
+    Feature("AGE_LOG", ("DAYS_BIRTH",), lambda: _log1p(_years("DAYS_BIRTH"))),
+)
+
+TIME = (
+    *EMPLOYMENT,
+    Feature("EMPLOYMENT_TO_AGE_RATIO", ("DAYS_EMPLOYED", "AGE_YEARS"), lambda: clip(safe_div(_employment(), "AGE_YEARS", EPS), 0.0, 1.0)),
+    *(Feature(f"{c}_YEARS", (c,), lambda c=c: _years(c)) for c in TIME_COLS),
+    *(_of(f"{c}_IS_RECENT", c, lambda x: flag(x > F.lit(RECENT_DAYS))) for c in TIME_COLS),
+    _of("CAR_AGE_SQUARED", "OWN_CAR_AGE", lambda c: F.pow(c, 2)),
+    _of("HAS_OLD_CAR", "OWN_CAR_AGE", lambda c: flag(c > OLD_CAR)),
+    _of("HAS_NEW_CAR", "OWN_CAR_AGE", lambda c: flag(c < NEW_CAR)),
+)
+
+
+def _down() -> Column:
+    return F.col("AMT_GOODS_PRICE") - F.col("AMT_CREDIT")
+
+
+CREDIT = (
+    _ratio("PAYMENT_BURDEN", "AMT_ANNUITY", "AMT_INCOME_TOTAL"),
+    _square("PAYMENT_BURDEN_SQUARED", "AMT_ANNUITY", "AMT_INCOME_TOTAL"),
+    _above("HIGH_PAYMENT_BURDEN", "AMT_ANNUITY", "AMT_INCOME_TOTAL", HIGH_BURDEN),
+    _of("AMT_CREDIT_LOG", "AMT_CREDIT", _log1p),
+    _of("AMT_CREDIT_SQRT", "AMT_CREDIT", _sqrt),
+    _ratio("CREDIT_TO_INCOME", "AMT_CREDIT", "AMT_INCOME_TOTAL"),
+    _square("CREDIT_TO_INCOME_SQUARED", "AMT_CREDIT", "AMT_INCOME_TOTAL"),
+    _above("HIGH_LEVERAGE", "AMT_CREDIT", "AMT_INCOME_TOTAL", HIGH_LEVERAGE),
+    Feature("DOWN_PAYMENT", ("AMT_CREDIT", "AMT_GOODS_PRICE"), _down),
+    Feature("DOWN_PAYMENT_RATE", ("AMT_CREDIT", "AMT_GOODS_PRICE"), lambda: clip(safe_div(_down(), "AMT_GOODS_PRICE", EPS), -1.0, 1.0)),
+    Feature("IS_OVERFINANCED", ("AMT_CREDIT", "AMT_GOODS_PRICE"), lambda: flag(F.col("AMT_CREDIT") > F.col("AMT_GOODS_PRICE"))),
+    _of("INCOME_LOG", "AMT_INCOME_TOTAL", _log1p),
+    _of("INCOME_SQRT", "AMT_INCOME_TOTAL", _sqrt),
+    _ratio("INCOME_PER_FAMILY_MEMBER", "AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"),
+    Feature("INCOME_PER_FAMILY_MEMBER", ("AMT_INCOME_TOTAL",), lambda: safe_div("AMT_INCOME_TOTAL", F.lit(1), EPS), absent=("CNT_FAM_MEMBERS",)),
+    _of("INCOME_GROUP", "AMT_INCOME_TOTAL", lambda c: bins_right_closed("AMT_INCOME_TOTAL", INCOME_BINS, INCOME_LABELS)),
+)
+
+
+def ext_table(ext: Sequence[str]) -> list[Feature]:
+    """Pair terms, row statistics, the weighted blend and powers of the scores present."""
+    pair = {"x": lambda a, b: F.col(a) * F.col(b), "div": lambda a, b: safe_div(a, b, EPS), "minus": lambda a, b: F.col(a) - F.col(b)}
+    power = {"SQUARED": lambda c: F.pow(c, 2), "CUBED": lambda c: F.pow(c, 3), "SQRT": _sqrt0}
+    stats = row_stats(ext) if ext else {}
+    rows = [Feature(f"{a}_{op}_{b}", (a, b), lambda fn=fn, a=a, b=b: fn(a, b)) for op, fn in pair.items() for a, b in combinations(ext, 2)]
+    rows += [Feature(f"EXT_SOURCE_{k.upper()}", (), lambda k=k: stats[k]) for k in ("mean", "std", "max", "min", "median", "range") if ext]
+    rows += [Feature("EXT_SOURCE_WEIGHTED", ("EXT_SOURCE_2", "EXT_SOURCE_3"),
+                     lambda: weighted_blend({(c if c in ext else None): w for c, w in EXT_WEIGHTS.items()}))]
+    return rows + [_of(f"{c}_{name}", c, fn) for c in ext for name, fn in power.items()]
+
+
+def _present(df: DataFrame) -> list[str]:
+    return [c for c in EXT_SOURCES if c in df.columns]
+
+
 def domain_features(df: DataFrame) -> DataFrame:
     """The 15-column domain block."""
-    new = {}
-    if _has(df, "DAYS_BIRTH"):
-        new["AGE_YEARS"] = -F.col("DAYS_BIRTH").cast("double") / F.lit(365.0)
-    if _has(df, "DAYS_EMPLOYED"):
-        emp = F.nullif(F.col("DAYS_EMPLOYED"), F.lit(EMPLOYED_SENTINEL))
-        new["DAYS_EMPLOYED"] = emp
-        years = clip_lower(-emp.cast("double") / F.lit(365.0), 0.0)
-        new["EMPLOYMENT_YEARS"] = years
-        new["IS_EMPLOYED"] = flag(years > 0)
-    if _has(df, "AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS"):
-        new["INCOME_PER_PERSON"] = safe_div("AMT_INCOME_TOTAL", "CNT_FAM_MEMBERS", EPS)
-    if _has(df, "AMT_CREDIT", "AMT_INCOME_TOTAL"):
-        new["DEBT_TO_INCOME_RATIO"] = safe_div("AMT_CREDIT", "AMT_INCOME_TOTAL", EPS)
-    if _has(df, "AMT_CREDIT", "AMT_GOODS_PRICE"):
-        new["CREDIT_TO_GOODS_RATIO"] = safe_div("AMT_CREDIT", "AMT_GOODS_PRICE", EPS)
-        new["CREDIT_UTILIZATION"] = safe_div("AMT_CREDIT", "AMT_GOODS_PRICE", EPS)
-    if _has(df, "AMT_ANNUITY", "AMT_INCOME_TOTAL"):
-        new["ANNUITY_TO_INCOME_RATIO"] = safe_div("AMT_ANNUITY", "AMT_INCOME_TOTAL", EPS)
-    if _has(df, "CNT_CHILDREN"):
-        new["HAS_CHILDREN"] = flag(F.col("CNT_CHILDREN") > 0)
-        if _has(df, "CNT_FAM_MEMBERS"):
-            new["CHILDREN_RATIO"] = safe_div("CNT_CHILDREN", "CNT_FAM_MEMBERS", EPS)
     docs = [c for c in df.columns if c.startswith("FLAG_DOCUMENT_")]
-    if docs:
-        new["TOTAL_DOCUMENTS_PROVIDED"] = row_sum(docs)
-    ext = [c for c in EXT_SOURCES if c in df.columns]
-    if ext:
-        st = row_stats(ext)
-        new["EXT_SOURCE_MEAN"] = st["mean"]
-        new["EXT_SOURCE_MAX"] = st["max"]
-        new["EXT_SOURCE_MIN"] = st["min"]
-    if _has(df, "REGION_RATING_CLIENT", "REGION_RATING_CLIENT_W_CITY"):
-        new["REGION_RATING_COMBINED"] = (F.col("REGION_RATING_CLIENT") + F.col("REGION_RATING_CLIENT_W_CITY")) / F.lit(2.0)
-    return df.withColumns(new)
+    ext = _present(df)
+    wide = [Feature("TOTAL_DOCUMENTS_PROVIDED", (), lambda: row_sum(docs))] if docs else []
+    wide += [Feature(f"EXT_SOURCE_{k.upper()}", (), lambda k=k: row_stats(ext)[k]) for k in ("mean", "max", "min") if ext]
+    return derive(df, [*DOMAIN, *wide])
 
 
 def ext_source_features(df: DataFrame) -> DataFrame:
-    ext = [c for c in EXT_SOURCES if c in df.columns]
-    new = {}
-    if len(ext) >= 2:
-        for i, a in enumerate(ext):
-            for b in ext[i + 1:]:
-                new[f"{a}_x_{b}"] = F.col(a) * F.col(b)
-        for i, a in enumerate(ext):
-            for b in ext[i + 1:]:
-                new[f"{a}_div_{b}"] = safe_div(a, b, EPS)
-        for i, a in enumerate(ext):
-            for b in ext[i + 1:]:
-                new[f"{a}_minus_{b}"] = F.col(a) - F.col(b)
-    if ext:
-        st = row_stats(ext)
-        for k in ("mean", "std", "max", "min", "median", "range"):
-            new[f"EXT_SOURCE_{k.upper()}"] = st[k]
-        if "EXT_SOURCE_2" in ext and "EXT_SOURCE_3" in ext:
-            new["EXT_SOURCE_WEIGHTED"] = weighted_blend(
-                {(c if c in ext else None): w for c, w in EXT_WEIGHTS.items()})
-        for c in ext:
-            new[f"{c}_SQUARED"] = F.pow(F.col(c), 2)
-            new[f"{c}_CUBED"] = F.pow(F.col(c), 3)
-            new[f"{c}_SQRT"] = _sqrt0(F.col(c))
-    return df.withColumns(new)
+    return derive(df, ext_table(_present(df)))
 
 
 def missing_value_features(df: DataFrame, cols: Sequence[str] = MISSING_IMPORTANT) -> DataFrame:
@@ -143,84 +213,31 @@ def missing_value_features(df: DataFrame, cols: Sequence[str] = MISSING_IMPORTAN
 
 
 def time_features(df: DataFrame) -> DataFrame:
-    new = {}
-    if _has(df, "DAYS_BIRTH"):
-        age = -F.col("DAYS_BIRTH").cast("double") / F.lit(365.0)
-        new["AGE_YEARS"] = age
-        new["AGE_GROUP"] = bins_right_closed(age, AGE_BINS, AGE_LABELS)
-        new["AGE_SQUARED"] = F.pow(age, 2)
-        new["AGE_LOG"] = _log1p(age)
-    df = df.withColumns(new)
-    new = {}
-    if _has(df, "DAYS_EMPLOYED"):
-        emp = F.nullif(F.col("DAYS_EMPLOYED"), F.lit(EMPLOYED_SENTINEL))
-        years = clip_lower(-emp.cast("double") / F.lit(365.0), 0.0)
-        new["DAYS_EMPLOYED"] = emp
-        new["EMPLOYMENT_YEARS"] = years
-        if "AGE_YEARS" in df.columns:
-            new["EMPLOYMENT_TO_AGE_RATIO"] = clip(safe_div(years, "AGE_YEARS", EPS), 0.0, 1.0)
-    for c in TIME_COLS:
-        if c in df.columns:
-            new[f"{c}_YEARS"] = -F.col(c).cast("double") / F.lit(365.0)
-            new[f"{c}_IS_RECENT"] = flag(F.col(c) > F.lit(RECENT_DAYS))
-    if _has(df, "OWN_CAR_AGE"):
-        new["CAR_AGE_SQUARED"] = F.pow(F.col("OWN_CAR_AGE"), 2)
-        new["HAS_OLD_CAR"] = flag(F.col("OWN_CAR_AGE") > OLD_CAR)
-        new["HAS_NEW_CAR"] = flag(F.col("OWN_CAR_AGE") < NEW_CAR)
-    return df.withColumns(new)
+    return derive(derive(df, AGE), TIME)
 
 
 def credit_behaviour_features(df: DataFrame) -> DataFrame:
-    new = {}
-    if _has(df, "AMT_ANNUITY", "AMT_INCOME_TOTAL"):
-        pb = safe_div("AMT_ANNUITY", "AMT_INCOME_TOTAL", EPS)
-        new["PAYMENT_BURDEN"] = pb
-        new["PAYMENT_BURDEN_SQUARED"] = F.pow(pb, 2)
-        new["HIGH_PAYMENT_BURDEN"] = flag(pb > HIGH_BURDEN)
-    if _has(df, "AMT_CREDIT"):
-        new["AMT_CREDIT_LOG"] = _log1p("AMT_CREDIT")
-        new["AMT_CREDIT_SQRT"] = _sqrt("AMT_CREDIT")
-        if _has(df, "AMT_INCOME_TOTAL"):
-            ci = safe_div("AMT_CREDIT", "AMT_INCOME_TOTAL", EPS)
-            new["CREDIT_TO_INCOME"] = ci
-            new["CREDIT_TO_INCOME_SQUARED"] = F.pow(ci, 2)
-            new["HIGH_LEVERAGE"] = flag(ci > HIGH_LEVERAGE)
-        if _has(df, "AMT_GOODS_PRICE"):
-            dp = F.col("AMT_GOODS_PRICE") - F.col("AMT_CREDIT")
-            new["DOWN_PAYMENT"] = dp
-            new["DOWN_PAYMENT_RATE"] = clip(safe_div(dp, "AMT_GOODS_PRICE", EPS), -1.0, 1.0)
-            new["IS_OVERFINANCED"] = flag(F.col("AMT_CREDIT") > F.col("AMT_GOODS_PRICE"))
-    if _has(df, "AMT_INCOME_TOTAL"):
-        new["INCOME_LOG"] = _log1p("AMT_INCOME_TOTAL")
-        new["INCOME_SQRT"] = _sqrt("AMT_INCOME_TOTAL")
-        fam = F.col("CNT_FAM_MEMBERS") if "CNT_FAM_MEMBERS" in df.columns else F.lit(1)
-        new["INCOME_PER_FAMILY_MEMBER"] = safe_div("AMT_INCOME_TOTAL", fam, EPS)
-        new["INCOME_GROUP"] = bins_right_closed("AMT_INCOME_TOTAL", INCOME_BINS, INCOME_LABELS)
-    return df.withColumns(new)
+    return derive(df, CREDIT)
+
+
+#: fixed values: output, words that a column's name must hold one of, smallest number of such columns, statistic
+AGGREGATES = (
+    ("BUREAU_CREDIT_MEAN", ("AMT_CREDIT",), 2, lambda c: row_stats(c)["mean"]),
+    ("BUREAU_CREDIT_STD", ("AMT_CREDIT",), 2, lambda c: row_stats(c)["std"]),
+    ("BUREAU_CREDIT_MAX", ("AMT_CREDIT",), 2, lambda c: row_stats(c)["max"]),
+    ("BUREAU_AVG_CREDIT_AGE", ("DAYS_CREDIT",), 1, lambda c: row_stats(c)["mean"] / F.lit(-365.0)),
+)
+DEBT_WORDS = ("DEBT", "SUM")
 
 
 def aggregate_column_features(df: DataFrame, prefix: str = "BUREAU_") -> DataFrame:
     """Row stats over aggregate columns picked by name at plan time."""
-    cols = [c for c in df.columns if prefix in c]
-    if not cols:
-        return df
-    new = {}
-    debt = [c for c in cols if "DEBT" in c or "SUM" in c]
-    if debt:
-        total = row_sum(debt)
-        new["BUREAU_TOTAL_DEBT"] = total
-        if "AMT_INCOME_TOTAL" in df.columns:
-            new["BUREAU_DEBT_TO_INCOME"] = safe_div(total, "AMT_INCOME_TOTAL", EPS)
-    credit = [c for c in cols if "AMT_CREDIT" in c]
-    if len(credit) > 1:
-        st = row_stats(credit)
-        new["BUREAU_CREDIT_MEAN"] = st["mean"]
-        new["BUREAU_CREDIT_STD"] = st["std"]
-        new["BUREAU_CREDIT_MAX"] = st["max"]
-    days = [c for c in cols if "DAYS_CREDIT" in c]
-    if days:
-        new["BUREAU_AVG_CREDIT_AGE"] = row_stats(days)["mean"] / F.lit(-365.0)
-    return df.withColumns(new)
+    named = lambda words: [c for c in df.columns if prefix in c and any(w in c for w in words)]
+    debt = named(DEBT_WORDS)
+    rows = [Feature("BUREAU_TOTAL_DEBT", (), lambda: row_sum(debt)),
+            Feature("BUREAU_DEBT_TO_INCOME", ("AMT_INCOME_TOTAL",), lambda: safe_div(row_sum(debt), "AMT_INCOME_TOTAL", EPS))] if debt else []
+    rows += [Feature(out, (), lambda c=named(words), fn=fn: fn(c)) for out, words, least, fn in AGGREGATES if len(named(words)) >= least]
+    return derive(df, rows)
 
 
 def interaction_features(df: DataFrame, pairs=INTERACTIONS) -> DataFrame:
