@@ -68,9 +68,11 @@ def curve_table(df: DataFrame, label: str, score: str, groups: Sequence[str] = (
     return cum.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "tot_pos": "P", "tot_neg": "N"})
 
 
-def curve_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), beta: float = BETA) -> DataFrame:
+def curve_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str] = (), beta: float = BETA,
+                  rates: bool = False) -> DataFrame:
     """ROC AUC (tie-aware trapezoids), average precision (step sum) and the
-    best F-beta with its threshold and cost -- one pass over one curve table."""
+    best F-beta with its threshold and cost -- one pass over one curve table.
+    ``rates`` adds accuracy, precision, recall and F1 at that threshold."""
     c = curve_table(df, label, score, groups)
     b2 = beta * beta
     tp, fp, pos, neg = F.col("tp"), F.col("fp"), F.col("pos"), F.col("neg")
@@ -82,11 +84,14 @@ def curve_metrics(df: DataFrame, label: str, score: str, groups: Sequence[str] =
     r = c.groupBy(*groups).agg(
         F.try_divide(F.sum(area), F.first("P") * F.first("N")).alias("roc_auc"),
         F.sum(ap).alias("average_precision"),
-        F.max(F.struct(fb.alias("fbeta"), (-F.col("score")).alias("neg_t"), cost.alias("c"))).alias("b"),
+        F.max(F.struct(fb.alias("fbeta"), (-F.col("score")).alias("neg_t"), cost.alias("c"), tp.alias("tp"), fp.alias("fp"))).alias("b"),
         F.first("P").alias("__p"), F.first("N").alias("__n"))
+    t, f, p, n = F.col("b.tp"), F.col("b.fp"), F.col("__p"), F.col("__n")
+    extra = [((t + n - f) / (p + n)).alias("accuracy"), _z(t, t + f).alias("precision"), _z(t, p).alias("recall"),
+             _z(F.lit(2.0) * t, t + f + p).alias("f1")] if rates else []
     return r.select(*groups, "roc_auc", "average_precision", F.col("b.fbeta").alias("best_fbeta"),
                     (-F.col("b.neg_t")).alias("best_threshold"), F.col("b.c").alias("cost"),
-                    (F.col("b.c") / (F.col("__p") + F.col("__n"))).alias("avg_cost"))
+                    (F.col("b.c") / (F.col("__p") + F.col("__n"))).alias("avg_cost"), *extra)
 
 
 def roc_auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:

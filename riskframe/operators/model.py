@@ -11,16 +11,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import risk_band
+from riskframe.sources.io import materialize, scratch_path
 
 
-def _pipeline(features: Sequence[str], clf, scale: bool = True) -> Pipeline:
-    imp = Imputer(strategy="median", inputCols=list(features), outputCols=[f"__i_{c}" for c in features])
+#: the ten metrics of a fold
+METRICS = ("roc_auc", "average_precision", "best_fbeta", "best_threshold", "cost", "avg_cost", "accuracy", "precision", "recall", "f1")
+
+
+def _pipeline(features: Sequence[str], clf, medians: Mapping[str, float | None], scale: bool = True) -> Pipeline:
+    """Exact training medians (0 where a column has none) fill the gaps."""
+    fill = ", ".join(f"COALESCE(CAST(`{c}` AS DOUBLE), {float(medians.get(c) or 0.0)!r}D) AS `__i_{c}`" for c in features)
+    imp = SQLTransformer(statement=f"SELECT *, {fill} FROM __THIS__")
     asm = VectorAssembler(inputCols=[f"__i_{c}" for c in features], outputCol="__raw")
     stages = [imp, asm]
     if scale:
@@ -39,7 +46,7 @@ def with_balanced_weight(df: DataFrame, label: str, weight: str = "weight") -> D
 
 def classifier(kind: str, label: str, seed: int = 42, **params):
     if kind == "lr":
-        return LogisticRegression(labelCol=label, weightCol="weight", maxIter=params.get("maxIter", 100),
+        return LogisticRegression(labelCol=label, weightCol="weight", maxIter=params.get("maxIter", 100), tol=params.get("tol", 1e-6),
                                   regParam=params.get("regParam", 0.0))
     if kind == "rf":
         return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=params.get("numTrees", 100),
@@ -50,9 +57,27 @@ def classifier(kind: str, label: str, seed: int = 42, **params):
     raise ValueError(kind)
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "lr", **params):
+def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "lr", medians: Mapping[str, float | None] | None = None, **params):
+    """``medians``: of the training rows; computed here if not given.  The
+    training table is written once: every iteration of the solver reads it."""
+    if medians is None:
+        from riskframe.operators.fit import fit_medians
+        medians = fit_medians(df, features)
     d = with_balanced_weight(df.withColumn(label, F.col(label).cast("double")), label)
-    return _pipeline(features, classifier(kind, label, **params), scale=(kind == "lr")).fit(d)
+    return _pipeline(features, classifier(kind, label, **params), medians, scale=(kind == "lr")).fit(materialize(d, "train"))
+
+
+def fold_medians(df: DataFrame, features: Sequence[str], k: int) -> dict[int, dict[str, float]]:
+    """Exact medians of the training rows of every fold (the rows of the other
+    folds) from one distributed quantile job; k x columns values reach the driver."""
+    from riskframe.operators.ordered import exact_quantiles
+    others = F.filter(F.array(*[F.lit(f) for f in range(k)]), lambda f: f != F.col("fold"))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
+    long = df.select(F.explode(others).alias("without"), cells.alias("__c")).select("without", F.inline("__c"))
+    out: dict[int, dict[str, float]] = {f: {} for f in range(k)}
+    for r in exact_quantiles(long, "value", [0.5], ["without", "feature"]).collect():
+        out[r.without][r.feature] = r.quantile
+    return out
 
 
 def score(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -71,24 +96,18 @@ def cross_validate(df: DataFrame, features: Sequence[str], label: str, key: str,
     executor never recomputes earlier folds).  Returns (out-of-fold
     predictions, per-fold metrics)."""
     from riskframe.operators import metrics as M
-    from riskframe.sources.io import scratch_path
-    from riskframe.session import ensure_checkpoint_dir
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     out = out or scratch_path(spark, "oof")
-    base = df.join(folds.select(key, "fold"), key).checkpoint()
+    base = materialize(df.join(folds.select(key, "fold"), key), "folds")
+    medians = fold_medians(base, features, k)
     for f in range(k):
         tr = base.where(F.col("fold") != f)
         if resample is not None:
             tr = resample(tr)
-        model = fit(tr, features, label, kind, **params)
-        sc = score(model, base.where(F.col("fold") == f), [key, label]).withColumn("fold", F.lit(f))
-        sc.write.mode("append").parquet(out)
+        model = fit(tr, features, label, kind, medians[f], **params)
+        score(model, base.where(F.col("fold") == f), [key, label]).write.mode("overwrite").parquet(f"{out}/fold={f}")
     oof = spark.read.parquet(out)
-    mets = M.roc_auc(oof, label, "probability", ["fold"]).join(
-        M.average_precision(oof, label, "probability", ["fold"]), "fold").join(
-        M.best_fbeta(oof, label, "probability", groups=["fold"]), "fold")
-    return oof, mets
+    return oof, M.curve_metrics(oof, label, "probability", ["fold"], rates=True)
 
 
 # ---------------------------------------------------------------- exact linear model
@@ -113,13 +132,16 @@ def linear_contributions(df: DataFrame, weights: Mapping[str, float], scaler: Ma
         for c, w in weights.items()])).alias("s")).select(*key, "s.*")
 
 
-def explain_text(contribs: DataFrame, key: Sequence[str], top: int = 5) -> DataFrame:
-    """Per row: top-k ``feature (value): contribution`` joined by '; '.  The
-    group per row holds one entry per model feature (bounded)."""
-    g = contribs.groupBy(*key).agg(F.slice(F.sort_array(F.collect_list(F.struct(
-        (-F.abs("contribution")).alias("neg_abs"), "feature", "value", "contribution"))), 1, top).alias("t"))
-    txt = F.transform("t", lambda s: F.format_string("%s (%.4f): %+.3f", s["feature"], s["value"], s["contribution"]))
-    return g.select(*key, F.concat_ws("; ", txt).alias("explanation"))
+def explain_text(df: DataFrame, weights: Mapping[str, float], scaler: Mapping[str, tuple], key: Sequence[str], top: int = 5) -> DataFrame:
+    """Per row: top-k ``feature (value): contribution`` joined by '; ' -- an
+    expression over the row's own array of contributions (no exchange)."""
+    parts = F.array(*[F.struct(
+        (-F.abs(F.lit(w) * (F.col(c).cast("double") - F.lit(scaler[c][0])) / F.lit(scaler[c][1]))).alias("neg_abs"), F.lit(c).alias("feature"),
+        F.col(c).cast("double").alias("value"), (F.lit(w) * (F.col(c).cast("double") - F.lit(scaler[c][0])) / F.lit(scaler[c][1])).alias("contribution"))
+        for c, w in weights.items()])
+    best = F.slice(F.sort_array(F.filter(parts, lambda s: s["contribution"].isNotNull())), 1, top)
+    txt = F.transform(best, lambda s: F.format_string("%s (%.4f): %+.3f", s["feature"], s["value"], s["contribution"]))
+    return df.select(*key, F.concat_ws("; ", txt).alias("explanation"), F.size(best).alias("__n")).where("__n > 0").drop("__n")
 
 
 def feature_importance(model, features: Sequence[str], raw: Sequence[str] = ()) -> DataFrame:
@@ -139,15 +161,15 @@ def submission(model, df: DataFrame, key: str, threshold: float) -> DataFrame:
 
 
 def random_search(df: DataFrame, features: Sequence[str], label: str, key: str, folds: DataFrame,
-                  grid: Mapping[str, Sequence], n_trials: int = 5, seed: int = 42, kind: str = "lr") -> DataFrame:
+                  grid: Mapping[str, Sequence], n_trials: int = 5, seed: int = 42, kind: str = "lr", k: int = 5) -> DataFrame:
     """Seeded random search: each trial is a k-fold CV (distributed fits);
     returns one row per trial with the mean metrics."""
     import random
     rnd = random.Random(seed)
     rows = None
     for t in range(n_trials):
-        params = {k: rnd.choice(list(v)) for k, v in grid.items()}
-        _, mets = cross_validate(df, features, label, key, folds, kind=kind, **params)
+        params = {name: rnd.choice(list(v)) for name, v in grid.items()}
+        _, mets = cross_validate(df, features, label, key, folds, k=k, kind=kind, **params)
         r = mets.agg(F.avg("roc_auc").alias("roc_auc"), F.avg("best_fbeta").alias("best_fbeta")).select(
             F.lit(t).alias("trial"), F.lit(str(sorted(params.items()))).alias("params"), "*")
         rows = r if rows is None else rows.unionByName(r)
@@ -155,7 +177,7 @@ def random_search(df: DataFrame, features: Sequence[str], label: str, key: str,
 
 
 def experiment_grid(df: DataFrame, key: str, label: str, folds: DataFrame, strategies: Mapping[str, object],
-                    samplings: Mapping[str, object], feature_cols) -> DataFrame:
+                    samplings: Mapping[str, object], feature_cols, k: int = 5, **params) -> DataFrame:
     """Feature strategy x sampling strategy grid; each cell is a k-fold CV.
 
     ``strategies`` maps a name to ``df -> df``; ``samplings`` maps a name to a
@@ -165,8 +187,8 @@ def experiment_grid(df: DataFrame, key: str, label: str, folds: DataFrame, strat
         data = build(df)
         feats = feature_cols(data)
         for ss, resample in samplings.items():
-            _, mets = cross_validate(data, feats, label, key, folds, resample=resample)
-            r = mets.agg(*[F.avg(c).alias(f"{c}_mean") for c in ("roc_auc", "average_precision", "best_fbeta", "avg_cost")],
+            _, mets = cross_validate(data, feats, label, key, folds, k=k, resample=resample, **params)
+            r = mets.agg(F.count(F.lit(1)).alias("n_folds"), *[F.avg(c).alias(f"{c}_mean") for c in METRICS],
                          *[F.stddev_samp(c).alias(f"{c}_std") for c in ("roc_auc", "best_fbeta")]).select(
                 F.lit(fs).alias("feature_strategy"), F.lit(ss).alias("sampling_strategy"), "*")
             rows = r if rows is None else rows.unionByName(r)

@@ -55,7 +55,7 @@ def _cv(spark, d):
     a = role(spark, d, "application").select("SK_ID_CURR", "TARGET", *[F.col(c).cast("double").alias(c) for c in FEATS])
     folds = stratified_kfold(a, "SK_ID_CURR", "TARGET", 5).select("SK_ID_CURR", "fold")
     return MD.cross_validate(a, FEATS, "TARGET", "SK_ID_CURR", folds, 5, "lr",
-                             resample=lambda t: undersample(t, "SK_ID_CURR", "TARGET", 1, 1.0))
+                             resample=lambda t: undersample(t, "SK_ID_CURR", "TARGET", 1, 1.0), maxIter=20, tol=1e-4)
 
 
 @query("cv_run")
@@ -124,7 +124,8 @@ reg("global_contrib", APP + f"SELECT feature, {rnd_sql('AVG(abs(contribution))')
 
 @query("explain_text")
 def q_explain_text(spark, d):
-    return MD.explain_text(_contribs(spark, d).where(F.col("contribution").isNotNull()), ["SK_ID_CURR"], 3)
+    a, sc = _lin_state(spark, d)
+    return MD.explain_text(a, LINEAR_WEIGHTS, sc, ["SK_ID_CURR"], 3)
 
 
 reg("explain_text", APP + (
@@ -148,3 +149,25 @@ def q_submission(spark, d):
     tr, va = _data(spark, d)
     model = MD.fit(tr, FEATS, "TARGET", "lr")
     return MD.submission(model, va, "SK_ID_CURR", 0.5)
+
+
+def _folds(spark, d, k):
+    a = role(spark, d, "application").select("SK_ID_CURR", "TARGET", *[F.col(c).cast("double").alias(c) for c in FEATS])
+    return a, stratified_kfold(a, "SK_ID_CURR", "TARGET", k).select("SK_ID_CURR", "fold")
+
+
+@query("experiment_grid")
+def q_experiment_grid(spark, d):
+    """K5: two feature strategies x two sampling strategies, two folds each."""
+    a, folds = _folds(spark, d, 2)
+    strategies = {"raw": lambda t: t, "ratio": lambda t: t.withColumn("CREDIT_TO_INCOME", F.try_divide("AMT_CREDIT", "AMT_INCOME_TOTAL"))}
+    samplings = {"balanced": None, "undersample": lambda t: undersample(t, "SK_ID_CURR", "TARGET", 1, 1.0)}
+    return MD.experiment_grid(a, "SK_ID_CURR", "TARGET", folds, strategies, samplings,
+                              lambda t: [c for c in t.columns if c not in ("SK_ID_CURR", "TARGET", "fold")], k=2, maxIter=10, tol=1e-3)
+
+
+@query("random_search")
+def q_random_search(spark, d):
+    """K6: two seeded draws from a small grid, two folds each."""
+    a, folds = _folds(spark, d, 2)
+    return MD.random_search(a, FEATS, "TARGET", "SK_ID_CURR", folds, {"regParam": [0.0, 0.01, 0.1], "maxIter": [5, 10]}, n_trials=2, k=2)
