@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import save
+from riskframe.llm.common import save, text_batches
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -106,6 +106,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     text as little-endian unsigned 32-bit integers.  A column of ``docs``
     already named ``ids_col`` is replaced."""
     spark = docs.sparkSession
+    text_batches(spark)
     raw_b = spark.sparkContext.broadcast(ranks)
     keep = [c for c in docs.columns if c not in (text_col, ids_col)]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row") if keep else F.lit(0).alias("__row"),

@@ -35,3 +35,16 @@ def parallelism(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except (TypeError, ValueError):
         return 200
+
+
+#: Rows of an Arrow batch where whole texts go to Python workers.
+TEXT_BATCH_ROWS = 1_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session's text operators, unless the user
+    chose a size: a batch of Spark's default 10,000 rows of whole texts is tens
+    of MB in the JVM and again in each Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) in (None, "10000"):
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskframe.llm.common import text_batches
+
 #: Known licence sentences (normalised; {v} stands for a version
 #: number) and their identifiers.
 SENTENCES = (
@@ -168,6 +170,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id
          rules: Sequence[LicenseRule] = RULES) -> DataFrame:
     """``keep`` columns, sentence_ids (identifiers in order), licenses (one per
     match, in order), spans (first and last sentence of each match), unmatched."""
+    text_batches(docs.sparkSession)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
     ids = T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("version", T.StringType())]))
     found = d.mapInArrow(_find_fn(tuple(table)), T.StructType([d.schema["__row"], T.StructField("__ids", ids)]))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import broadcast_within, parallelism, save
+from riskframe.llm.common import broadcast_within, parallelism, save, text_batches
 from riskframe.llm.components import connected_components
 
 #: An anchor with more rows than this is cut into chunk pairs (exact: every
@@ -65,6 +65,7 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, block: int =
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), shingle: int = 3,
                  seed: int = 42) -> DataFrame:
     """``keep`` columns and __fp: the fingerprint of every row as a signed 64-bit integer."""
+    text_batches(docs.sparkSession)
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

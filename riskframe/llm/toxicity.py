@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import save
+from riskframe.llm.common import save, text_batches
 
 MAX_LABELLED = 20_000       # bound of the training sample (rows)
 MAX_FEATURES = 3_000        # bound of the vocabulary
@@ -132,6 +132,7 @@ def solve(cols: Sequence[Sequence[int]], grades: np.ndarray, n_features: int, st
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
         max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> Model:
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(
         (F.max(F.col(f"`{label_col}`").cast("int")) > 0).alias("toxic"))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -163,19 +164,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, severity (expected grade, 0 to 2), p_toxic (P(grade >= 1))."""
+    text_batches(docs.sparkSession)
     model_b = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    # a text that is kept goes to the workers once, inside the row
+    own = [F.lit(0).alias("__text")] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")]
+    at = list(keep).index(text_col) if text_col in keep else None
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), *own)
 
     def run(batches):
         m, of = model_b.value, {}
         for b in batches:
             sev, tox = [], []
-            for t in b.column("__text").to_pylist():
+            for t in (b.column("__text") if at is None else b.column("__row").field(at)).to_pylist():
                 found = set()
                 for w in set(WORD.findall((t or "").lower())):
                     f = of.get(w)
                     if f is None:
-                        if len(of) > 500_000:               # bounded memory of the worker's cache
+                        if len(of) > 100_000:               # bounded memory of the worker's cache
                             of.clear()
                         f = of[w] = tuple(x for x in word_features(w) if x in m.weights)
                     if f:
@@ -193,5 +198,7 @@ def reject(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **kw) -> Data
     """The rows of ``docs`` that the model does not find toxic."""
     model = fit(docs, labels, **kw)
     text = kw.get("text_col", "text")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text}`").alias("__t"))
-    return score(rows, model, "__t", ["__doc"]).where(F.col("p_toxic") < limit).select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])
+    # by position: the table may hold columns named like the scores
+    numbered = docs.toDF(*[f"__c{i}" for i in range(len(docs.columns))])
+    kept = score(numbered, model, f"__c{docs.columns.index(text)}", numbered.columns).where(F.col("p_toxic") < limit)
+    return kept.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
