@@ -16,31 +16,8 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import safe_div
 
-# statistic name -> (suffix, builder).  sum over all-missing is 0 like pandas.
-_STATS = {
-    "count": lambda c: F.count(c),
-    "size": lambda c: F.count(F.lit(1)),
-    "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)),
-    "mean": lambda c: F.avg(c),
-    "min": lambda c: F.min(c),
-    "max": lambda c: F.max(c),
-    "std": lambda c: F.stddev_samp(c),
-    "var": lambda c: F.var_samp(c),
-    "median": lambda c: F.median(c),
-    "nunique": lambda c: F.countDistinct(c),
-}
-
-
-def stat_expr(column: str | Column, stat: str) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    try:
-        return _STATS[stat](c)
-    except KeyError:
-        raise ValueError(f"unknown statistic {stat!r}; use one of {sorted(_STATS)}") from None
-
-
-# the same statistics as SQL text: one py4j call per aggregate when building
-# very wide rollups (hundreds of aggregates) instead of several
+# statistics as SQL text: one py4j call per aggregate when building very wide
+# rollups (hundreds of aggregates); a sum over all-missing is 0 like pandas
 _STATS_SQL = {
     "count": "count({c})", "size": "count(1)", "sum": "coalesce(sum({c}), 0)", "mean": "avg({c})",
     "min": "min({c})", "max": "max({c})", "std": "stddev_samp({c})", "var": "var_samp({c})",
@@ -73,7 +50,8 @@ def fit_vocabulary(df: DataFrame, column: str, max_categories: int = 1000) -> li
     """Sorted distinct non-null values of a category column.
 
     The result is driver-side state whose size is checked against
-    ``max_categories``; it never grows with the row count.
+    ``max_categories``; it never grows with the row count.  A column with more
+    categories is an error by contract: pass a vocabulary instead.
     """
     vals = (df.select(column).where(F.col(column).isNotNull()).distinct()
             .orderBy(column).limit(max_categories + 1).collect())

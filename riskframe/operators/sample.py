@@ -68,7 +68,8 @@ def stratified_sample(df: DataFrame, key: str, strata: str, n_per: int, seed=42)
 
 
 def stratified_split(df: DataFrame, key: str, label: str, train_frac: float = 0.7, seed=42) -> DataFrame:
-    """Row-local split: train when hash/2^32 < train_frac (per class ~ train_frac)."""
+    """Row-local split: train when hash/2^32 < train_frac.  The hash does not
+    depend on ``label``, so every class is split in about that share."""
     u = hash_bigint(key, seed=seed).cast("double") / F.lit(4294967296.0)
     return df.withColumn("split", F.when(u < F.lit(train_frac), "train").otherwise("val"))
 
