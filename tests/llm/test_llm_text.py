@@ -253,3 +253,45 @@ def test_line_dedup_is_native(spark, table):
     assert "Python" not in p and "Arrow" not in p and p.count("split(lower") == 1
 
 
+
+
+@pytest.mark.parametrize("edit", ["word", "letters"])
+def test_line_links_need_edit_similarity_alone(spark, edit):
+    """Of pairs of lines of edit similarity 0.8 and more at least nine in ten are linked, at every length."""
+    from riskframe.llm import lines
+    rng = random.Random(5)
+    letter = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letter) for _ in range(n))
+    rows, sizes = [], [(2, 4), (5, 9), (10, 19), (20, 39), (40, 79), (80, 159)]
+    for k, (lo, hi) in enumerate(sizes):
+        for i in range(40):
+            a = [word(rng.randrange(4, 9)) for _ in range(rng.randrange(lo, hi + 1))]
+            b = list(a)
+            if edit == "word":
+                j = min(range(len(b)), key=lambda x: len(b[x]))
+                b[j] = word(len(b[j]))
+            else:
+                for j in rng.sample(range(len(b)), max(1, len(b) // 10)):
+                    p = rng.randrange(len(b[j]) + 1)
+                    b[j] = b[j][:p] + rng.choice(letter) + b[j][p:]
+            a, b = " ".join(a), " ".join(b)
+            if edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+                rows += [(k * 1000 + 2 * i, a, "s"), (k * 1000 + 2 * i + 1, b, "s")]
+    got = {r.doc_id for r in lines.dedup_lines(docs(spark, rows), max_distance=None, removed_col="gone").collect() if r.gone}
+    assert all(i % 2 for i in got)                                      # the first of a pair stays
+    for k in range(len(sizes)):
+        pairs = [i for i, _, _ in rows if i // 1000 == k and i % 2]
+        if pairs:
+            assert sum(i in got for i in pairs) >= 0.9 * len(pairs), sizes[k]
+    # a hub whose bucket holds unrelated lines, and text without blanks
+    shared = "the same long passage of words stands in each of these lines and goes on and on"
+    many = [(i, f"{shared} {words(rng, 20, 10 ** 6)}", "s") for i in range(30)]
+    many += [(100, many[20][1] + " more", "s"), (200, "日本語の文書がここにあります。" * 8, "s"), (201, "日本語の文書がここにあります。" * 7 + "日本語の文章がここにあります。", "s")]
+    gone = {r.doc_id for r in lines.dedup_lines(docs(spark, many), max_distance=None, removed_col="gone").collect() if r.gone}
+    assert {100, 201} <= gone
+
+
+def test_line_keys_are_native(spark, table):
+    from riskframe.llm import lines
+    p = lines.keyed(table, "doc_id", "text", 0.8)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in p and "Arrow" not in p
