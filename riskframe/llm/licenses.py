@@ -9,6 +9,11 @@ between them may be skipped up to the rule's gap), longer rules first, and a
 matched stretch is used once.  Identifiers that no rule uses are reported as
 unmatched.
 
+A sentence ends at punctuation or a blank line and may run over wrapped lines;
+marks of comments and lists at line starts do not count.  A known sentence may
+also begin and end at any line's start and end, as titles and references
+without a full stop do; the longest one at a place wins.
+
 The lookup is one hash probe per sentence whatever the size of the sentence
 table; only sentences that begin like a known one are normalised.
 
@@ -96,6 +101,8 @@ RULES = (
 )
 
 _END = re.compile(r"(?<!\bv)[.!?;:](?=\s|$)|\n")
+#: What stands before the words of a line: marks of comments, quotes and lists.
+_MARK = re.compile(r"[ \t]*(?:(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--|>+|!+|(?:rem|dnl)(?=\s)|\(?\d{1,2}\)|\(?[a-z]\)|[-\u2022|'])[ \t]*)*", re.I)
 _FIRST = re.compile(r"[^\W_]")
 _NOT_WORD = re.compile(r"[\W_]+")
 _VERSION = re.compile(r"(?<![\w.])v?(\d+(?:\.\d+)*)(?![\w.]*\w)", re.I)
@@ -110,17 +117,57 @@ def normalise(sentence: str) -> tuple[str, str]:
     return words, version.group(1) if version else ""
 
 
-def sentences(text: str) -> Iterator[tuple[int, str]]:
-    """(place, sentence) of the whole text; a sentence ends at . ! ? ; or : before
-    white space, and at a line end."""
-    at = n = 0
-    for m in _END.finditer(text):
-        if text[at:m.start()].strip():
-            yield n, text[at:m.start()].strip()
-            n += 1
+def pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """(piece, whether its sentence ends with it) of the whole text: cut at . ! ? ; or :
+    before white space, and at line ends, which end a sentence only before a blank line."""
+    last = None
+    at = _MARK.match(text).end()
+    while at <= len(text):
+        m = _END.search(text, at)
+        end, piece = (m.start(), text[at:m.start()].strip()) if m else (len(text), text[at:].strip())
+        soft = bool(m) and m.group() == "\n"
+        words = bool(_FIRST.search(piece))
+        if last is not None and (words or soft):
+            # a line feed after a piece without words: a blank line, or the rest of an ended line
+            yield last[0], last[1] or not words
+            last = None
+        if words:
+            last = (piece, not soft)
+        if m is None:
+            break
         at = m.end()
-    if text[at:].strip():
-        yield n, text[at:].strip()
+        if soft:
+            at = _MARK.match(text, at).end()
+    if last is not None:
+        yield last[0], True
+
+
+def find(text: str, known: dict[str, str], starts: frozenset[str], likely: re.Pattern) -> list[tuple[int, str, str]]:
+    """(place, identifier, version) of the known sentences of a text; ``starts``: every
+    beginning of a known sentence, in whole words.  A place is the sentence's number."""
+    cut = list(pieces(text))
+    forms: dict[int, tuple[str, str]] = {}
+    out, i, n, unknown = [], 0, 0, False         # unknown: lines of an unknown sentence stand before
+    while i < len(cut):
+        first = _FIRST.search(cut[i][0])
+        best = None
+        if likely.match(cut[i][0], first.start()):
+            form, version = "", ""
+            for j in range(i, len(cut)):
+                if j not in forms:
+                    forms[j] = normalise(cut[j][0])
+                form, version = f"{form} {forms[j][0]}".strip(), version or forms[j][1]
+                if form in known:
+                    best = (j, known[form], version)
+                if cut[j][1] or form not in starts:
+                    break
+        if best:
+            n += unknown
+            out.append((n, *best[1:]))
+            i, n, unknown = best[0] + 1, n + 1, False
+        else:
+            n, unknown, i = n + cut[i][1], not cut[i][1], i + 1
+    return out
 
 
 def match_rules(found: Sequence[tuple[int, str, str]], rules: Sequence[LicenseRule] = RULES) -> tuple[list[tuple[str, int, int]], list[str]]:
@@ -144,6 +191,7 @@ def match_rules(found: Sequence[tuple[int, str, str]], rules: Sequence[LicenseRu
 
 def _find_fn(table: Sequence[tuple[str, str]]):
     known = dict(table)
+    starts = frozenset(" ".join(w[:k]) for w in map(str.split, known) for k in range(1, len(w)))
     # a known sentence begins with the first word of a table entry: a cheap look before normalising
     firsts = sorted({re.escape(s.split()[0]) for s in known})
     likely = re.compile(r"(?<![^\W_])(?:" + "|".join(firsts) + r")(?![^\W_])", re.I)
@@ -152,15 +200,8 @@ def _find_fn(table: Sequence[tuple[str, str]]):
         for b in batches:
             ids = []
             for text in b.column(1).to_pylist():
-                found = []
-                if text and likely.search(text):
-                    for at, s in sentences(text):
-                        first = _FIRST.search(s)
-                        if first and likely.match(s, first.start()):
-                            form, version = normalise(s)
-                            if form in known:
-                                found.append({"place": at, "id": known[form], "version": version})
-                ids.append(found)
+                got = find(text, known, starts, likely) if text and likely.search(text) else []
+                ids.append([{"place": at, "id": i, "version": v} for at, i, v in got])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.struct([("place", pa.int32()), ("id", pa.string()), ("version", pa.string())])))],
                                              ["__row", "__ids"])
     return run

@@ -132,6 +132,19 @@ def test_license_rules_are_ordered():
     assert match_rules(seq[:3])[0] == [("BSD-2-Clause", 0, 2)]
 
 
+def test_license_sentences_run_over_wrapped_lines(spark):
+    from riskframe.llm import licenses
+    rows = [(1, "Prose without an end\nLicensed under the Apache License,\nVersion 2.0.\nMore.", "s"),
+            (2, "/*\n * Licensed under the\n * Apache License, Version\n * 2.0.\n */\nint x;", "s"),
+            (3, ";; This work is licensed under the GNU General\n;; Public License, version 3.", "s"),
+            (4, "# Released under\n#\n# the MIT License.", "s"), (5, "Title\nAll Rights\r\nReserved\nTitle", "s"),
+            (6, "x. Released under the MIT License\nand other terms. Licensed under the\n\nMIT License", "s"),
+            (7, "1) All rights reserved\n2) Released under the\n   MIT License; all rights\n reserved", "s")]
+    got = sorted((r.doc_id, r.licenses, [tuple(s) for s in r.spans]) for r in licenses.scan(docs(spark, rows)).collect())
+    assert got == [(1, ["Apache-2.0"], [(1, 1)]), (2, ["Apache-2.0"], [(0, 0)]), (3, ["GPL-3"], [(0, 0)]), (4, [], []), (5, ["Proprietary"], [(1, 1)]),
+                   (6, ["MIT"], [(1, 1)]), (7, ["Proprietary", "MIT", "Proprietary"], [(0, 0), (1, 1), (2, 2)])]
+
+
 # --- toxicity -------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
