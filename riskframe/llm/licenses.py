@@ -36,35 +36,67 @@ from pyspark.sql import types as T
 from riskframe.llm.common import text_batches
 
 #: Known licence sentences (normalised; {v} stands for a version
-#: number) and their identifiers.
+#: number, {x} for up to 12 words of a name) and their identifiers.
+_GPL = "you can redistribute it and or modify it under the terms of the gnu {g} as published by the free software foundation"
+_GPL_ENDS = ("either version {v} of the license or at your option any later version", "either version {v} or at your option any later version",
+             "version {v} of the license", "version {v}", "either version {v} of the license or any later version", "version {v} of the license only", "version {v} only")
+_AS_IS = "and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_DAMAGES = ("be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+            "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence "
+            "or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage")
+_MIT_USE = "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
+_MIT_GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+_ASIS_BASIS = "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"
+_GNU = (("general public license", "gpl"), ("lesser general public license", "lgpl"), ("library general public license", "lgpl"), ("affero general public license", "agpl"))
+_CC = (("attribution", "cc-by"), ("attribution sharealike", "cc-by-sa"), ("attribution share alike", "cc-by-sa"), ("attribution noncommercial", "cc-by-nc"),
+       ("attribution noncommercial sharealike", "cc-by-nc-sa"), ("attribution noncommercial share alike", "cc-by-nc-sa"), ("attribution noncommercial noderivatives", "cc-by-nc-nd"),
+       ("attribution noderivatives", "cc-by-nd"))
+_REF = ("", "this work is ", "this project is ", "this software is ", "this program is ", "this file is ", "this code is ")
+
 SENTENCES = (
-    ("licensed under the apache license version {v}", "apache-ref"),
-    ("this work is licensed under the apache license version {v}", "apache-ref"),
+    *((f"{r}{w} under the apache license version {{v}}{e}", "apache-ref") for r in _REF for w in ("licensed", "released", "distributed") for e in ("", " the license")),
+    ("{x} licenses this file to you under the apache license version {v} the license", "apache-ref"),
+    ("{x} license this file to you under the apache license version {v} the license", "apache-ref"),
     ("you may not use this file except in compliance with the license", "apache-comply"),
+    ("you may not use this work except in compliance with the license", "apache-comply"),
+    ("you may not use this software except in compliance with the license", "apache-comply"),
     ("you may obtain a copy of the license at", "apache-copy"),
-    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-asis"),
-    ("released under the mit license", "mit-ref"),
-    ("licensed under the mit license", "mit-ref"),
-    ("this project is licensed under the mit license", "mit-ref"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit-grant"),
-    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit-notice"),
+    ("you may obtain a copy of the license in the license file or at", "apache-copy"),
+    (_ASIS_BASIS, "apache-asis"),
+    (_ASIS_BASIS + " without warranties or conditions of any kind either express or implied", "apache-asis"),
+    (_ASIS_BASIS + " without warranty or conditions of any kind either express or implied", "apache-asis"),
+    (_ASIS_BASIS + " without warranties or conditions of any kind express or implied", "apache-asis"),
+    *((f"{r}{w} under the mit license", "mit-ref") for r in _REF for w in ("licensed", "released", "distributed")),
+    (_MIT_GRANT, "mit-grant"),
+    *((f"{_MIT_GRANT} the software {_MIT_USE}{e}", "mit-grant") for e in ("", " subject to the following conditions")),
+    *((f"the above copyright notice and this permission notice {x}shall be included in all copies or substantial portions of the software", "mit-notice")
+      for x in ("", "including the next paragraph ")),
     ("the software is provided as is without warranty of any kind", "as-is"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-grant"),
-    ("redistributions of source code must retain the above copyright notice", "bsd-source"),
-    ("redistributions in binary form must reproduce the above copyright notice", "bsd-binary"),
-    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-endorse"),
-    ("this work is licensed under the gnu general public license version {v}", "gpl-ref"),
-    ("licensed under the gnu general public license version {v}", "gpl-ref"),
+    *(("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+       f"fitness for a particular purpose and {n}", "as-is") for n in ("noninfringement", "non infringement")),
+    *((f"in no event shall {w} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of "
+       "or in connection with the software or the use or other dealings in the software", "mit-liability")
+      for w in ("the authors or copyright holders", "the author or copyright holder", "the author or copyright holders", "{x}")),
+    *(("permission to use copy modify and " + o + "distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice "
+       "and this permission notice appear in all copies", "isc-grant") for o in ("", "or ")),
+    *((f"redistribution and use in source and binary forms with or without modification are permitted{e}", "bsd-grant")
+      for e in ("", " provided that the following conditions are met", " subject to the following conditions")),
+    *((f"redistributions of source code must retain the above copyright notice{e}", "bsd-source")
+      for e in ("", " this list of conditions and the following disclaimer", " this list of conditions and the following disclaimers")),
+    *((f"redistributions in binary form must reproduce the above copyright notice{e}", "bsd-binary")
+      for e in ("", *(f" this list of conditions and the following {d} in the documentation and or other materials provided with the distribution" for d in ("disclaimer", "disclaimers")))),
+    *((f"all advertising materials mentioning features or use of this software must display the following {w}", "bsd-advert") for w in ("acknowledgement", "acknowledgment")),
+    *((f"neither the name{s} of {h} nor the names of {c} may be used to endorse or promote products{e}", "bsd-endorse")
+      for s in ("", "s") for h in ("the copyright holder", "the copyright holders", "{x}") for c in ("its contributors", "their contributors", "any contributors", "contributors", "other contributors")
+      for e in ("", " derived from this software without specific prior written permission")),
+    *((f"this software is provided by {w} as is {_AS_IS}", "bsd-asis") for w in ("the copyright holders and contributors", "the copyright holder and contributors", "the regents and contributors", "{x}")),
+    *((f"in no event shall {w} {_DAMAGES}", "bsd-liability") for w in ("the copyright holder or contributors", "the copyright holders or contributors", "the copyright owner or contributors", "{x}")),
+    *((f"{r}{w} under the gnu {g} version {{v}}{e}", f"{i}-ref") for g, i in _GNU for r in _REF for w in ("licensed", "released", "distributed") for e in ("", " or later", " or any later version", " only")),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl-grant"),
-    ("licensed under the gnu lesser general public license version {v}", "lgpl-ref"),
-    ("this work is licensed under the gnu lesser general public license version {v}", "lgpl-ref"),
-    ("this source code form is subject to the terms of the mozilla public license v {v}", "mpl-ref"),
-    ("licensed under cc by nc {v}", "cc-by-nc"),
-    ("licensed under cc by nc nd {v}", "cc-by-nc-nd"),
-    ("licensed under cc by nc sa {v}", "cc-by-nc-sa"),
-    ("licensed under cc by sa {v}", "cc-by-sa"),
-    ("licensed under cc by {v}", "cc-by"),
-    ("this work is licensed under a creative commons attribution {v} international license", "cc-by"),
+    *((f"{_GPL.replace('{g}', g)} {e}", f"{i}-grant") for g, i in _GNU for e in _GPL_ENDS),
+    *((f"this source code form is subject to the terms of the mozilla public license {v}{{v}}", "mpl-ref") for v in ("v ", "version ", "")),
+    *((f"licensed under cc {c.removeprefix('cc-').replace('-', ' ')} {{v}}", c) for c in sorted({c for _, c in _CC})),
+    *((f"this work is licensed under {a}creative commons {n} {{v}} {p}license", c) for n, c in _CC for a in ("a ", "the ") for p in ("", "international ", "unported ", "generic ")),
     ("this work is dedicated to the public domain", "cc0"),
     ("all rights reserved", "all-rights"),
 )
@@ -83,24 +115,34 @@ class LicenseRule:
 RULES = (
     LicenseRule("Apache", ("apache-ref", "apache-comply", "apache-copy", "apache-asis")),
     LicenseRule("Apache", ("apache-ref",)),
+    LicenseRule("MIT", ("mit-grant", "mit-notice", "as-is", "mit-liability")),
     LicenseRule("MIT", ("mit-grant", "mit-notice", "as-is")),
     LicenseRule("MIT", ("mit-ref",)),
+    LicenseRule("ISC", ("isc-grant",)),
+    LicenseRule("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse", "bsd-asis", "bsd-liability")),
+    LicenseRule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-asis", "bsd-liability")),
+    LicenseRule("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")),
     LicenseRule("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    LicenseRule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis", "bsd-liability")),
     LicenseRule("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     LicenseRule("GPL", ("gpl-ref",)),
     LicenseRule("GPL", ("gpl-grant",)),
     LicenseRule("LGPL", ("lgpl-ref",)),
+    LicenseRule("LGPL", ("lgpl-grant",)),
+    LicenseRule("AGPL", ("agpl-ref",)),
+    LicenseRule("AGPL", ("agpl-grant",)),
     LicenseRule("MPL", ("mpl-ref",)),
     LicenseRule("CC-BY-NC-ND", ("cc-by-nc-nd",)),
     LicenseRule("CC-BY-NC-SA", ("cc-by-nc-sa",)),
     LicenseRule("CC-BY-NC", ("cc-by-nc",)),
+    LicenseRule("CC-BY-ND", ("cc-by-nd",)),
     LicenseRule("CC-BY-SA", ("cc-by-sa",)),
     LicenseRule("CC-BY", ("cc-by",)),
     LicenseRule("CC0", ("cc0",)),
     LicenseRule("Proprietary", ("all-rights",)),
 )
 
-_END = re.compile(r"(?<!\bv)[.!?;:](?=\s|$)|\n")
+_END = re.compile(r"(?<!\bv)(?<!\bInc)(?<!\bLtd)(?<!\bCorp)(?<!\bCo)[.!?;:](?=\s|$)|\n")
 #: What stands before the words of a line: marks of comments, quotes and lists.
 _MARK = re.compile(r"[ \t]*(?:(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--|>+|!+|(?:rem|dnl)(?=\s)|\(?\d{1,2}\)|\(?[a-z]\)|[-\u2022|'])[ \t]*)*", re.I)
 _FIRST = re.compile(r"[^\W_]")
@@ -117,9 +159,10 @@ def normalise(sentence: str) -> tuple[str, str]:
     return words, version.group(1) if version else ""
 
 
-def pieces(text: str) -> Iterator[tuple[str, bool]]:
-    """(piece, whether its sentence ends with it) of the whole text: cut at . ! ? ; or :
-    before white space, and at line ends, which end a sentence only before a blank line."""
+def pieces(text: str) -> Iterator[tuple[str, int]]:
+    """(piece, how it ends) of the whole text, cut at . ! ? ; or : before white space and
+    at line ends: 2 for . ! ? and blank lines, 1 for ; and :, over which a known
+    sentence may run, 0 for line ends, which end no sentence."""
     last = None
     at = _MARK.match(text).end()
     while at <= len(text):
@@ -129,44 +172,77 @@ def pieces(text: str) -> Iterator[tuple[str, bool]]:
         words = bool(_FIRST.search(piece))
         if last is not None and (words or soft):
             # a line feed after a piece without words: a blank line, or the rest of an ended line
-            yield last[0], last[1] or not words
+            yield last[0], last[1] if words or last[1] else 2
             last = None
         if words:
-            last = (piece, not soft)
+            last = (piece, 0 if soft else 1 if m and m.group() in ";:" else 2)
         if m is None:
             break
         at = m.end()
         if soft:
             at = _MARK.match(text, at).end()
     if last is not None:
-        yield last[0], True
+        yield last[0], 2
+
+
+class Known:
+    """The sentence table made ready: whole sentences by hash, those with a name by patterns."""
+
+    def __init__(self, table: Sequence[tuple[str, str]]):
+        self.plain = {s: i for s, i in table if "{x}" not in s}
+        named = [(s, i) for s, i in table if "{x}" in s]
+        self.starts = frozenset(" ".join(w[:k]) for s, _ in table for w in [s.partition("{x}")[0].split()] for k in range(1, len(w) + ("{x}" in s)))
+        #: (words before the name, pattern of the whole, of any beginning, identifier)
+        self.named = []
+        name = r"\S+(?: \S+){0,11}"
+        for s, i in named:
+            head, _, tail = s.partition("{x}")
+            rest = ""
+            for w in reversed(tail.split()):
+                rest = f"(?: {re.escape(w)}{rest})?"
+            self.named.append((head.strip(), re.compile(re.escape(head) + name + re.escape(tail)), re.compile(re.escape(head) + name + rest), i))
+        # a known sentence begins with the first word of a table entry: a cheap look before normalising;
+        # where the name comes first, with any word before the first one after it
+        firsts = sorted({re.escape(s.split()[0]) for s, _ in table if not s.startswith("{x}")})
+        self.likely = re.compile(r"(?<![^\W_])(?:" + "|".join(firsts) + r")(?![^\W_])", re.I)
+        marks = sorted({re.escape(s.split()[1]) for s, _ in table if s.startswith("{x}")})
+        self.marks = re.compile(r"(?<![^\W_])(?:" + "|".join(marks or ["(?!)"]) + r")(?![^\W_])", re.I)
+
+    def get(self, form: str) -> str | None:
+        if form in self.plain:
+            return self.plain[form]
+        return next((i for head, whole, _, i in self.named if form.startswith(head) and whole.fullmatch(form)), None)
+
+    def begins(self, form: str) -> bool:
+        """Whether a known sentence begins with these words."""
+        return form in self.starts or any(form.startswith(head) and start.fullmatch(form) for head, _, start, _ in self.named)
 
 
-def find(text: str, known: dict[str, str], starts: frozenset[str], likely: re.Pattern) -> list[tuple[int, str, str]]:
-    """(place, identifier, version) of the known sentences of a text; ``starts``: every
-    beginning of a known sentence, in whole words.  A place is the sentence's number."""
+def find(text: str, known: Known) -> list[tuple[int, str, str]]:
+    """(place, identifier, version) of the known sentences of a text; a place is the
+    sentence's number."""
     cut = list(pieces(text))
     forms: dict[int, tuple[str, str]] = {}
     out, i, n, unknown = [], 0, 0, False         # unknown: lines of an unknown sentence stand before
     while i < len(cut):
         first = _FIRST.search(cut[i][0])
         best = None
-        if likely.match(cut[i][0], first.start()):
+        if known.likely.match(cut[i][0], first.start()) or known.marks.search(cut[i][0]):
             form, version = "", ""
             for j in range(i, len(cut)):
                 if j not in forms:
                     forms[j] = normalise(cut[j][0])
                 form, version = f"{form} {forms[j][0]}".strip(), version or forms[j][1]
-                if form in known:
-                    best = (j, known[form], version)
-                if cut[j][1] or form not in starts:
+                if (got := known.get(form)) is not None:
+                    best = (j, got, version)
+                if cut[j][1] == 2 or not known.begins(form):
                     break
         if best:
             n += unknown
             out.append((n, *best[1:]))
             i, n, unknown = best[0] + 1, n + 1, False
         else:
-            n, unknown, i = n + cut[i][1], not cut[i][1], i + 1
+            n, unknown, i = n + (cut[i][1] > 0), not cut[i][1], i + 1
     return out
 
 
@@ -190,17 +266,13 @@ def match_rules(found: Sequence[tuple[int, str, str]], rules: Sequence[LicenseRu
 
 
 def _find_fn(table: Sequence[tuple[str, str]]):
-    known = dict(table)
-    starts = frozenset(" ".join(w[:k]) for w in map(str.split, known) for k in range(1, len(w)))
-    # a known sentence begins with the first word of a table entry: a cheap look before normalising
-    firsts = sorted({re.escape(s.split()[0]) for s in known})
-    likely = re.compile(r"(?<![^\W_])(?:" + "|".join(firsts) + r")(?![^\W_])", re.I)
+    known = Known(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = []
             for text in b.column(1).to_pylist():
-                got = find(text, known, starts, likely) if text and likely.search(text) else []
+                got = find(text, known) if text and (known.likely.search(text) or known.marks.search(text)) else []
                 ids.append([{"place": at, "id": i, "version": v} for at, i, v in got])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.struct([("place", pa.int32()), ("id", pa.string()), ("version", pa.string())])))],
                                              ["__row", "__ids"])

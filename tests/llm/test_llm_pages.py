@@ -145,6 +145,95 @@ def test_license_sentences_run_over_wrapped_lines(spark):
                    (6, ["MIT"], [(1, 1)]), (7, ["Proprietary", "MIT", "Proprietary"], [(0, 0), (1, 1), (2, 2)])]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """// Copyright 2008 Some Firm Inc.
+//
+// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:
+//
+//     * Redistributions of source code must retain the above copyright
+// notice, this list of conditions and the following disclaimer.
+//     * Redistributions in binary form must reproduce the above
+// copyright notice, this list of conditions and the following disclaimer
+// in the documentation and/or other materials provided with the
+// distribution.
+{endorse}//
+// THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+// "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+// LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR
+// A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+// OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+// SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+// LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+// DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+// THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+// (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+// OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+ENDORSE = """//     * Neither the name of {x} nor the names of its
+// contributors may be used to endorse or promote products derived from
+// this software without specific prior written permission.
+"""
+APACHE = """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+"""
+GPL = """    This program is free software{sep} you can redistribute it and/or modify
+    it under the terms of the GNU {kind} as published by
+    the Free Software Foundation{sep2} either version {v} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {kind} for more details.
+"""
+
+
+@pytest.mark.parametrize("text,want", [
+    (MIT, ["MIT"]), (MIT.replace("\n", "\r\n"), ["MIT"]), (BSD.format(endorse=""), ["BSD-2-Clause"]),
+    (BSD.format(endorse=ENDORSE.format(x="the copyright holder")), ["BSD-3-Clause"]), (BSD.format(endorse=ENDORSE.format(x="Some Firm Inc.")), ["BSD-3-Clause"]),
+    (APACHE, ["Apache-2.0"]), (APACHE.replace("Licensed", "The ASF licenses this file to You").replace("Version 2.0 (the", "Version 2.0\n * (the"), ["Apache-2.0"]),
+    (GPL.format(sep=":", sep2=",", kind="General Public License", v=3), ["GPL-3"]), (GPL.format(sep=";", sep2=";", kind="General Public License", v=2), ["GPL-2"]),
+    (GPL.format(sep=":", sep2=",", kind="Lesser General Public License", v="2.1"), ["LGPL-2.1"]),
+    (GPL.format(sep=":", sep2=",", kind="Affero General Public License", v=3), ["AGPL-3"]),
+    ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"])])
+def test_whole_license_notices(spark, text, want):
+    from riskframe.llm import licenses
+    r, = licenses.scan(docs(spark, [(1, "int main()\n" + text + "\nint x;", "s")])).collect()
+    assert r.licenses == want and r.unmatched == []
+
+
 # --- toxicity -------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
