@@ -100,6 +100,21 @@ def test_template_over_hosts(spark):
     assert html.extract_pages(pages(spark, [])).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    """A page that fills most of its host's rows keeps its text, also with other markup around it."""
+    from riskframe.llm import html
+    page = "<html><body data-v='{}'><div><p>Welcome to our site</p></div><div><p>{}</p><p>{}</p></div></body></html>"
+    rows = [(i, "http://copies.example/", page.format(i % 2, "one story", "told again")) for i in range(9)]
+    rows += [(20 + i, "http://copies.example/", page.format(0, f"story {i}", f"end {i}")) for i in range(4)]
+    rows += [(40 + i, "http://one.example/", page.format(i, "one story", "told again")) for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract_pages(pages(spark, rows)).collect()}
+    assert {got[i] for i in range(9)} == {"one story\ntold again"} and [got[20 + i] for i in range(4)] == [f"story {i}\nend {i}" for i in range(4)]
+    assert {got[40 + i] for i in range(4)} == {"Welcome to our site\none story\ntold again"}
+    # no page loses all of its runs
+    found, runs = html.tokens(rows[0][2])
+    assert runs and html.extract(rows[0][2], html.own_main(found), frozenset(runs)) == "Welcome to our site\none story\ntold again"
+
+
 def test_deep_and_long_pages():
     from riskframe.llm import html
     deep = "<div>" * 3000 + "<article><p>deep</p></article>"
