@@ -115,6 +115,17 @@ def test_copies_of_a_page_are_no_template(spark):
     assert runs and html.extract(rows[0][2], html.own_main(found), frozenset(runs)) == "Welcome to our site\none story\ntold again"
 
 
+@pytest.mark.parametrize("name", ["post-title", "entry-date", "article-title", "story", "text-muted"])
+def test_named_element_without_the_text_is_no_main_slot(spark, name):
+    from riskframe.llm import html
+    page = lambda *t: FRAME.format(main="<p>Skip to here</p><div class='wrap'><h1 class='%s'>%s</h1><p>%s</p><p>%s</p></div>" % (name, *t))
+    text = "A title", "The first paragraph holds much more text than the title", "and so does the second one"
+    assert html.extract(page(*text), None) == "\n".join(text)
+    rows = [(i, "http://named.example/", page(f"Title {i}", f"paragraph {i} of some length", f"and the end of it {i}")) for i in range(6)]
+    got = {r.page_id: r.text for r in html.extract_pages(pages(spark, rows)).collect()}
+    assert got == {i: f"Title {i}\nparagraph {i} of some length\nand the end of it {i}" for i in range(6)}
+
+
 def test_deep_and_long_pages():
     from riskframe.llm import html
     deep = "<div>" * 3000 + "<article><p>deep</p></article>"
