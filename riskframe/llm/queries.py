@@ -16,7 +16,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskframe.llm import lines
-    x = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), max_distance=None, removed_col="removed")
+    x = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), max_distance=None, every_row=True, removed_col="removed")
     return x.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"),
                     F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 

@@ -295,3 +295,14 @@ def test_line_keys_are_native(spark, table):
     from riskframe.llm import lines
     p = lines.keyed(table, "doc_id", "text", 0.8)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in p and "Arrow" not in p
+
+
+def test_line_dedup_returns_every_row(spark):
+    from riskframe.llm import lines
+    rows = [(None, None, "a"), (None, None, "b"), (None, "", "a"), (None, "", "b"), (1, "--", "a"), (1, "--", "b"), (2, "some words\n--\nanother line entirely", "a"),
+            (2, "some words\n--\nanother line entirely", "b"), (2, "some words\n--\nmore words", "b"), (3, "alone", "a")]
+    got = lines.dedup_lines(docs(spark, rows), max_distance=None, every_row=True, removed_col="gone").collect()
+    assert Counter((r.doc_id, r.text, tuple(r.gone)) for r in got) == Counter(
+        [(None, None, ())] * 2 + [(None, "", ())] * 2 + [(1, "--", ())] * 2 + [(2, rows[6][1], ())] + [(2, "--", (0, 2))] * 2 + [(3, "alone", ())])
+    kept = lines.dedup_lines(docs(spark, rows), max_distance=None, every_row=True, drop_emptied=True)
+    assert kept.count() == len(rows) - 2 and len({r.key for r in kept.collect()}) == len(rows) - 2
