@@ -156,3 +156,11 @@ def test_partition_count_invariance(spark, key):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_cv_run_fits_to_the_defaults(spark, monkeypatch):
+    from riskframe.plans import q_model
+    seen = {}
+    monkeypatch.setattr(q_model.MD, "cross_validate", lambda *a, **kw: seen.update(kw) or (None, None))
+    q_model._cv(spark, "/root/testdata/sf0.001")
+    assert set(seen) == {"resample"}
