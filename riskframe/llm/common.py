@@ -48,3 +48,16 @@ def text_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, None) in (None, "10000"):
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
+def spread_keys(spark: SparkSession, partitions: int, each: int = 1) -> list[int]:
+    """``partitions * each`` integers, ``each`` of which a hash partitioning into
+    ``partitions`` puts into every partition: groups named by them are dealt evenly
+    (numbers from 0 on would meet in some partitions and leave others empty)."""
+    n = partitions * each
+    h = F.pmod(F.hash(F.col("id").cast("int")), F.lit(partitions))
+    rows = (spark.range(0, 4 * n + 200 * partitions, 1, 1).select(F.col("id").cast("int").alias("id"), h.alias("p"))
+            .groupBy("p").agg(F.slice(F.sort_array(F.collect_list("id")), 1, each).alias("ids")).collect())
+    found = {r["p"]: r["ids"] for r in rows}
+    spare = iter(range(4 * n + 200 * partitions, 2 ** 31))
+    return [x for i in range(each) for p in range(partitions) for x in [found.get(p, [])[i] if i < len(found.get(p, [])) else next(spare)]]

@@ -149,8 +149,107 @@ def op9_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_licenses": op2_licenses, "op3_html": op3_html, "op4_topk": op4_topk, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash}
-ORACLE = {"op2_licenses": OP2_SQL, "op3_html": OP3_SQL, "op4_topk": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import merkle
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(d, found={"text": F.when(tampered, lower).otherwise(F.col("text"))})
+
+
+#: the tree, level by level (8 ** 7 leaves a group at most, far above the compared sizes)
+_UP = "".join(
+    f"t{i + 1} AS (SELECT grp, pos // 8 AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d, COUNT(*) OVER (PARTITION BY grp) AS n FROM t{i} WHERE n > 1 GROUP BY grp, pos // 8 "
+    f"UNION ALL SELECT grp, pos, d, n FROM t{i} WHERE n = 1), " for i in range(7))
+_TOP = "".join(
+    f"u{i + 1} AS (SELECT pos // 8 AS pos, sha256(string_agg(d, '' ORDER BY pos)) AS d, COUNT(*) OVER () AS n FROM u{i} WHERE n > 1 GROUP BY pos // 8 "
+    f"UNION ALL SELECT pos, d, n FROM u{i} WHERE n = 1), " for i in range(3))
+
+
+def _fold(prev: str, t: str, i: int, same: str) -> str:
+    """One level: the siblings of a row's node join its proof, the node found becomes its parent."""
+    sib = lambda op: f"(SELECT COALESCE(string_agg(s.d, '' ORDER BY s.pos), '') FROM {t}{i} s WHERE {same}s.n > 1 AND s.pos // 8 = p.spot // 8 AND s.pos {op} p.spot)"
+    grew = f"(SELECT MAX(s.n) > 1 FROM {t}{i} s WHERE {same}TRUE)"
+    return (f"SELECT doc_id, grp, lpos, leaf, gpos, CASE WHEN grew THEN spot // 8 ELSE spot END AS spot, proof || l || r AS proof, "
+            f"CASE WHEN grew THEN sha256(l || found || r) ELSE found END AS found FROM (SELECT p.*, {sib('<')} AS l, {sib('>')} AS r, {grew} AS grew FROM {prev} p)")
+
+
+_ENC = lambda c: f"COALESCE(octet_length(encode(CAST({c} AS VARCHAR)))::VARCHAR || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_ENC(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of the decimal id, bit by bit: every byte is followed by seven zeros
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), "
+        "lambda c: [ascii(c)::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT]))), "
+        "lambda a, x: xor(xor(a, x) >> 1, 3988292384::BIGINT * (xor(a, x) & 1))), 4294967295::BIGINT)")
+OP11_SQL = (
+    f"WITH d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '0' ELSE '1' || lang END AS grp, {_LEAF('text')} AS leaf, "
+    f"CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN {_LEAF(_LOW)} ELSE {_LEAF('text')} END AS found FROM documents), "
+    "l AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS lpos FROM d), "
+    "t0 AS (SELECT grp, lpos AS pos, leaf AS d, COUNT(*) OVER (PARTITION BY grp) AS n FROM l), " + _UP +
+    "g AS (SELECT grp, d, ROW_NUMBER() OVER (ORDER BY encode(grp)) - 1 AS gpos FROM t7), "
+    "u0 AS (SELECT gpos AS pos, d, COUNT(*) OVER () AS n FROM g), " + _TOP +
+    "p0 AS (SELECT doc_id, l.grp, lpos, leaf, gpos, lpos AS spot, '' AS proof, found FROM l JOIN g USING (grp)), "
+    + "".join(f"p{i + 1} AS ({_fold(f'p{i}', 't', i, 's.grp = p.grp AND ')}), " for i in range(7))
+    + "q0 AS (SELECT doc_id, grp, lpos, leaf, gpos, gpos AS spot, proof, found FROM p7), "
+    + "".join(f"q{i + 1} AS ({_fold(f'q{i}', 'u', i, '')}), " for i in range(3))
+    + "r AS (SELECT MAX(d) AS root FROM u3) SELECT q3.doc_id, q3.leaf, g.d AS subroot, r.root, sha256(q3.proof) AS proof_sha256, q3.found AS folded_root, q3.found = r.root AS verified "
+      "FROM q3 JOIN g USING (grp), r")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import substrings
+    x = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35)
+    return x.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS r, doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d),
+x AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS t FROM s),
+b AS (SELECT r, i FROM (SELECT r, i, COUNT(*) OVER (PARTITION BY t) AS n FROM x) WHERE n > 1),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM b),
+k AS (SELECT r, COUNT(*) AS n_removed FROM g GROUP BY r),
+v AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d WHERE r IN (SELECT r FROM k)),
+o AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM v ANTI JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_removed, 0) AS n_removed,
+       sha256(CASE WHEN n_removed IS NULL THEN array_to_string(w, ' ') ELSE COALESCE(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN k USING (r) LEFT JOIN o USING (r)
+""".replace("\\\\", "\\")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.llm import phrases
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text")).withColumnRenamed("grp", "lang")
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT COALESCE(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+      UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+      UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w),
+f AS (SELECT lang, k, phrase, COUNT(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, SUM(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS x FROM f WHERE k > 1 AND f >= 10),
+u AS (SELECT lang, phrase, k, a, 1 AS cut, x[1] AS lp, array_to_string(x[2:], ' ') AS rp FROM c
+      UNION ALL SELECT lang, phrase, k, a, 2, x[1] || ' ' || x[2], x[3] FROM c WHERE k = 3),
+s AS (SELECT u.lang, u.phrase, u.k, a, cut, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f))::BIGINT AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.lp JOIN f r ON r.lang = u.lang AND r.phrase = u.rp),
+b AS (SELECT * FROM s QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+t AS (SELECT lang, a, unnest([x[1] || ' ' || x[2], x[2] || ' ' || x[3]]) AS phrase FROM c WHERE k = 3),
+m AS (SELECT lang, phrase, MAX(a) AS longest FROM t GROUP BY ALL),
+o AS (SELECT b.*, n.n FROM b JOIN n USING (lang) LEFT JOIN m USING (lang, phrase) WHERE COALESCE(100 * longest < 50 * a, TRUE)),
+z AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000
+"""
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_licenses": op2_licenses, "op3_html": op3_html, "op4_topk": op4_topk, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_mixing": op7_mixing, "op8_url_filter": op8_url_filter, "op9_pivot_dedup": op9_pivot_dedup, "op10_simhash": op10_simhash,
+           "op11_merkle": op11_merkle, "op12_substring_dedup": op12_substring_dedup, "op13_phrases": op13_phrases}
+ORACLE = {"op2_licenses": OP2_SQL, "op3_html": OP3_SQL, "op4_topk": OP4_SQL, "op7_mixing": OP7_SQL, "op8_url_filter": OP8_SQL,
+          "op11_merkle": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_phrases": OP13_SQL}
 
 
 def queries():
