@@ -101,6 +101,47 @@ def undersample(df: DataFrame, key: str, label: str, minority=1, ratio: float =
     return mino.unionByName(hash_top_n(majo, key, n, (), seed))
 
 
+def smote(df: DataFrame, key: str, label: str, features: Sequence[str], minority=1, ratio: float = 1.0, k: int = 5, seed=42,
+          pivots: int | None = None) -> DataFrame:
+    """Oversample the minority to ``ratio`` times the majority: every new row is
+    x + u (y - x) for a minority row x, one y of its ``k`` nearest minority
+    neighbours (exact, ``neighbors.nearest``) and u in [0, 1), both drawn by hash.
+
+    The new rows are dealt evenly over the minority rows, the remainder to the rows
+    of smallest hash, so the counts meet the ratio exactly.  Returns key, label, the
+    features, ``copy`` (0: the row itself, else the number of the new row made from it)
+    and ``neighbour`` (its y).  No new rows where the ratio holds already or where no
+    minority row has a neighbour; rows with a missing feature stay but have no neighbours."""
+    from riskframe.operators.neighbors import nearest
+    from riskframe.sources.io import materialize
+    cols = [F.col(c).cast("double").alias(c) for c in features]
+    rows = materialize(df.select(F.col(key).cast("bigint").alias(key), label, *cols), "smote-rows")
+    small = rows.where(F.col(label) == F.lit(minority))
+    near = materialize(small.join(nearest(small, key, features, k, pivots), key).where(F.size("neighbours") > 0), "smote-near")
+    # one row: how many new rows each minority row makes, and how many make one more
+    n = rows.agg(F.count_if(F.col(label) == F.lit(minority)).alias("few"), F.count_if(F.col(label) != F.lit(minority)).alias("many"))
+    n = n.crossJoin(near.agg(F.count(F.lit(1)).alias("m"))).select("m", F.greatest(F.floor(F.col("many") * F.lit(float(ratio))) - F.col("few"), F.lit(0)).alias("new"))
+    n = materialize(n.select(F.expr("CASE WHEN m > 0 THEN new div m ELSE 0 END").alias("per"), F.expr("CASE WHEN m > 0 THEN new % m ELSE 0 END").alias("__n")), "smote-counts")
+    every = near.crossJoin(F.broadcast(n.select("per"))).where("per > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("per").cast("int")))).drop("per")
+    extra = hash_top_n(near, key, n.select("__n"), (), seed).crossJoin(F.broadcast(n.select("per"))).withColumn("copy", (F.col("per") + 1).cast("int")).drop("per")
+    made = every.unionByName(extra)
+    pick = (hash_bigint(key, "copy", seed=seed) % F.size("neighbours")).cast("int") + 1
+    u = hash_bigint(key, "copy", seed=f"{seed}u").cast("double") / F.lit(4294967296.0)
+    made = made.withColumn("neighbour", F.element_at("neighbours", pick)["id"]).withColumn("__u", u)
+    other = small.select(F.col(key).alias("neighbour"), *[F.col(c).alias(f"__y_{c}") for c in features])
+    new = made.join(other, "neighbour").select(key, label, *[(F.col(c) + F.col("__u") * (F.col(f"__y_{c}") - F.col(c))).alias(c) for c in features], "copy", "neighbour")
+    return rows.select(key, label, *features, F.lit(0).alias("copy"), F.lit(None).cast("bigint").alias("neighbour")).unionByName(new)
+
+
+def smote_under(df: DataFrame, key: str, label: str, features: Sequence[str], minority=1, over: float = 0.5, under: float = 1.0, k: int = 5,
+                seed=42, pivots: int | None = None) -> DataFrame:
+    """SMOTE to ``over`` times the majority, then the majority cut by hash to
+    minority / ``under`` rows."""
+    from riskframe.sources.io import materialize
+    x = materialize(smote(df, key, label, features, minority, over, k, seed, pivots), "smote")
+    return undersample(x, key, label, minority, under, seed)
+
+
 def dedup_first(frames: Sequence[DataFrame], key: str) -> DataFrame:
     """Union several sources; per key keep the row from the first source.
 

@@ -171,3 +171,34 @@ def q_random_search(spark, d):
     """K6: two seeded draws from a small grid, two folds each."""
     a, folds = _folds(spark, d, 2)
     return MD.random_search(a, FEATS, "TARGET", "SK_ID_CURR", folds, {"regParam": [0.0, 0.01, 0.1], "maxIter": [5, 10]}, n_trials=2, k=2)
+
+
+def _tree_contribs(spark, d, kind, **params):
+    from riskframe.operators.trees import tree_contributions
+    tr, _ = _data(spark, d)
+    model = MD.fit(tr, FEATS, "TARGET", kind, **params)
+    a = role(spark, d, "application").select("SK_ID_CURR", *[F.col(c).cast("double").alias(c) for c in FEATS])
+    return tree_contributions(model, a, FEATS, ["SK_ID_CURR"])
+
+
+@query("tree_contributions")
+def q_tree_contributions(spark, d):
+    """Exact contributions of boosted trees, every row and feature."""
+    return _tree_contribs(spark, d, "gbt")
+
+
+@query("tree_global_contrib")
+def q_tree_global_contrib(spark, d):
+    """Mean absolute contribution per feature of a random forest, with provenance tags."""
+    from riskframe.operators.profile import feature_source
+    x = _tree_contribs(spark, d, "rf").groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"), F.avg("contribution").alias("mean_contribution"))
+    return x.withColumn("source", feature_source(F.col("feature"), role(spark, d, "application").columns))
+
+
+@query("explain_trees")
+def q_explain_trees(spark, d):
+    """K12 on boosted trees: the five largest contributions as text."""
+    x = _tree_contribs(spark, d, "gbt")
+    g = x.groupBy("SK_ID_CURR").agg(F.sort_array(F.collect_list(F.struct((-F.abs("contribution")).alias("o"), "feature", "value", "contribution"))).alias("s"))
+    return g.select("SK_ID_CURR", F.concat_ws("; ", F.transform(F.slice("s", 1, 5), lambda s: F.format_string(
+        "%s (%.4f): %+.3f", s["feature"], s["value"], s["contribution"]))).alias("explanation"))

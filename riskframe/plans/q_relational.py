@@ -322,6 +322,81 @@ reg("undersample", with_roles("application") + (
     "LIMIT (SELECT CAST(FLOOR(COUNT(*) / 0.5) AS BIGINT) FROM application WHERE TARGET = 1))"))
 
 
+# G11 + G12
+SMOTE_FEATS = ["AMT_INCOME_TOTAL", "DAYS_BIRTH", "EXT_1", "EXT_2", "EXT_3", "CNT_CHILDREN"]
+_SMOTE_COLS = ["SK_ID_CURR", "TARGET", "AMT_INCOME_TOTAL / 1e3 AS AMT_INCOME_TOTAL", "DAYS_BIRTH / 1e3 AS DAYS_BIRTH", "COALESCE(EXT_SOURCE_1, 0.5e0) AS EXT_1",
+               "EXT_SOURCE_2 AS EXT_2", "COALESCE(EXT_SOURCE_3, 0.5e0) AS EXT_3", "CNT_CHILDREN"]
+
+
+def _smote_input(spark, d):
+    return role(spark, d, "application").selectExpr(*[c.replace("e0", "D").replace("1e3", "1000D") for c in _SMOTE_COLS])
+
+
+@query("smote")
+def q_smote(spark, d):
+    return round_double_cols(SM.smote(_smote_input(spark, d), "SK_ID_CURR", "TARGET", SMOTE_FEATS))
+
+
+@query("smote_under")
+def q_smote_under(spark, d):
+    return round_double_cols(SM.smote_under(_smote_input(spark, d), "SK_ID_CURR", "TARGET", SMOTE_FEATS))
+
+
+@query("smote_compare")
+def q_smote_compare(spark, d):
+    """G13 on the rows that SMOTE made: mean and deviation per feature, original and new."""
+    x = SM.smote(_smote_input(spark, d), "SK_ID_CURR", "TARGET", SMOTE_FEATS).where("TARGET = 1")
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in SMOTE_FEATS])
+    x = x.select((F.col("copy") > 0).alias("made"), F.inline(cells))
+    val = lambda made: F.when(F.col("made") == F.lit(made), F.col("v"))
+    out = x.groupBy("feature").agg(*[f(val(m)).alias(f"{t}_{n}") for m, t in ((False, "original"), (True, "synthetic")) for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))])
+    return round_double_cols(out.withColumn("mean_diff_pct", F.try_divide(F.col("synthetic_mean") - F.col("original_mean"), F.abs("original_mean")) * 100))
+
+
+@query("knn")
+def q_knn(spark, d):
+    """The five nearest applicants of every applicant."""
+    from riskframe.operators.neighbors import nearest
+    x = nearest(_smote_input(spark, d), "SK_ID_CURR", SMOTE_FEATS, 5)
+    return round_double_cols(x.select("SK_ID_CURR", F.posexplode("neighbours").alias("p", "x")).select(
+        "SK_ID_CURR", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("neighbour"), F.col("x.d2").alias("d2")))
+
+
+def _knn_sql(where):
+    d2 = " + ".join(f"(a.{c}::DOUBLE - b.{c}::DOUBLE) * (a.{c}::DOUBLE - b.{c}::DOUBLE)" for c in SMOTE_FEATS)
+    return (f"SELECT a.SK_ID_CURR, b.SK_ID_CURR AS neighbour, {d2} AS d2, ROW_NUMBER() OVER (PARTITION BY a.SK_ID_CURR ORDER BY {d2}, b.SK_ID_CURR) AS rank "
+            f"FROM base a JOIN base b ON a.SK_ID_CURR <> b.SK_ID_CURR {where} QUALIFY rank <= 5")
+
+
+_SMOTE_BASE = with_roles("application") .rstrip() + f", base AS (SELECT {', '.join(_SMOTE_COLS)} FROM application) "
+reg("knn", _SMOTE_BASE + f"SELECT SK_ID_CURR, rank, neighbour, {rnd_sql('d2')} AS d2 FROM ({_knn_sql('')}) x")
+
+
+def _smote_sql(ratio):
+    h = lambda s: f"CAST('0x' || substr(md5(CAST(x.SK_ID_CURR AS VARCHAR) || '_' || CAST(copy AS VARCHAR) || '_{s}'), 1, 8) AS BIGINT)"
+    mix = ", ".join(f"x.{c}::DOUBLE + u * (y.{c}::DOUBLE - x.{c}::DOUBLE) AS {c}" for c in SMOTE_FEATS)
+    return _SMOTE_BASE + (
+        f", nn AS ({_knn_sql('AND a.TARGET = 1 AND b.TARGET = 1')}), "
+        f"c AS (SELECT CAST(GREATEST(FLOOR(COUNT(*) FILTER (TARGET <> 1) * {ratio}e0) - COUNT(*) FILTER (TARGET = 1), 0) AS BIGINT) AS new FROM base), "
+        f"m AS (SELECT SK_ID_CURR, COUNT(*) OVER () AS m, ROW_NUMBER() OVER (ORDER BY {H('SK_ID_CURR')}, SK_ID_CURR) AS r FROM (SELECT DISTINCT SK_ID_CURR FROM nn)), "
+        "e AS (SELECT SK_ID_CURR, unnest(range(1, 1 + CAST(new // m AS BIGINT) + CASE WHEN r <= new % m THEN 1 ELSE 0 END)) AS copy FROM m, c), "
+        f"s AS (SELECT x.SK_ID_CURR, copy, {h(42)} % (SELECT COUNT(*) FROM nn WHERE nn.SK_ID_CURR = x.SK_ID_CURR) + 1 AS pick, {h('42u')} / 4294967296e0 AS u FROM e x), "
+        f"z AS (SELECT SK_ID_CURR, TARGET, {', '.join(f'{c}::DOUBLE AS {c}' for c in SMOTE_FEATS)}, 0 AS copy, NULL::BIGINT AS neighbour FROM base UNION ALL "
+        f"SELECT x.SK_ID_CURR, x.TARGET, {mix}, copy, y.SK_ID_CURR FROM s JOIN nn ON nn.SK_ID_CURR = s.SK_ID_CURR AND nn.rank = s.pick "
+        "JOIN base x ON x.SK_ID_CURR = s.SK_ID_CURR JOIN base y ON y.SK_ID_CURR = nn.neighbour) ")
+
+
+_SMOTE_OUT = "SELECT SK_ID_CURR, TARGET, " + ", ".join(f"{rnd_sql(c)} AS {c}" for c in SMOTE_FEATS) + ", copy, neighbour FROM z"
+reg("smote", _smote_sql(1.0) + _SMOTE_OUT)
+reg("smote_under", _smote_sql(0.5) + _SMOTE_OUT + (
+    f" WHERE TARGET = 1 OR SK_ID_CURR IN (SELECT SK_ID_CURR FROM base WHERE TARGET <> 1 ORDER BY {H('SK_ID_CURR')}, SK_ID_CURR "
+    "LIMIT (SELECT COUNT(*) FROM z WHERE TARGET = 1))"))
+reg("smote_compare", _smote_sql(1.0) + ", v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, copy > 0 AS made, {c} AS v FROM z WHERE TARGET = 1" for c in SMOTE_FEATS) + "), "
+    "g AS (SELECT feature, AVG(v) FILTER (NOT made) AS om, STDDEV_SAMP(v) FILTER (NOT made) AS os, AVG(v) FILTER (made) AS sm, STDDEV_SAMP(v) FILTER (made) AS ss FROM v GROUP BY feature) "
+    f"SELECT feature, {rnd_sql('om')} AS original_mean, {rnd_sql('os')} AS original_std, {rnd_sql('sm')} AS synthetic_mean, {rnd_sql('ss')} AS synthetic_std, "
+    f"{rnd_sql('(sm - om) / NULLIF(abs(om), 0) * 100')} AS mean_diff_pct FROM g")
+
+
 # G14 + G13
 def _drifted(spark, d):
     ev = T(spark, d, "events")
