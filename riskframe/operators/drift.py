@@ -273,9 +273,10 @@ def batch_drift(reference: DataFrame, current: DataFrame, min_ref: int = 10, min
 
 
 def persist_drift(records: DataFrame, path: str, batch_id: str) -> DataFrame:
-    """Append drift records (both KS and PSI kept -- no 'psi or ks' fallback)
-    to a table partitioned by batch id; returns the re-read partition."""
-    from riskframe.sources.io import write_parquet
+    """Add drift records (both KS and PSI kept -- no 'psi or ks' fallback) to a table
+    partitioned by batch id; a batch written again replaces itself.  Returns the
+    re-read batch."""
+    from riskframe.sources.batches import read_batches, write_batch
     rec = records.withColumn("batch_id", F.lit(batch_id)).withColumn("recorded_at", F.current_timestamp())
-    write_parquet(rec, path, ["batch_id"], mode="append")
-    return records.sparkSession.read.parquet(path).where(F.col("batch_id") == batch_id)
+    write_batch(rec, path, "batch_id")
+    return read_batches(records.sparkSession, path, "batch_id").where(F.col("batch_id") == batch_id)

@@ -39,8 +39,13 @@ def one_hot(df: DataFrame, vocab: Mapping[str, Sequence], cols: Sequence[str], d
     return df.withColumns(new).drop(*cols)
 
 
+#: State of a column whose missing rows are dropped.
+DROP = "__drop_rows__"
+
+
 def fit_impute(df: DataFrame, strategies: Mapping[str, str | tuple]) -> dict:
-    """strategy per column: 'median' | 'mean' | 'mode' | ('constant', v)."""
+    """strategy per column: 'median' | 'mean' | 'mode' | ('constant', v) | 'drop'
+    (rows without a value go)."""
     med = fit_medians(df, [c for c, s in strategies.items() if s == "median"])
     means = [c for c, s in strategies.items() if s == "mean"]
     row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in means]).first() if means else None
@@ -54,6 +59,10 @@ def fit_impute(df: DataFrame, strategies: Mapping[str, str | tuple]) -> dict:
             state[c] = row[c]
         elif s == "mode":
             state[c] = fit_mode(df, c)
+        elif s == "drop":
+            state[c] = DROP
+        else:
+            raise ValueError(f"unknown strategy {s!r} for {c}")
     return state
 
 
@@ -68,7 +77,10 @@ def fit_mode(df: DataFrame, c: str):
 
 def impute(df: DataFrame, state: Mapping[str, object], indicator: bool = True) -> DataFrame:
     new = {}
+    df = df.dropna(subset=[c for c, v in state.items() if v == DROP] or None) if DROP in state.values() else df
     for c, v in state.items():
+        if v == DROP:
+            continue
         if indicator:
             new[f"{c}_WAS_MISSING"] = F.col(c).isNull().cast("int")
         new[c] = F.coalesce(F.col(c), F.lit(v)) if v is not None else F.col(c)
@@ -126,9 +138,6 @@ def corr_filter(df: DataFrame, cols: Sequence[str], threshold: float = 0.95) ->
     from riskframe.operators.profile import corr_matrix
     cm = corr_matrix(df, cols)
     order = {c: i for i, c in enumerate(cols)}
-    pos = F.lit(None).cast("int")
-    for c, i in order.items():
-        pos = F.when(F.col("feature_b") == c, F.lit(i)).otherwise(pos)
     hit = cm.where(F.abs("corr") > F.lit(threshold)).groupBy("feature_b").agg(
         F.sort_array(F.collect_list("feature_a")).alias("correlated_with"))  # <= number of columns each
     feats = df.sparkSession.createDataFrame([(c, i) for c, i in order.items()], "feature string, pos int")

@@ -58,10 +58,9 @@ def corr_target(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[pair_corr(F.col(a), F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
-                                                    F.col(f"{a}__{b}").alias("corr")) for a, b in pairs])).alias("s")).select("s.*")
+    """Pearson r of every pair of columns, from a blocked Gram matrix (one pass, any width)."""
+    from riskframe.operators.gram import correlations
+    return correlations(df, cols)
 
 
 # ---------------------------------------------------------------- prediction log / batches

@@ -63,6 +63,19 @@ def hash_sample(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
     return hash_top_n(df, key, n, (), seed)
 
 
+def sample_with_replacement(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
+    """``n`` draws with replacement, numbered ``draw``: draw i takes the row of rank
+    floor(u_i N) by ``key`` (unique), u_i from 52 bits of a hash of i and the seed.
+    Exactly n rows (none from an empty table), the same for any partitioning."""
+    from riskframe.sources.io import materialize
+    ranked = materialize(running_sum(df.withColumn("__one", F.lit(1)), key, ["__one"]).drop("__one"), "ranked")
+    count = ranked.agg(F.count(F.lit(1)).alias("__N"))              # one row
+    u = F.conv(F.substring(F.md5(F.concat_ws("_", F.col("id").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(count)).where("__N > 0").select(
+        F.col("id").alias("draw"), (F.floor(u * F.col("__N")) + 1).alias("cum___one"))
+    return draws.join(ranked, "cum___one").select("draw", *df.columns)
+
+
 def stratified_sample(df: DataFrame, key: str, strata: str, n_per: int, seed=42) -> DataFrame:
     return hash_top_n(df, key, n_per, [strata], seed)
 

@@ -39,16 +39,20 @@ class Leaf:
     high: tuple[float, ...]
     share: tuple[float, ...]
 
-    def terms(self, inside: Sequence[bool]) -> list[float]:
-        """What each feature on the path adds for this pattern."""
-        m, out = len(self.features), []
+    def terms(self, inside: np.ndarray) -> np.ndarray:
+        """(patterns, features on the path): what each feature adds for each pattern."""
+        m = len(self.features)
+        out = np.zeros(inside.shape)
+        scale = np.array([factorial(s) * factorial(m - 1 - s) / factorial(m) for s in range(m)])
         for i in range(m):
-            poly = [1.0]
+            poly = np.zeros((len(inside), m))
+            poly[:, 0] = 1.0
             for j in range(m):
                 if j != i:
-                    poly = [a * self.share[j] + (b if inside[j] else 0.0) for a, b in zip([*poly, 0.0], [0.0, *poly])]
-            weight = sum(c * factorial(s) * factorial(m - 1 - s) for s, c in enumerate(poly)) / factorial(m)
-            out.append((float(inside[i]) - self.share[i]) * self.value * weight)
+                    up = poly[:, :-1] * inside[:, j, None]
+                    poly *= self.share[j]
+                    poly[:, 1:] += up
+            out[:, i] = (inside[:, i] - self.share[i]) * self.value * (poly @ scale)
         return out
 
 
@@ -94,8 +98,8 @@ def explain(table: Sequence[Leaf], x: np.ndarray) -> np.ndarray:
         inside = (part > np.array(leaf.low)) & (part <= np.array(leaf.high))
         pattern = inside @ (1 << np.arange(len(leaf.features)))
         distinct, at = np.unique(pattern, return_inverse=True)
-        terms = np.array([leaf.terms([bool(p >> j & 1) for j in range(len(leaf.features))]) for p in distinct.tolist()])
-        out[:, leaf.features] += terms[at]
+        bits = (distinct[:, None] >> np.arange(len(leaf.features)) & 1).astype(np.float64)
+        out[:, leaf.features] += leaf.terms(bits)[at]
     return out
 
 

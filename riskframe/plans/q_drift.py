@@ -269,8 +269,37 @@ def q_retrain(spark, d):
 
 @query("drift_persist")
 def q_drift_persist(spark, d):
-    """Drift records appended under a batch id and read back."""
-    from riskframe.sources.io import scratch_path
+    """Drift records stored under a batch id -- twice, as a rerun does -- and read back."""
+    from riskframe.sources.io import materialize, scratch_path
     ref, cur = events_split(spark, d)
-    rec = DR.batch_drift(ref, cur, exclude=["event_id"])
-    return round_double_cols(DR.persist_drift(rec, scratch_path(spark, "drift"), "2024-01-16").drop("recorded_at"))
+    rec = materialize(DR.batch_drift(ref, cur, exclude=["event_id"]), "drift-records")
+    path = scratch_path(spark, "drift")
+    DR.persist_drift(rec, path, "2024-01-16")
+    return round_double_cols(DR.persist_drift(rec, path, "2024-01-16").drop("recorded_at"))
+
+
+reg("drift_persist", EV + " SELECT r.*, '2024-01-16' AS batch_id FROM (" + drift_record_sql(["user_id", "value", "k"]) + ") r")
+
+
+def _metrics_sql():
+    from riskframe.plans.q_features import SCORED_SQL
+    return (EV + f", sc AS ({SCORED_SQL}), "
+            "pc AS (SELECT PROBABILITY2 AS p, COUNT_IF(TARGET = 1) AS pos, COUNT_IF(TARGET <> 1) AS neg FROM sc WHERE PROBABILITY2 IS NOT NULL GROUP BY 1), "
+            "pw AS (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM pc), "
+            "m AS (SELECT 'auc' AS metric, (SELECT SUM(pos * (below + neg / 2e0)) / (SUM(pos) * SUM(neg)) FROM pw) AS value UNION ALL "
+            "SELECT 'default_rate', AVG(TARGET) FROM sc UNION ALL SELECT 'error_rate', AVG(CAST(event_type = 'error' AS DOUBLE)) FROM events UNION ALL "
+            "SELECT 'drift_share', COUNT_IF(is_drifted) / COUNT(*) FROM (" + drift_record_sql(["user_id", "value", "k"]) + ") r) ")
+
+
+def _alert_sql():
+    rules = ", ".join(f"('{r}', '{m}', '{op}', {t}e0, '{s}')" for r, m, op, t, s in ALERT_RULES)
+    return (_metrics_sql() + f", rules(rule, metric, op, threshold, severity) AS (VALUES {rules}) SELECT rule, metric, {rnd_sql('value')} AS value, "
+            f"{rnd_sql('threshold')} AS threshold, severity, CASE op WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold ELSE FALSE END AS fired "
+            "FROM rules JOIN m USING (metric)")
+
+
+reg("alert_rules", _alert_sql())
+reg("retrain_trigger", _metrics_sql() + (
+    ", w AS (SELECT MAX(value) FILTER (metric = 'auc') AS auc, MAX(value) FILTER (metric = 'drift_share') AS drift_share FROM m), "
+    "x AS (SELECT *, list_filter([CASE WHEN auc < 0.70e0 THEN 'auc below 0.70' END, CASE WHEN drift_share > 0.10e0 THEN 'drift share above 10%' END], lambda y: y IS NOT NULL) AS reasons FROM w) "
+    f"SELECT {rnd_sql('auc')} AS auc, {rnd_sql('drift_share')} AS drift_share, len(reasons) > 0 AS retrain, reasons FROM x"))

@@ -374,6 +374,9 @@ def q_clean_names(spark, d):
     return FT.clean_names(messy)
 
 
+ORACLE["clean_names"] = 'SELECT l_orderkey AS order_key, l_quantity AS qty_unit, l_extendedprice AS "ext-price", l_tax AS tax_rate FROM lineitem'
+
+
 DOMAIN = [("AGE_YEARS", AGE, "d"), ("DAYS_EMPLOYED", EMP, "i"), ("EMPLOYMENT_YEARS", EMP_Y, "d"),
           ("IS_EMPLOYED", S.flag(f"{EMP_Y} > 0"), "i")]
 DOMAIN += [(n, S.div(a, b), "d") for n, a, b in RATIOS[:3]]

@@ -84,6 +84,16 @@ reg("impute_strategies", APP + (
     + f"{rnd_sql('COALESCE(AMT_GOODS_PRICE, (SELECT MEDIAN(AMT_GOODS_PRICE) FROM application))')} AS AMT_GOODS_PRICE FROM application"))
 
 
+@query("impute_drop")
+def q_impute_drop(spark, d):
+    a = _app(spark, d).select("SK_ID_CURR", "EXT_SOURCE_1", "EXT_SOURCE_3", "OWN_CAR_AGE")
+    return round_double_cols(FI.impute(a, FI.fit_impute(a, {"EXT_SOURCE_1": "drop", "OWN_CAR_AGE": "drop", "EXT_SOURCE_3": "mean"})))
+
+
+reg("impute_drop", APP + f"SELECT SK_ID_CURR, {rnd_sql('EXT_SOURCE_1')} AS EXT_SOURCE_1, OWN_CAR_AGE, CAST(EXT_SOURCE_3 IS NULL AS BIGINT) AS EXT_SOURCE_3_WAS_MISSING, "
+    f"{rnd_sql('COALESCE(EXT_SOURCE_3, (SELECT AVG(EXT_SOURCE_3) FROM application))')} AS EXT_SOURCE_3 FROM application WHERE EXT_SOURCE_1 IS NOT NULL AND OWN_CAR_AGE IS NOT NULL")
+
+
 @query("impute_mode")
 def q_impute_mode(spark, d):
     a = _app(spark, d).select("SK_ID_CURR", "OCCUPATION_TYPE")

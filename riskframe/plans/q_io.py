@@ -11,6 +11,7 @@ from riskframe.plans.q_features import LKEY
 from riskframe.plans.registry import query
 from riskframe.plans.sqlgen import rnd_sql, round_double_cols
 from riskframe.sources import io as IO
+from riskframe.sources.batches import purge, read_batches, write_batch
 
 ORACLE: dict[str, str] = {}
 CUSTOMER_SCHEMA = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
@@ -233,15 +234,31 @@ reg("batch_export", (f"SELECT event_id, user_id, {rnd_sql('LEAST(value / 500e0,
 
 @query("append_partitioned")
 def q_append_partitioned(spark, d):
-    """Batch predictions appended batch by batch to a Parquet table
-    partitioned by batch date, then read back."""
+    """Batch predictions stored batch by batch in a Parquet table
+    partitioned by batch date, the second part twice (a rerun), then read back."""
     lg = prediction_log(T_(spark, d, "events")).select("event_id", "batch_date", "probability", "risk_level")
     path = IO.scratch_path(spark, "predictions")
     split = F.lit("2024-01-16").cast("date")
-    IO.write_parquet(lg.where(F.col("batch_date") < split), path, ["batch_date"], mode="append")
-    IO.write_parquet(lg.where(F.col("batch_date") >= split), path, ["batch_date"], mode="append")
-    back = spark.read.parquet(path)
+    for part in (F.col("batch_date") < split, F.col("batch_date") >= split, F.col("batch_date") >= split):
+        write_batch(lg.where(part), path, "batch_date")
+    back = read_batches(spark, path, "batch_date")
     return back.groupBy(F.col("batch_date").cast("string").alias("batch_date")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("retention_purge")
+def q_retention_purge(spark, d):
+    """L4: orders stored by month, the months that ended 180 days before the newest
+    order purged from the table; what is left per month."""
+    o = T_(spark, d, "orders").select("o_orderkey", "o_orderdate", F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    path = IO.scratch_path(spark, "orders-by-month")
+    write_batch(o, path, "month")
+    newest = o.agg(F.date_format(F.date_sub(F.max("o_orderdate"), 180), "yyyy-MM")).first()[0] or ""
+    purge(spark, path, "month", F.col("month") < newest)
+    return read_batches(spark, path, "month").groupBy("month").agg(F.count(F.lit(1)).alias("n_rows"), F.max("o_orderkey").alias("last_key"))
+
+
+reg("retention_purge", "SELECT strftime(o_orderdate, '%Y-%m') AS month, COUNT(*) AS n_rows, MAX(o_orderkey) AS last_key FROM orders "
+    "WHERE strftime(o_orderdate, '%Y-%m') >= (SELECT strftime(CAST(MAX(o_orderdate) AS DATE) - 180, '%Y-%m') FROM orders) GROUP BY 1")
+
+
 reg("append_partitioned", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS batch_date, COUNT(*) AS n_rows FROM events GROUP BY 1")

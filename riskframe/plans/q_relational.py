@@ -265,6 +265,19 @@ def q_hash_sample(spark, d):
 reg("hash_sample", f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {H('o_orderkey')}, o_orderkey LIMIT 1000")
 
 
+@query("replacement_sample")
+def q_replacement_sample(spark, d):
+    """As many draws with replacement as there are customers, per segment."""
+    c = T(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    return SM.sample_with_replacement(c, "c_custkey", c.count())
+
+
+reg("replacement_sample", (
+    "WITH c AS (SELECT c_custkey, c_mktsegment, ROW_NUMBER() OVER (ORDER BY c_custkey) AS r, COUNT(*) OVER () AS n FROM customer), "
+    "d AS (SELECT unnest(range((SELECT COUNT(*) FROM customer))) AS draw) SELECT draw, c_custkey, c_mktsegment FROM d JOIN c ON c.r = 1 + CAST(FLOOR("
+    "CAST('0x' || substr(md5(CAST(draw AS VARCHAR) || '_42'), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496e0 * c.n) AS BIGINT)"))
+
+
 # G6
 @query("strat_sample")
 def q_strat_sample(spark, d):
