@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from riskframe.sources.io import materialize
 
-#: A side table is broadcast only when its written row count is at most this;
-#: beyond it the planner's shuffle join is used.  Every caller's rows are under
-#: 100 bytes, so the bound is a few tens of MB on each executor.
-BROADCAST_ROWS = 500_000
+#: A side table is broadcast only when its written rows and the bytes of its files are
+#: at most these; beyond them the planner's shuffle join is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +22,20 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
-def broadcast_within(written: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a WRITTEN table for broadcast if its row count (read from the
-    files' footers) is within the bound; otherwise leave it to the planner."""
-    return F.broadcast(written) if written.count() <= max_rows else written
+def written_bytes(written: DataFrame) -> int:
+    """Bytes of the files of a WRITTEN table (one folder)."""
+    files = written.inputFiles()
+    if not files:
+        return 0
+    spark = written.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def broadcast_within(written: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a WRITTEN table for broadcast if its row count (read from the files'
+    footers) and its files' bytes are within the bounds; otherwise leave it to the planner."""
+    return F.broadcast(written) if written.count() <= max_rows and written_bytes(written) <= max_bytes else written
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -21,6 +21,13 @@ joined by one line feed.  Text runs that belong to the template are dropped only
 where no article or main element marks the text.  A page without its host's main
 slot, and a host with one page, is its own template.
 
+A class, id or role marks an element as boilerplate only by what it holds: names never
+drop an article or main element itself, nor -- on a page that has neither outside such
+elements -- an element with most of the page's text (for comments: nearly all of it).
+
+Markup is read by one forward scan: the work on a page is linear in its length and
+in the number of its elements, however it is nested, quoted or cut off.
+
 Defined results: null html gives empty text; pages without a URL form one host;
 broken and cut-off markup is read as far as it goes; rows with equal ids are
 separate pages; an empty table gives an empty table; nothing is capped.
@@ -30,6 +37,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -46,8 +54,9 @@ SUPPORT, TEXT_PAGES = 0.5, 3
 #: The token of a page itself.
 PAGE = -1
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE = re.compile(r"[>\"']")
+_ATTR = re.compile(r"(?<![\w:-])([a-zA-Z][\w:-]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,6 +72,9 @@ DROP_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor
                        "navigation breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert popup "
                        "modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
                        "comment comments commentlist disqus replies reply respond widget toolbar pagination pager skip search form contentinfo complementary".split())
+#: Those of readers' comments, and the shares of a page's text from which an element is kept whatever its name.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+MOST, NEARLY_ALL = 0.5, 0.9
 #: Words that name content.
 CONTENT_WORDS = frozenset("article content post entry story main text body".split())
 #: An opening tag ends these open elements.
@@ -74,10 +86,12 @@ SCOPE = frozenset("article aside body div footer form header html main nav ol se
 
 class Element:
     """An open element: path key, whether it is boilerplate, its rank as main
-    slot (3 article, 2 main, 1 named like content, 0 body)."""
-    __slots__ = ("name", "key", "drop", "rank", "inside")
+    slot (3 article, 2 main, 1 named like content, 0 body); ``marked``: the share of the
+    text from which it is kept, if only its name makes it boilerplate; ``part``: whether
+    a tag makes it or an ancestor boilerplate."""
+    __slots__ = ("name", "key", "drop", "rank", "inside", "marked", "part")
 
-    def __init__(self, name: str, attrs: str, parent: "Element | None"):
+    def __init__(self, name: str, attrs: str, parent: "Element | None", spare: frozenset = frozenset()):
         import xxhash
         got = {m.group(1).lower(): m.group(2) or m.group(3) or m.group(4) or "" for m in _ATTR.finditer(attrs)} if "=" in attrs else {}
         words = set(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", " ".join(got.get(a, "") for a in ("class", "id", "role"))).lower()))
@@ -86,76 +100,111 @@ class Element:
         self.key = xxhash.xxh64_intdigest(f"{parent.key if parent else 0}/{name} {mark}") >> 1
         #: inside an article or main element
         self.inside = bool(parent) and (parent.inside or parent.rank >= 2)
-        marked = name not in ("html", "body", "main") and bool(words & DROP_WORDS) or "hidden" in attrs.lower().split()
-        self.drop = bool(parent and parent.drop) or name in DROP or marked or (name == "header" and not self.inside) or "banner" in got.get("role", "")
-        self.rank = -1 if self.drop else 3 if name == "article" else 2 if name == "main" or got.get("role") == "main" else \
-            1 if words & CONTENT_WORDS else 0 if name == "body" else -1
+        main = name == "main" or got.get("role") == "main"
+        known = words & DROP_WORDS if name not in ("html", "body", "article") and not main else ()
+        self.marked = None if not known or self.key in spare else NEARLY_ALL if words & COMMENT_WORDS else MOST
+        self.part = bool(parent and parent.part) or name in DROP or (name == "header" and not self.inside) or "banner" in got.get("role", "") or "hidden" in attrs.lower().split()
+        self.drop = bool(parent and parent.drop) or self.part or self.marked is not None
+        self.rank = -1 if self.drop else 3 if name == "article" else 2 if main else 1 if words & CONTENT_WORDS else 0 if name == "body" else -1
+
+
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Place of the ``>`` that ends the tag whose name ends at ``at``: the first one
+    outside quotes, or -- where a quote stays open to the end of the page -- the first
+    one.  ``dead``: opening quotes from which no such place is found."""
+    met = []
+    pos = at
+    while m := _QUOTE.search(page, pos):
+        if m.group() == ">":
+            return m.start()
+        if m.start() in dead:
+            break
+        met.append(m.start())
+        pos = page.find(m.group(), m.end()) + 1
+        if not pos:
+            break
+    dead.update(met)
+    return page.find(">", at)
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, text) of the markup: open, close, text."""
-    at, size = 0, len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        if not m:
-            break
-        if m.start() > at:
-            yield "text", "", page[at:m.start()]
-        at = m.end()
-        slash, name, attrs = (m.group(1), m.group(2), m.group(3)) if m.group(2) else (m.group(4), m.group(5), m.group(6))
+    at, pos, size, last = 0, 0, len(page), page.rfind(">")
+    dead: set[int] = set()
+    while (pos := page.find("<", pos)) >= 0:
+        if page.startswith("<!--", pos):
+            end = page.find("-->", pos + 4)
+            end = size if end < 0 else end + 3
+            name = ""
+        elif pos > last:
+            break                                   # nothing ends behind here
+        elif page[pos + 1:pos + 2] in ("!", "?"):
+            end, name = page.find(">", pos) + 1, ""
+        else:
+            slash = page.startswith("/", pos + 1)
+            m = _NAME.match(page, pos + 1 + slash)
+            stop = _tag_end(page, m.end(), dead) if m else -1
+            if stop < 0:
+                pos += 1                            # a plain <
+                continue
+            end, name, attrs = stop + 1, m.group().lower(), page[m.end():stop]
+        if pos > at:
+            yield "text", "", page[at:pos]
+        at = pos = end
         if not name:
             continue
-        name = name.lower()
         if slash:
             yield "close", name, ""
             continue
         yield "open", name, attrs
         if name in RAW and not attrs.endswith("/"):
-            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-            if end is None:
-                return                          # a raw element that never ends swallows the rest
-            at = end.start()
+            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            if close is None:
+                return                              # a raw element that never ends swallows the rest
+            at = pos = close.start()
     if at < size:
         yield "text", "", page[at:]
 
 
-def walk(page: str) -> Iterator[tuple[str, Element, str]]:
+def walk(page: str, spare: frozenset = frozenset()) -> Iterator[tuple[str, Element, str]]:
     """(kind, element, text): events with the element they open, close or
     stand in; unclosed elements end with their ancestors."""
     stack: list[Element] = []
+    places: dict[str, list[int]] = {}               # open elements by name
     top = Element("html", "", None)
+    last = lambda names: max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def cut_to(i: int):
+        while len(stack) > i:
+            e = stack.pop()
+            places[e.name].pop()
+            yield "close", e, ""
+
     for kind, name, text in events(page):
-        here = stack[-1] if stack else top
         if kind == "text":
-            yield kind, here, text
+            yield kind, stack[-1] if stack else top, text
         elif kind == "open":
             if name == "html":
                 continue
             ends = ENDS.get(name, frozenset()) | (_P if name in BLOCK and name != "br" else frozenset())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name in ends:
-                    for e in reversed(stack[i:]):
-                        yield "close", e, ""
-                    del stack[i:]
-                if i < len(stack) and stack[i].name in SCOPE and stack[i].name not in ends:
-                    break
-            e = Element(name, text, stack[-1] if stack else top)
+            if ends:
+                # the outermost element it ends, inside the nearest one that keeps its children
+                border = last(SCOPE - ends)
+                out = min((places[n][i] for n in ends if places.get(n) and (i := bisect_right(places[n], border)) < len(places[n])), default=None)
+                if out is not None:
+                    yield from cut_to(out)
+            e = Element(name, text, stack[-1] if stack else top, spare)
             yield "open", e, ""
             if name in VOID or text.endswith("/") and name not in BLOCK:
                 yield "close", e, ""
             else:
+                places.setdefault(name, []).append(len(stack))
                 stack.append(e)
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].name == name:
-                    for e in reversed(stack[i:]):
-                        yield "close", e, ""
-                    del stack[i:]
-                    break
-                if stack[i].name in ("article", "main", "body") and name not in ("html", "body", "main", "article"):
-                    break                       # a stray end tag does not leave the article
-    for e in reversed(stack):
-        yield "close", e, ""
+        elif places.get(name):
+            # a stray end tag does not leave the article
+            if name in ("html", "body", "main", "article") or places[name][-1] > last(("article", "main", "body")):
+                yield from cut_to(places[name][-1])
+    yield from cut_to(0)
 
 
 def clean(text: str) -> str:
@@ -168,38 +217,73 @@ def signature(page: str, runs: dict[int, int]) -> int:
     return xxhash.xxh64_intdigest(" ".join(map(str, sorted(runs))) if runs else page) >> 1
 
 
-def tokens(page: str) -> tuple[dict[int, list], dict[int, int]]:
+def spared(page: str) -> frozenset:
+    """Keys of elements that only their name marks as boilerplate but that hold most of
+    the text of a page without an article or main element outside such elements."""
+    inside: dict[int, int] = {}
+    limit: dict[int, float] = {}
+    open_: list[list] = []                          # [element, characters inside]
+    total = 0
+    for kind, e, text in walk(page):
+        if kind == "open":
+            open_.append([e, 0])
+            if e.rank >= 2:
+                return frozenset()
+        elif kind == "close":
+            _, n = open_.pop()
+            if e.marked is not None:
+                inside[e.key] = inside.get(e.key, 0) + n
+                limit[e.key] = e.marked
+            if open_:
+                open_[-1][1] += n
+        elif not e.part and (t := clean(text)):
+            total += len(t)
+            if open_:
+                open_[-1][1] += len(t)
+    return frozenset(k for k, n in inside.items() if n > limit[k] * total)
+
+
+def tokens(page: str, spare: frozenset = frozenset()) -> tuple[dict[int, list], dict[int, int]]:
     """Elements {key: [count, rank, characters of text inside]} and, where no
     article or main marks the text, text runs {key: count}."""
     import xxhash
     found: dict[int, list] = {}
     runs: dict[int, int] = {}
-    open_: list[Element] = []
-    around: dict[int, dict[int, None]] = {}     # blocks around elements named like content, nearest first
+    open_: list[list] = []                          # [element, characters inside, nearest block around it]
+    around: dict[int, int | None] = {}              # element -> nearest block around it
     best, total = -1, 0
-    for kind, e, text in walk(page):
+    for kind, e, text in walk(page, spare):
         if kind == "open":
             x = found.setdefault(e.key, [0, e.rank, 0])
             x[0] += 1
-            if e.rank == 1:
-                around.setdefault(e.key, {}).update({o.key: None for o in reversed(open_) if o.rank <= 0 and o.name in BLOCK and o.name not in ("html", "body")})
-            open_.append(e)
             best = max(best, e.rank)
+            up = open_[-1] if open_ else None
+            block = None if up is None else up[0].key if up[0].rank <= 0 and up[0].name in BLOCK and up[0].name not in ("html", "body") else up[2]
+            around[e.key] = block
+            open_.append([e, 0, block])
         elif kind == "close":
-            if e in open_:
-                open_.remove(e)
+            _, n, _ = open_.pop()
+            found[e.key][2] += n
+            if open_:
+                open_[-1][1] += n
         elif not e.drop and (t := clean(text)):
             total += len(t)
-            for k in {o.key for o in open_}:
-                found[k][2] += len(t)
+            if open_:
+                open_[-1][1] += len(t)
             r = xxhash.xxh64_intdigest(f"{e.key} {t}") >> 1
             runs[r] = runs.get(r, 0) + 1
     if best < 2:
-        for k, blocks in around.items():
-            if 2 * found[k][2] <= total:
-                found[k][1] = -1
-                if (b := next((o for o in blocks if 2 * found[o][2] > total), None)) is not None:
-                    found[b][1] = 1
+        large: dict[int, int | None] = {}           # nearest block that holds most of the text, each chain walked once
+        for k in [k for k, x in found.items() if x[1] == 1 and 2 * x[2] <= total]:
+            found[k][1] = -1
+            way, b = [], around[k]
+            while b is not None and b not in large and 2 * found[b][2] <= total:
+                way.append(b)
+                b = around[b]
+            b = large.get(b, b)
+            large.update(dict.fromkeys(way, b))
+            if b is not None:
+                found[b][1] = 1
     return found, {} if best >= 2 else runs
 
 
@@ -209,7 +293,7 @@ def own_main(found: dict[int, list]) -> int | None:
     return -max(known)[2] if known else None
 
 
-def cut(page: str, main: int | None, drop_run=None) -> tuple[str, bool, bool]:
+def cut(page: str, main: int | None, drop_run=None, spare: frozenset = frozenset()) -> tuple[str, bool, bool]:
     """(text of the main slot, whether the page has it, whether an article or
     main element marks it); ``main`` None: the whole page."""
     blocks: list[str] = []
@@ -221,7 +305,7 @@ def cut(page: str, main: int | None, drop_run=None) -> tuple[str, bool, bool]:
             blocks.append(t)
         line.clear()
 
-    for kind, e, text in walk(page):
+    for kind, e, text in walk(page, spare):
         if kind == "text":
             if inside and not e.drop and not (drop_run and drop_run(e, text)):
                 line.append(entities.unescape(text))
@@ -242,21 +326,25 @@ def extract(page: str | None, main: int | None, constant: frozenset = frozenset(
     if not page:
         return ""
     text, seen, marked = cut(page, main)
-    if main is not None and seen and marked:
+    if main is not None and seen and marked and text:
         return text
-    found, runs = tokens(page)
+    if spare := spared(page):
+        text, seen, marked = cut(page, main, None, spare)
+        if main is not None and seen and marked and text:
+            return text
+    found, runs = tokens(page, spare)
     if main is None or not seen or found[main][1] < 0:
         main = own_main(found)
     drop = (lambda e, t: xxhash.xxh64_intdigest(f"{e.key} {clean(t)}") >> 1 in constant) if constant and runs else None
     # a page of which nothing would stay is a copy, not a template
-    return cut(page, main, drop)[0] or cut(page, main)[0]
+    return cut(page, main, drop, spare)[0] or cut(page, main, None, spare)[0]
 
 
 def _token_fn(batches):
     for b in batches:
         host, page, key, count, rank, chars, run = [], [], [], [], [], [], []
         for h, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-            found, runs = tokens(text or "")
+            found, runs = tokens(text or "", spared(text or ""))
             p = signature(text or "", runs)
             # the page itself, as the token that counts a host's pages
             host.append(h); page.append(p); key.append(PAGE); count.append(1); rank.append(-1); chars.append(0); run.append(False)

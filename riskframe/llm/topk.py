@@ -7,20 +7,22 @@ the larger of q * max and q * min.
 
 1. Every query scores the block with its highest bound; its k-th score there is a
    threshold.
-2. Only (query, block) pairs whose bound reaches the threshold go on.  They meet
-   in units of one query block and a slice of the blocks; in a unit every query
-   takes its blocks in order of their bounds and stops when the next bound falls
-   below its k-th score (bounds equal to it are scored: ties go to smaller ids).
-3. The units' lists (k rows per query and unit) are merged.
+2. Only (query, block) pairs whose bound reaches the threshold go on, as thin
+   rows.  They are dealt over the cells of a grid of query blocks and blocks; a cell
+   receives each block it needs once, however many pairs name it.  In a cell
+   every query takes its blocks in order of their bounds and stops when the next
+   bound falls below its k-th score (bounds equal to it are scored: ties go to
+   smaller ids).
+3. The cells' lists (k rows per query and cell) are merged.
 
-Blocks and query blocks have fixed sizes, so rows and units have fixed sizes
-however large the table is.
+Blocks and cells have fixed sizes however large the table is.
 
 Defined results: vectors that are null, empty or hold null or non-finite
-components, and rows with a null id, take no part; ids name a row (of several
-rows with one id the smallest vector counts); scores compare vectors of equal
-length only; a query with fewer than k candidates returns all; scores beyond 64
-bits saturate; an empty table gives an empty table.
+components, and rows with a null id, take no part; rows that share an id are
+separate candidates and separate queries, of which only the row itself is left out
+(ties of one id go to either row); scores compare vectors of equal length only; a
+query with fewer than k candidates returns all; scores beyond 64 bits saturate; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,9 +39,9 @@ from riskframe.llm.common import parallelism, save
 from riskframe.llm.pivots import usable
 
 BLOCK_ROWS = 512        # rows of a block and of a query block
-SLICE_BLOCKS = 16       # blocks of a unit, about
+SLICE_BLOCKS = 32       # blocks, and query blocks, of a cell, about
 PACK_BLOCKS = 128       # blocks whose bounds are taken together
-HITS = "query_id long, vec_id long, score long"
+HITS = "qrow long, query_id long, vec_id long, score long"
 
 
 def whole(vecs: list, dim: int, scale: float) -> np.ndarray:
@@ -79,20 +81,22 @@ def _blocks_fn(rows: int, scale: float):
     """Consecutive rows of equal length become blocks."""
     def block(part: int, seq: int, dim: int, ids: list, vecs: list) -> pa.RecordBatch:
         m = whole(vecs, dim, scale)
+        ids, rows = zip(*ids)
         return pa.RecordBatch.from_pydict({
             "dim": pa.array([dim], pa.int32()), "blk": pa.array([(part << 32) + seq], pa.int64()), "ids": [np.array(ids, "<i8").tobytes()],
+            "rows": [np.array(rows, "<i8").tobytes()],
             "mat": [_pack(m)], "high": [m.max(axis=0).tobytes()], "low": [m.min(axis=0).tobytes()]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, seq, at, ids, vecs = TaskContext.get().partitionId(), 0, None, [], []
         for b in batches:
-            for i, d, v in zip(b.column("id").to_pylist(), b.column("dim").to_pylist(), b.column("vec").to_pylist()):
+            for i, r, d, v in zip(*(b.column(c).to_pylist() for c in ("id", "row", "dim", "vec"))):
                 if ids and (d != at or len(ids) == rows):
                     yield block(part, seq, at, ids, vecs)
                     seq, ids, vecs = seq + 1, [], []
                 at = d
-                ids.append(i)
+                ids.append((i, r))
                 vecs.append(v)
         if ids:
             yield block(part, seq, at, ids, vecs)
@@ -101,8 +105,9 @@ def _blocks_fn(rows: int, scale: float):
 
 def _blocks(v: DataFrame, scale: float, name: str) -> DataFrame:
     n = parallelism(v.sparkSession)
-    return save(v.repartitionByRange(n, "dim", "id").sortWithinPartitions("dim", "id").mapInArrow(
-        _blocks_fn(BLOCK_ROWS, scale), "dim int, blk long, ids binary, mat binary, high binary, low binary"), name)
+    # the row as well: one id may hold a third of the table
+    return save(v.repartitionByRange(n, "dim", "id", "row").sortWithinPartitions("dim", "id", "row").mapInArrow(
+        _blocks_fn(BLOCK_ROWS, scale), "dim int, blk long, ids binary, rows binary, mat binary, high binary, low binary"), name)
 
 
 def _packs_fn(n_blocks: int):
@@ -146,13 +151,12 @@ def _alive_fn(batches):
     """The (query, block) pairs of a pack whose bound reaches the query's k-th score."""
     for b in batches:
         for r, ids, blks, bd in _bound_rows(b):
-            kth = np.frombuffer(r["kth"], np.float64)
-            done = _ids(r["done"])
+            kth, done = np.array(r["kth"], np.float64), np.array(r["done"], np.int64)
             live = (bd >= kth[:, None]) & (done[:, None] != blks[None, :])
             for j in np.flatnonzero(live.any(axis=0)).tolist():
                 q = np.flatnonzero(live[:, j])
                 yield pa.RecordBatch.from_pydict({"qb": pa.array([r["qb"]], pa.int64()), "blk": pa.array([blks[j]], pa.int64()),
-                                                  "q": [q.astype("<i4").tobytes()], "bound": [bd[q, j].tobytes()]})
+                                                  "q": pa.array([q.tolist()], pa.list_(pa.int32())), "bound": pa.array([bd[q, j].tolist()], pa.list_(pa.float64()))})
 
 
 def meet(qblocks: DataFrame, packs: DataFrame) -> DataFrame:
@@ -167,95 +171,104 @@ def meet(qblocks: DataFrame, packs: DataFrame) -> DataFrame:
 
 
 class Best:
-    """A query's k best (score, id) so far."""
+    """A query's k best (score, id, row) so far."""
 
     def __init__(self, k: int, floor: float = -np.inf):
         self.k, self.floor, self.rows = k, floor, []
 
-    def add(self, scores, ids) -> None:
-        self.rows = sorted([*self.rows, *((-s, i) for s, i in zip(scores, ids))])[:self.k]
+    def add(self, scores, ids, rows) -> None:
+        self.rows = sorted([*self.rows, *((-s, i, r) for s, i, r in zip(scores, ids, rows))])[:self.k]
         if len(self.rows) == self.k:
             self.floor = max(self.floor, -self.rows[-1][0])
 
 
-def _score(q: np.ndarray, q_ids: np.ndarray, which: np.ndarray, best: dict, m: np.ndarray, ids: np.ndarray) -> None:
+def _score(q: np.ndarray, q_rows: np.ndarray, which: np.ndarray, best: list, m: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
     """Score some queries on one block."""
     s = dot(q[which], m)
     for r, w in enumerate(which.tolist()):
         own = best[w]
-        hit = np.flatnonzero((s[r] >= own.floor) & (ids != q_ids[w]))
+        hit = np.flatnonzero((s[r] >= own.floor) & (rows != q_rows[w]))
         if len(hit) > own.k:                       # keep the k best, all that tie with the k-th
             low = np.partition(s[r][hit], len(hit) - own.k)[len(hit) - own.k]
             hit = hit[s[r][hit] >= low]
         if len(hit):
-            own.add([int(x) for x in s[r][hit].tolist()], ids[hit].tolist())
+            own.add([int(x) for x in s[r][hit].tolist()], ids[hit].tolist(), rows[hit].tolist())
 
 
-def _unit_fn(k: int, floors: bool):
+def _cell_fn(k: int):
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        dim, q_ids = rows[0]["dim"], _ids(rows[0]["q_ids"])
-        q = _unpack(rows[0]["q_mat"], dim, len(q_ids))
-        kth = np.frombuffer(rows[0]["kth"], np.float64) if floors else np.full(len(q_ids), -np.inf)
-        kth = np.where(np.isfinite(kth) & (np.abs(kth) >= 2 ** 53), kth - np.abs(kth) * 1e-9, kth)     # a rounded long: a little room
-        best = {i: Best(k, kth[i]) for i in range(len(q_ids))}
-        which = [np.frombuffer(r["q"], "<i4") for r in rows]
-        bound = np.full((len(q_ids), len(rows)), -np.inf)
-        for j, r in enumerate(rows):
-            bound[which[j], j] = np.frombuffer(r["bound"], np.float64)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        blocks: dict = {}
-        for step in range(len(rows)):              # every query's next block, the queries of a block together
-            at = order[:, step]
-            b = bound[np.arange(len(q_ids)), at]
-            live = np.flatnonzero((b > -np.inf) & (b >= np.array([float(best[i].floor) for i in range(len(q_ids))])))
-            for j in np.unique(at[live]).tolist():
-                if j not in blocks:
-                    ids = _ids(rows[j]["ids"])
-                    blocks[j] = _unpack(rows[j]["mat"], dim, len(ids)), ids
-                _score(q, q_ids, live[at[live] == j], best, *blocks[j])
-        out = [(int(q_ids[i]), v, -s) for i, x in best.items() for s, v in x.rows]
-        return pa.table({c: pa.array([o[n] for o in out], pa.int64()) for n, c in enumerate(("query_id", "vec_id", "score"))})
+        blocks = {r["blk"]: (_unpack(r["mat"], r["dim"], len(_ids(r["ids"]))), _ids(r["ids"]), _ids(r["rows"])) for r in rows if r["kind"] == "block"}
+        wanted: dict[int, list] = {}
+        for r in rows:
+            if r["kind"] == "pair":
+                wanted.setdefault(r["qb"], []).append(r)
+        out = []
+        for x in (r for r in rows if r["kind"] == "query"):
+            q_ids, q_rows = _ids(x["ids"]), _ids(x["rows"])
+            q = _unpack(x["mat"], x["dim"], len(q_ids))
+            kth = np.array(x["bound"], np.float64) if x["bound"] else np.full(len(q_ids), -np.inf)
+            kth = np.where(np.isfinite(kth) & (np.abs(kth) >= 2 ** 53), kth - np.abs(kth) * 1e-9, kth)     # a rounded long: a little room
+            best = [Best(k, f) for f in kth]
+            pairs = wanted[x["qb"]]
+            bound = np.full((len(q_ids), len(pairs)), -np.inf)
+            for j, r in enumerate(pairs):
+                bound[r["q"], j] = r["bound"]
+            order = np.argsort(-bound, axis=1, kind="stable")
+            for step in range(len(pairs)):         # every query's next block, the queries of a block together
+                at = order[:, step]
+                b = bound[np.arange(len(q_ids)), at]
+                live = np.flatnonzero((b > -np.inf) & (b >= np.array([float(y.floor) for y in best])))
+                for j in np.unique(at[live]).tolist():
+                    _score(q, q_rows, live[at[live] == j], best, *blocks[pairs[j]["blk"]])
+            out += [(int(q_rows[i]), int(q_ids[i]), v, -s) for i, y in enumerate(best) for s, v, _ in y.rows]
+        return pa.table({c: pa.array([o[n] for o in out], pa.int64()) for n, c in enumerate(("qrow", "query_id", "vec_id", "score"))})
     return run
 
 
+def _scored(pairs: DataFrame, qblocks: DataFrame, blocks: DataFrame, k: int, cells: tuple[int, int]) -> DataFrame:
+    """HITS of written ``pairs`` (qb, blk, q, bound); ``qblocks`` may have ``kth``, the scores to reach."""
+    cell = [F.pmod(F.xxhash64("qb"), F.lit(cells[0])).cast("int").alias("cq"), F.pmod(F.xxhash64("blk"), F.lit(cells[1])).cast("int").alias("cp")]
+    p = pairs.select(*cell, "qb", "blk", "q", "bound")
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    body = ["dim", "ids", "rows", "mat"]
+    floors = F.col("kth").alias("bound") if "kth" in qblocks.columns else none("bound", "array<double>")
+    q = p.select("cq", "cp", "qb").distinct().join(qblocks.select("qb", *body, floors), "qb").select(
+        "cq", "cp", F.lit("query").alias("kind"), "qb", none("blk", "long"), none("q", "array<int>"), "bound", *body)
+    b = p.select("cq", "cp", "blk").distinct().join(blocks.select("blk", *body), "blk").select(
+        "cq", "cp", F.lit("block").alias("kind"), none("qb", "long"), "blk", none("q", "array<int>"), none("bound", "array<double>"), *body)
+    thin = p.select("cq", "cp", F.lit("pair").alias("kind"), "qb", "blk", "q", "bound", none("dim", "int"), *[none(c, "binary") for c in body[1:]])
+    return thin.unionByName(q).unionByName(b).groupBy("cq", "cp").applyInArrow(_cell_fn(k), HITS)
+
+
 def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
           scale: float = 256.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of every
     query with all other rows.  ``is_query`` is a condition on the column ``id``."""
     d = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))
-    v = d.where(F.col("id").isNotNull() & usable(F.col("vec"))).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
-    v = save(v, "topk-rows")
+    v = save(d.where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("dim", F.size("vec")), "topk-rows")
+    v = save(v.withColumn("row", F.monotonically_increasing_id()), "topk-numbered")         # the number is written before it is used
     blocks = _blocks(v, scale, "topk-blocks")
-    qblocks = _blocks(v.where(is_query), scale, "topk-queries").select("dim", F.col("blk").alias("qb"), "ids", "mat")
+    qblocks = _blocks(v.where(is_query), scale, "topk-queries").select("dim", F.col("blk").alias("qb"), "ids", "rows", "mat")
     packs = save(blocks.select("dim", "blk", "high", "low").repartition("dim", F.pmod(F.xxhash64("blk"), F.lit(parallelism(v.sparkSession))))
                  .mapInArrow(_packs_fn(PACK_BLOCKS), "dim int, blks binary, highs binary, lows binary"), "topk-packs")
+    cells = tuple(max(1, -(-x.count() // SLICE_BLOCKS)) for x in (qblocks, blocks))
 
     # 1. the best block of every query
     best = save(meet(qblocks, packs).mapInArrow(_best_fn, "qb long, q int, bound double, blk long")
                 .groupBy("qb", "q").agg(F.max(F.struct("bound", "blk")).alias("b")).select("qb", "q", "b.bound", "b.blk"), "topk-best")
     first = best.groupBy("qb", "blk").agg(F.sort_array(F.collect_list(F.struct("q", "bound"))).alias("x"))     # at most one query block
-    named = qblocks.select("qb", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
-
-    def pairs(p: DataFrame) -> DataFrame:
-        return p.join(named, "qb").join(blocks.select("blk", "dim", "ids", "mat"), "blk")
-
-    little = F.udf(lambda x: np.array(x, "<i4").tobytes(), "binary")          # a few hundred numbers, one row per pair of blocks
-    real = F.udf(lambda x: np.array(x, np.float64).tobytes(), "binary")
-    long = F.udf(lambda x: np.array(x, "<i8").tobytes(), "binary")
-    one = save(pairs(first.select("qb", "blk", little("x.q").alias("q"), real("x.bound").alias("bound")))
-               .groupBy("qb", "blk").applyInArrow(_unit_fn(k, False), HITS), "topk-first")
+    first = save(first.select("qb", "blk", F.col("x.q").alias("q"), F.col("x.bound").alias("bound")), "topk-first-pairs")
+    one = save(_scored(first, qblocks, blocks, k, cells), "topk-first")
 
     # 2. blocks whose bound reaches the k-th score
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = one.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("kth"))
-    state = best.join(v_ids(qblocks), ["qb", "q"]).join(kth, "query_id", "left").groupBy("qb").agg(F.sort_array(F.collect_list(F.struct(
-        "q", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), "blk"))).alias("x")).select("qb", real("x.kth").alias("kth"), long("x.blk").alias("done"))
-    state = save(state, "topk-state")
-    alive = meet(qblocks.join(state, "qb"), packs).mapInArrow(_alive_fn, "qb long, blk long, q binary, bound binary")
-    slices = max(1, blocks.count() // SLICE_BLOCKS)
-    rest = (pairs(alive).join(state.select("qb", "kth"), "qb").withColumn("slice", F.pmod(F.xxhash64("blk"), F.lit(slices)))
-            .groupBy("qb", "slice").applyInArrow(_unit_fn(k, True), HITS))
+    w = Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id")
+    kth = one.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("qrow", F.col("score").cast("double").alias("kth"))
+    state = best.join(v_ids(qblocks), ["qb", "q"]).join(kth, "qrow", "left").groupBy("qb").agg(F.sort_array(F.collect_list(F.struct(
+        "q", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), "blk"))).alias("x")).select("qb", F.col("x.kth").alias("kth"), F.col("x.blk").alias("done"))
+    known = save(qblocks.join(state, "qb"), "topk-state")
+    alive = save(meet(known, packs).mapInArrow(_alive_fn, "qb long, blk long, q array<int>, bound array<double>"), "topk-alive")
+    rest = _scored(alive, known, blocks, k, cells)
 
     # 3. merge
     out = one.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -263,11 +276,11 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
 
 
 def v_ids(qblocks: DataFrame) -> DataFrame:
-    """(qb, q, query_id): the queries by their place in a query block."""
+    """(qb, q, qrow): the queries by their place in a query block."""
     def run(batches):
         for b in batches:
-            for qb, raw in zip(b.column("qb").to_pylist(), b.column("ids").to_pylist()):
+            for qb, raw in zip(b.column("qb").to_pylist(), b.column("rows").to_pylist()):
                 ids = _ids(raw)
                 yield pa.RecordBatch.from_pydict({"qb": pa.array([qb] * len(ids), pa.int64()), "q": pa.array(range(len(ids)), pa.int32()),
-                                                  "query_id": pa.array(ids, pa.int64())})
-    return qblocks.select("qb", "ids").mapInArrow(run, "qb long, q int, query_id long")
+                                                  "qrow": pa.array(ids, pa.int64())})
+    return qblocks.select("qb", "rows").mapInArrow(run, "qb long, q int, qrow long")

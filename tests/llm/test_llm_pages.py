@@ -1,5 +1,8 @@
 """URL filters, HTML extraction, licence scans and toxicity."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from llm_fixtures import docs, texts
@@ -134,6 +137,41 @@ def test_deep_and_long_pages():
     assert html.extract(long, None).count("\n") == 19_999
 
 
+BODY = "<h1>Head line</h1><p>First paragraph of the article, long enough to be the text.</p><p>Second one &amp; more of the text that readers came for.</p>"
+BODY_TEXT = "Head line\nFirst paragraph of the article, long enough to be the text.\nSecond one & more of the text that readers came for."
+SIDE = "<div class='sidebar'>Links</div>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body>{SIDE}<article class='post open-comments'>{BODY}</article></body>", f"<body><article class='post has-share'>{BODY}</article></body>",
+    f"<body><article class='post category-alert'>{BODY}</article>{SIDE}</body>", f"<body><div class='site sidebar-right'>{SIDE}<article>{BODY}</article></div></body>",
+    f"<body><div class='form-page'>{BODY}</div>{SIDE}</body>", f"<body><div class='form-page'><main>{BODY}</main></div></body>",
+    f"<body><div class='post open-comments'>{BODY}{SIDE}</div></body>",
+    f"<body><div class='entry'>{BODY}</div><div id='comments'><p>me too, I say so</p></div></body>",
+    f"<body><article>{BODY}</article><div id='comments'><p>{'a long comment that outweighs the article ' * 20}</p></div></body>"])
+def test_class_names_do_not_drop_the_text(spark, page):
+    from riskframe.llm import html
+    got = html.extract_pages(pages(spark, [(1, "http://a.b/x", page)])).collect()
+    assert [r.text for r in got] == [BODY_TEXT]
+
+
+@pytest.mark.parametrize("name,page", [
+    ("open tags", lambda n: "<a " * n), ("open quotes", lambda n: "<a '" * n), ("quoted ends", lambda n: "<a '>' " * n + '"'), ("mixed quotes", lambda n: "<a \"'" * n + ">"),
+    ("nested", lambda n: "<div>x" * n), ("nested content", lambda n: "<div class=content>x" * n), ("spans and rules", lambda n: "<span>" * n + "<hr>" * n),
+    ("end tags", lambda n: "<i>" * n + "</b>" * n), ("comments", lambda n: "<!-- " * n), ("attribute", lambda n: "<p " + "a" * 8 * n + ">x"),
+    ("attributes", lambda n: "<p " + "a=1 " * n + ">x"), ("ends", lambda n: "<" * 8 * n), ("items", lambda n: "<ul><li>" * n + "<li>x" * n)])
+def test_hostile_pages_are_read_in_linear_time(name, page):
+    from riskframe.llm import html
+
+    def seconds(n):
+        began = time.process_time()
+        html.extract(page(n), 12345)
+        return time.process_time() - began
+
+    assert seconds(16_000) < 0.5 + 10 * seconds(4_000)              # four times the page; by the square it would be sixteen times
+    assert html.extract("<p>Text " + page(50), None) is not None
+
+
 # --- licences -------------------------------------------------------------
 
 def test_license_scan(spark):
@@ -263,12 +301,22 @@ def test_whole_license_notices(spark, text, want):
 # --- toxicity -------------------------------------------------------------
 
 def test_toxicity_held_out(spark):
-    """Held-out accuracy on the given labels: half of them train."""
+    """Held-out accuracy on a seeded table with groups of copies, long texts and words
+    that both classes share: half of the labels train."""
     from riskframe.llm import toxicity
-    from riskframe.llm.common import table
-    sf = "/root/testdata/check_h"
-    lab = table(spark, sf, "labels").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(2)))
-    d = table(spark, sf, "documents").join(lab, "doc_id").select("doc_id", "text", "toxic", "half")
+    rng = random.Random(11)
+    plain = [f"{a}{b}" for a in ("mor", "tel", "fan", "gri", "sol", "bek", "ula", "pre", "dit", "von") for b in ("", "a", "en", "ish", "ter", "os", "ly", "ume")]
+    foul = [f"{a}{b}" for a in ("zark", "blorg", "vexil", "snarv", "kludd") for b in ("", "s", "ing", "er")]
+    rows = []
+    for i in range(6000):
+        w = [rng.choice(plain) for _ in range(2_000 if i % 400 == 0 else rng.randrange(20, 90))]
+        bad = i % 12 == 0
+        for _ in range(rng.randrange(2, 7) if bad else 0):
+            w[rng.randrange(len(w))] = rng.choice(foul)
+        rows.append((i, " ".join(w), int(bad)))
+    rows += [(6000 + i, rows[1][1], 0) for i in range(900)] + [(7000 + i, rows[12][1], 1) for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(2))).cache()
+    lab = d.select("doc_id", "toxic", "half")
     model = toxicity.fit(d, lab.where("half = 0").select("doc_id", "toxic"), max_labelled=6000)
     assert model.thresholds[0] < model.thresholds[1]
     s = toxicity.score(d.where("half = 1"), model, keep=["doc_id", "toxic"]).groupBy("toxic").agg(F.avg((F.col("p_toxic") >= 0.5).cast("int")).alias("r"), F.avg("severity").alias("s")).collect()

@@ -32,7 +32,7 @@ def test_oracle(spark, key):
 
 def test_one_query_for_each_operator():
     names = [q for q in E.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in E.queries()
 
 
