@@ -46,6 +46,27 @@ def release_scratch(since: int = 0) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def scratch_paths() -> list[str]:
+    """Scratch folders that are not deleted yet, oldest first."""
+    return [path for path, _ in _SCRATCH]
+
+
+def release_paths(paths) -> None:
+    """Delete some scratch folders now."""
+    paths = set(paths)
+    gone = [x for x in _SCRATCH if x[0] in paths]
+    _SCRATCH[:] = [x for x in _SCRATCH if x[0] not in paths]
+    for path, conf in gone:
+        with contextlib.suppress(Exception):        # the JVM may have ended already
+            p = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def release_tables(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    release_paths(t._scratch_path for t in tables if getattr(t, "_scratch_path", None))
+
+
 @contextlib.contextmanager
 def scratch_scope() -> Iterator[None]:
     """Scratch tables written inside are deleted at the end: consume results
@@ -63,7 +84,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The table's life ends with ``scratch_scope`` / ``release_scratch`` / the process."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> str:
