@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import broadcast_within, save
+from riskframe.sources.io import release_tables
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,8 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ``component`` is the smallest node id reachable.  Nodes without edges are
     their own component and are not returned.  Null ends and loops are ignored."""
     lo, hi = F.least(F.col(a), F.col(b)).alias("lo"), F.greatest(F.col(a), F.col(b)).alias("hi")
-    e = save(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-             .select(lo, hi).distinct(), "cc-edges")
+    e = save(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(lo, hi).distinct(), "cc-edges")
     state = _state(e)
     for _ in range(max_rounds):
         if not state[0]:
@@ -42,12 +42,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # large star: v > u hangs on m(u)
         big = save(both.where("v > u").join(broadcast_within(least), "u")
                    .select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct(), "cc-large")
+        release_tables(least)
         # small star: every hi and its smaller neighbours hang on their minimum
         least = save(big.groupBy("hi").agg(F.min("lo").alias("m")), "cc-min")
         hung = big.join(broadcast_within(least), "hi")
         e2 = save(hung.select(F.col("m").alias("lo"), F.col("lo").alias("hi")).where("lo <> hi")
                   .unionByName(least.select(F.col("m").alias("lo"), "hi")).distinct(), "cc-edges")
         new = _state(e2)
+        release_tables(e, big, least)               # the next round reads its own edges only
         e, done, state = e2, new == state, new
         if done:
             break
