@@ -306,3 +306,18 @@ def test_line_dedup_returns_every_row(spark):
         [(None, None, ())] * 2 + [(None, "", ())] * 2 + [(1, "--", ())] * 2 + [(2, rows[6][1], ())] + [(2, "--", (0, 2))] * 2 + [(3, "alone", ())])
     kept = lines.dedup_lines(docs(spark, rows), max_distance=None, every_row=True, drop_emptied=True)
     assert kept.count() == len(rows) - 2 and len({r.key for r in kept.collect()}) == len(rows) - 2
+
+
+def test_edit_check_equals_the_plain_distance():
+    from llm_fixtures import edit_distance
+    from riskframe.llm.lines import within
+    rng = random.Random(2)
+    for _ in range(3000):
+        a = "".join(rng.choice("abcde é") for _ in range(rng.randrange(90)))
+        b = list(a)
+        for _ in range(rng.randrange(16)):
+            i = rng.randrange(len(b) + 1)
+            b[i:i + rng.randrange(2)] = rng.choice(["", "x", "yz", "é"])
+        b, room = "".join(b), rng.randrange(16)
+        assert within(a, b, room) == (edit_distance(a, b) <= room)
+    assert within("", "", 0) and not within("", "ab", 1) and within("abc" * 2000, "abc" * 2000 + "d", 1)
