@@ -84,6 +84,9 @@ ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul dl td th".split())
 
 
+_ENDED = {name: ENDS.get(name, frozenset()) | (_P if name in BLOCK and name != "br" else frozenset()) for name in {*ENDS, *BLOCK}}
+
+
 class Element:
     """An open element: path key, whether it is boilerplate, its rank as main
     slot (3 article, 2 main, 1 named like content, 0 body); ``marked``: the share of the
@@ -112,6 +115,9 @@ def _tag_end(page: str, at: int, dead: set[int]) -> int:
     """Place of the ``>`` that ends the tag whose name ends at ``at``: the first one
     outside quotes, or -- where a quote stays open to the end of the page -- the first
     one.  ``dead``: opening quotes from which no such place is found."""
+    first = page.find(">", at)
+    if first < 0 or "'" not in (attrs := page[at:first]) and '"' not in attrs:
+        return first
     met = []
     pos = at
     while m := _QUOTE.search(page, pos):
@@ -124,7 +130,7 @@ def _tag_end(page: str, at: int, dead: set[int]) -> int:
         if not pos:
             break
     dead.update(met)
-    return page.find(">", at)
+    return first
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -186,8 +192,8 @@ def walk(page: str, spare: frozenset = frozenset()) -> Iterator[tuple[str, Eleme
         elif kind == "open":
             if name == "html":
                 continue
-            ends = ENDS.get(name, frozenset()) | (_P if name in BLOCK and name != "br" else frozenset())
-            if ends:
+            ends = _ENDED.get(name, ())
+            if any(places.get(n) for n in ends):
                 # the outermost element it ends, inside the nearest one that keeps its children
                 border = last(SCOPE - ends)
                 out = min((places[n][i] for n in ends if places.get(n) and (i := bisect_right(places[n], border)) < len(places[n])), default=None)
@@ -200,6 +206,8 @@ def walk(page: str, spare: frozenset = frozenset()) -> Iterator[tuple[str, Eleme
             else:
                 places.setdefault(name, []).append(len(stack))
                 stack.append(e)
+        elif stack and stack[-1].name == name:
+            yield from cut_to(len(stack) - 1)
         elif places.get(name):
             # a stray end tag does not leave the article
             if name in ("html", "body", "main", "article") or places[name][-1] > last(("article", "main", "body")):
@@ -344,7 +352,10 @@ def _token_fn(batches):
     for b in batches:
         host, page, key, count, rank, chars, run = [], [], [], [], [], [], []
         for h, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-            found, runs = tokens(text or "", spared(text or ""))
+            found, runs = tokens(text or "")
+            # no article or main element: names may have dropped the text
+            if all(x[1] < 2 for x in found.values()) and (spare := spared(text or "")):
+                found, runs = tokens(text or "", spare)
             p = signature(text or "", runs)
             # the page itself, as the token that counts a host's pages
             host.append(h); page.append(p); key.append(PAGE); count.append(1); rank.append(-1); chars.append(0); run.append(False)
