@@ -47,7 +47,7 @@ def with_balanced_weight(df: DataFrame, label: str, weight: str = "weight") -> D
 def classifier(kind: str, label: str, seed: int = 42, **params):
     if kind == "lr":
         return LogisticRegression(labelCol=label, weightCol="weight", maxIter=params.get("maxIter", 100), tol=params.get("tol", 1e-6),
-                                  regParam=params.get("regParam", 0.0))
+                                  regParam=params.get("regParam", 0.0), elasticNetParam=params.get("elasticNetParam", 0.0))
     if kind == "rf":
         return RandomForestClassifier(labelCol=label, weightCol="weight", numTrees=params.get("numTrees", 100),
                                       maxDepth=params.get("maxDepth", 5), seed=seed)
@@ -158,38 +158,3 @@ def submission(model, df: DataFrame, key: str, threshold: float) -> DataFrame:
     """id, probability of default, class at the chosen threshold."""
     s = score(model, df, [key])
     return s.select(key, "probability", (F.col("probability") >= F.lit(threshold)).cast("int").alias("predicted_class"))
-
-
-def random_search(df: DataFrame, features: Sequence[str], label: str, key: str, folds: DataFrame,
-                  grid: Mapping[str, Sequence], n_trials: int = 5, seed: int = 42, kind: str = "lr", k: int = 5) -> DataFrame:
-    """Seeded random search: each trial is a k-fold CV (distributed fits);
-    returns one row per trial with the mean metrics."""
-    import random
-    rnd = random.Random(seed)
-    rows = None
-    for t in range(n_trials):
-        params = {name: rnd.choice(list(v)) for name, v in grid.items()}
-        _, mets = cross_validate(df, features, label, key, folds, k=k, kind=kind, **params)
-        r = mets.agg(F.avg("roc_auc").alias("roc_auc"), F.avg("best_fbeta").alias("best_fbeta")).select(
-            F.lit(t).alias("trial"), F.lit(str(sorted(params.items()))).alias("params"), "*")
-        rows = r if rows is None else rows.unionByName(r)
-    return rows
-
-
-def experiment_grid(df: DataFrame, key: str, label: str, folds: DataFrame, strategies: Mapping[str, object],
-                    samplings: Mapping[str, object], feature_cols, k: int = 5, **params) -> DataFrame:
-    """Feature strategy x sampling strategy grid; each cell is a k-fold CV.
-
-    ``strategies`` maps a name to ``df -> df``; ``samplings`` maps a name to a
-    per-fold resampler (or None); ``feature_cols(df)`` lists model inputs."""
-    rows = None
-    for fs, build in strategies.items():
-        data = build(df)
-        feats = feature_cols(data)
-        for ss, resample in samplings.items():
-            _, mets = cross_validate(data, feats, label, key, folds, k=k, resample=resample, **params)
-            r = mets.agg(F.count(F.lit(1)).alias("n_folds"), *[F.avg(c).alias(f"{c}_mean") for c in METRICS],
-                         *[F.stddev_samp(c).alias(f"{c}_std") for c in ("roc_auc", "best_fbeta")]).select(
-                F.lit(fs).alias("feature_strategy"), F.lit(ss).alias("sampling_strategy"), "*")
-            rows = r if rows is None else rows.unionByName(r)
-    return rows

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskframe.operators import features as FT
 from riskframe.operators import fit as FI
 from riskframe.operators import metrics as M
 from riskframe.operators import model as MD
+from riskframe.operators import search as SE
 from riskframe.operators.sample import stratified_kfold, stratified_split, undersample
 from riskframe.plans.bind import role, with_roles
+from riskframe.plans.q_features import POLY_COLS
 from riskframe.plans.registry import query
 from riskframe.plans.sqlgen import rnd_sql, round_double_cols
 
@@ -48,7 +51,7 @@ def q_train_rf(spark, d):
 
 @query("train_gbt")
 def q_train_gbt(spark, d):
-    return _train_eval(spark, d, "gbt", maxIter=20)
+    return _train_eval(spark, d, "gbt", maxIter=100, maxDepth=6)
 
 
 def _cv(spark, d):
@@ -138,7 +141,7 @@ reg("explain_text", APP + (
 def q_feature_importance(spark, d):
     """Random-forest importances with provenance tags."""
     tr, _ = _data(spark, d)
-    model = MD.fit(tr, FEATS, "TARGET", "rf", numTrees=50)
+    model = MD.fit(tr, FEATS, "TARGET", "rf", numTrees=100)
     raw = role(spark, d, "application").columns
     return MD.feature_importance(model, FEATS, raw)
 
@@ -151,26 +154,26 @@ def q_submission(spark, d):
     return MD.submission(model, va, "SK_ID_CURR", 0.5)
 
 
-def _folds(spark, d, k):
-    a = role(spark, d, "application").select("SK_ID_CURR", "TARGET", *[F.col(c).cast("double").alias(c) for c in FEATS])
-    return a, stratified_kfold(a, "SK_ID_CURR", "TARGET", k).select("SK_ID_CURR", "fold")
+def _folds(spark, d, cols):
+    a = role(spark, d, "application").select("SK_ID_CURR", "TARGET", *[F.col(c).cast("double").alias(c) for c in cols])
+    return a, stratified_kfold(a, "SK_ID_CURR", "TARGET", 5).select("SK_ID_CURR", "fold")
 
 
 @query("experiment_grid")
 def q_experiment_grid(spark, d):
-    """K5: two feature strategies x two sampling strategies, two folds each."""
-    a, folds = _folds(spark, d, 2)
-    strategies = {"raw": lambda t: t, "ratio": lambda t: t.withColumn("CREDIT_TO_INCOME", F.try_divide("AMT_CREDIT", "AMT_INCOME_TOTAL"))}
-    samplings = {"balanced": None, "undersample": lambda t: undersample(t, "SK_ID_CURR", "TARGET", 1, 1.0)}
-    return MD.experiment_grid(a, "SK_ID_CURR", "TARGET", folds, strategies, samplings,
-                              lambda t: [c for c in t.columns if c not in ("SK_ID_CURR", "TARGET", "fold")], k=2, maxIter=10, tol=1e-3)
+    """K5: four feature strategies x four sampling strategies, five folds each."""
+    num = FT.numeric_columns(role(spark, d, "application"), ["SK_ID_CURR", "TARGET"])
+    a, folds = _folds(spark, d, num)
+    strategies = {s: (lambda t, s=s: FT.feature_strategy(t, s, POLY_COLS[:3])) for s in FT.FEATURE_STRATEGIES}
+    return SE.experiment_grid(a, "SK_ID_CURR", "TARGET", folds, strategies, workers=8)
 
 
 @query("random_search")
 def q_random_search(spark, d):
-    """K6: two seeded draws from a small grid, two folds each."""
-    a, folds = _folds(spark, d, 2)
-    return MD.random_search(a, FEATS, "TARGET", "SK_ID_CURR", folds, {"regParam": [0.0, 0.01, 0.1], "maxIter": [5, 10]}, n_trials=2, k=2)
+    """K6: 20 trials in rounds of five, proposed from the finished ones, five folds each."""
+    a, folds = _folds(spark, d, FEATS)
+    space = {"regParam": SE.Range(1e-4, 10.0, log=True), "maxIter": SE.Range(20, 100, integer=True)}
+    return SE.search(a, FEATS, "TARGET", "SK_ID_CURR", folds, space, trials=20, workers=8)
 
 
 def _tree_contribs(spark, d, kind, **params):

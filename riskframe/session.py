@@ -27,6 +27,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.scheduler.mode", "FAIR")     # concurrent fits share the executors
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          # files of checkpoint() go when their data set is unreferenced; written
