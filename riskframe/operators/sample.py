@@ -114,8 +114,17 @@ def undersample(df: DataFrame, key: str, label: str, minority=1, ratio: float =
     return mino.unionByName(hash_top_n(majo, key, n, (), seed))
 
 
+def minority_neighbours(df: DataFrame, key: str, label: str, features: Sequence[str], minority=1, k: int = 5, pivots: int | None = None) -> DataFrame:
+    """The minority rows that have neighbours, with their ``k`` nearest minority
+    rows, written once: ``smote`` takes it as ``near``, for several ratios."""
+    from riskframe.operators.neighbors import nearest
+    from riskframe.sources.io import materialize
+    small = df.where(F.col(label) == F.lit(minority)).select(F.col(key).cast("bigint").alias(key), label, *[F.col(c).cast("double").alias(c) for c in features])
+    return materialize(small.join(nearest(small, key, features, k, pivots), key).where(F.size("neighbours") > 0), "smote-near")
+
+
 def smote(df: DataFrame, key: str, label: str, features: Sequence[str], minority=1, ratio: float = 1.0, k: int = 5, seed=42,
-          pivots: int | None = None) -> DataFrame:
+          pivots: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """Oversample the minority to ``ratio`` times the majority: every new row is
     x + u (y - x) for a minority row x, one y of its ``k`` nearest minority
     neighbours (exact, ``neighbors.nearest``) and u in [0, 1), both drawn by hash.
@@ -124,13 +133,13 @@ def smote(df: DataFrame, key: str, label: str, features: Sequence[str], minority
     of smallest hash, so the counts meet the ratio exactly.  Returns key, label, the
     features, ``copy`` (0: the row itself, else the number of the new row made from it)
     and ``neighbour`` (its y).  No new rows where the ratio holds already or where no
-    minority row has a neighbour; rows with a missing feature stay but have no neighbours."""
-    from riskframe.operators.neighbors import nearest
+    minority row has a neighbour; rows with a missing feature stay but have no neighbours.
+    ``near``: ``minority_neighbours`` of the same rows, where they are known."""
     from riskframe.sources.io import materialize
     cols = [F.col(c).cast("double").alias(c) for c in features]
     rows = materialize(df.select(F.col(key).cast("bigint").alias(key), label, *cols), "smote-rows")
     small = rows.where(F.col(label) == F.lit(minority))
-    near = materialize(small.join(nearest(small, key, features, k, pivots), key).where(F.size("neighbours") > 0), "smote-near")
+    near = minority_neighbours(rows, key, label, features, minority, k, pivots) if near is None else near
     # one row: how many new rows each minority row makes, and how many make one more
     n = rows.agg(F.count_if(F.col(label) == F.lit(minority)).alias("few"), F.count_if(F.col(label) != F.lit(minority)).alias("many"))
     n = n.crossJoin(near.agg(F.count(F.lit(1)).alias("m"))).select("m", F.greatest(F.floor(F.col("many") * F.lit(float(ratio))) - F.col("few"), F.lit(0)).alias("new"))
@@ -147,11 +156,11 @@ def smote(df: DataFrame, key: str, label: str, features: Sequence[str], minority
 
 
 def smote_under(df: DataFrame, key: str, label: str, features: Sequence[str], minority=1, over: float = 0.5, under: float = 1.0, k: int = 5,
-                seed=42, pivots: int | None = None) -> DataFrame:
+                seed=42, pivots: int | None = None, near: DataFrame | None = None) -> DataFrame:
     """SMOTE to ``over`` times the majority, then the majority cut by hash to
     minority / ``under`` rows."""
     from riskframe.sources.io import materialize
-    x = materialize(smote(df, key, label, features, minority, over, k, seed, pivots), "smote")
+    x = materialize(smote(df, key, label, features, minority, over, k, seed, pivots, near), "smote")
     return undersample(x, key, label, minority, under, seed)
 
 
