@@ -321,3 +321,38 @@ def test_edit_check_equals_the_plain_distance():
         b, room = "".join(b), rng.randrange(16)
         assert within(a, b, room) == (edit_distance(a, b) <= room)
     assert within("", "", 0) and not within("", "ab", 1) and within("abc" * 2000, "abc" * 2000 + "d", 1)
+
+
+def test_batched_edit_check_equals_brute_force():
+    from riskframe.llm import edits
+    rng = random.Random(5)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def pair(length, letters):
+        a = "".join(rng.choice(letters) for _ in range(length))
+        if rng.random() < 0.3:
+            return a, "".join(rng.choice(letters) for _ in range(max(0, length + rng.randrange(-5, 6))))
+        b = list(a)
+        for _ in range(rng.randrange(int(length * 0.3) + 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at:at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+        return a, "".join(b)
+
+    pairs = [pair(rng.randrange(max(1, n - 40), n + 10), "abcd" if i % 2 else "abcdefghi é😀") for n in (12, 70, 140) for i in range(250)]
+    pairs += [("", ""), ("", "a"), ("x" * 30, "x" * 30), ("x" * 200, "y" * 200)]
+    room = [int(max(map(len, p)) * rng.choice((0.05, 0.2, 0.3))) for p in pairs]
+    want = [distance(*p) <= r for p, r in zip(pairs, room)]
+    assert [edits.within(*p, r) for p, r in zip(pairs, room)] == want
+    assert edits.near([p[0] for p in pairs], [p[1] for p in pairs], room).tolist() == want and edits.near([], [], []).tolist() == []
+    # longer lines: unrelated ones leave their group early
+    pairs = [pair(rng.randrange(560, 640), "abcdefgh ") for _ in range(300)]
+    room = [int(max(map(len, p)) * 0.2) for p in pairs]
+    assert edits.near([p[0] for p in pairs], [p[1] for p in pairs], room).tolist() == [edits.within(*p, r) for p, r in zip(pairs, room)]
