@@ -4,13 +4,19 @@ One aggregate counts the words of every source; the sources' targets (weights
 shared over the whole budget, stopped at ``max_repeat`` times the source's own
 size, the excess shared again by weight) follow from two running totals over
 the one-row-per-source table; a document is then taken ``floor(rate)`` times
-plus one Bernoulli copy with probability equal to the fraction, drawn from a
-hash of the seed, the id and the text, so that reruns and recomputed tasks
-agree.
+plus one Bernoulli copy with probability equal to the fraction.
+
+The draws of a source are balanced: its documents stand by size and, within a size, by
+a hash of the seed, the id and the text; a running sum of the fraction begins at a
+hash of the seed and the source, and a document whose step passes a whole number is
+taken once more.  Over the offsets every document has the fraction as its
+probability, and as sizes only rise along the order, the words taken miss the target by
+less than the largest document.  Reruns and recomputed tasks agree.
 
 Defined results: null text has size 0; a null source is a source of its own and
-comes last; a source without words has target 0 and is not taken; repeated rows
-with equal id and text draw alike; an empty table gives an empty table.
+comes last (its offset is that of an empty name); a source without words has target 0 and is not
+taken; rows with equal id and text are numbered and take their turns; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,6 +43,12 @@ def draw(id_: Column, text: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
+def offset(source: Column, seed: str = SEED) -> Column:
+    """Where a source's draws begin: uniform in [0, 1)."""
+    key = F.concat(F.lit(seed + ":offset:"), F.coalesce(source, F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5,
                    max_repeat: float = 2.0) -> DataFrame:
     """(source, source_size) -> (source, source_size, target, rate).
@@ -75,16 +87,22 @@ def rate_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 seed: str = SEED, keep: Sequence[str] = ()) -> DataFrame:
     """Per document: ``keep`` columns, ``__source``, ``__size``, ``source_size``, ``target`` and
     ``__copies`` (how often the mix takes it)."""
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source_col}`").alias("__source"), words(F.col(f"`{text_col}`")).alias("__size"),
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(0)
+    d = docs.select(kept.alias("__keep"), F.col(f"`{source_col}`").alias("__source"), words(F.col(f"`{text_col}`")).alias("__size"), F.lit(1).alias("__one"),
                     draw(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed).alias("__u"))
     sizes = docs.select(F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("n")) \
         .groupBy("source").agg(F.sum("n").alias("source_size"))
     t = save(source_targets(sizes, weights, share, max_repeat), "mix-targets")
-    t = broadcast_within(t.select(F.col("source").alias("__s"), "source_size", "target", "rate"))
-    j = d.join(t, F.col("__source").eqNullSafe(F.col("__s")), "left")
-    whole = F.floor("rate")
-    return j.select(*[F.col(f"`{c}`") for c in keep], "__source", "__size", "source_size", "target",
-                    (whole + (F.col("__u") < F.col("rate") - whole).cast("bigint")).alias("__copies"))
+    t = broadcast_within(t.select(F.col("source").alias("__s"), "source_size", "target", "rate", offset(F.col("source"), seed).alias("__off")))
+    # rows of equal id and text are numbered, so they can be split among ranges
+    at = F.struct("__size", "__u", F.monotonically_increasing_id().alias("n"))
+    ranked = running_sum(d.select("__keep", "__source", "__size", "__one", at.alias("__at")), "__at", ["__one"], ["__source"])
+    j = ranked.join(t, F.col("__source").eqNullSafe(F.col("__s")), "left")
+    whole, n = F.floor("rate"), F.col("cum___one")
+    part = F.col("rate") - whole
+    drawn = F.floor(n * part + F.col("__off")) - F.floor((n - 1) * part + F.col("__off"))
+    return j.select(*[F.col(f"__keep.`{c}`").alias(c) for c in keep], "__source", "__size", "source_size", "target",
+                    (whole + drawn).cast("bigint").alias("__copies"))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:

@@ -111,11 +111,13 @@ k AS (SELECT level, COALESCE(SUM(cap) OVER o, 0e0) AS cap_before, COALESCE(SUM(w
 p AS (SELECT COALESCE(MAX(CASE WHEN (budget - cap_before) / (w_all - w_before) > level THEN level END), -1e0) AS stopped FROM k, t),
 q AS (SELECT SUM(CASE WHEN level <= stopped THEN cap ELSE 0e0 END) AS gone, SUM(CASE WHEN level > stopped THEN w ELSE 0e0 END) AS w_left FROM c, p),
 r AS (SELECT source, size, CASE WHEN level <= stopped THEN cap ELSE LEAST(cap, (budget - gone) * w / NULLIF(w_left, 0e0)) END AS target FROM c, p, q, t),
-x AS (SELECT doc_id, d.size, r.size AS ssize, target, COALESCE(LEAST(target / NULLIF(r.size, 0e0), 2e0), 0e0) AS rate,
-      CAST('0x' || substr(md5('mix-1:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || COALESCE(text, '')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496e0 AS u
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+x AS (SELECT doc_id, d.size, r.size AS ssize, target, COALESCE(LEAST(target / NULLIF(r.size, 0e0), 2e0), 0e0) AS rate, r.source,
+      CAST('0x' || substr(md5('mix-1:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || COALESCE(text, '')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496e0 AS u,
+      CAST('0x' || substr(md5('mix-1:offset:' || COALESCE(r.source, '')), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496e0 AS o
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+y AS (SELECT *, rate - FLOOR(rate) AS f, (ROW_NUMBER() OVER (PARTITION BY source ORDER BY size, u))::DOUBLE AS n FROM x)
 SELECT doc_id, size::BIGINT AS size, ssize::BIGINT AS source_size, target,
-       CAST((FLOOR(rate) + CASE WHEN u < rate - FLOOR(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM x
+       CAST((FLOOR(rate) + FLOOR(n * f + o) - FLOOR((n - 1e0) * f + o)) * size AS BIGINT) AS taken FROM y
 """
 
 

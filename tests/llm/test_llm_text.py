@@ -123,6 +123,23 @@ def test_mixing_taken_words_come_near_the_target(spark):
         assert abs(r.taken - r.target) < 0.08 * r.target
 
 
+def test_mixing_misses_a_target_by_less_than_one_document(spark):
+    from riskframe.llm import mixing
+    rng = random.Random(2)
+    rows = [(i, words(rng, rng.choice((0, 3, 10, 40, 400))), rng.choice(("a", "a", "a", "b", "c", None))) for i in range(300)]
+    rows += [(7, "the same row again and again", "b")] * 90 + [(None, "no id", "c")] * 5 + [(8, None, "a")] * 20
+    d = docs(spark, rows).select("doc_id", "text", "source", F.lit(1).alias("__at"), F.lit(2).alias("__p"), F.lit(3).alias("cum___one"))
+    per = mixing.rate_copies(d, keep=["__p", "__at"])
+    assert per.columns[:2] == ["__p", "__at"] and per.count() == len(rows)
+    for r in per.groupBy("__source").agg(F.first("target").alias("target"), F.sum(F.col("__copies") * F.col("__size")).alias("taken"),
+                                         F.max("__size").alias("largest")).collect():
+        assert abs(r.taken - r.target) < r.largest
+    assert mixing.mix(d).columns == d.columns
+    # whatever the offset, the number of extra copies is the same to within one
+    times = [mixing.rate_copies(d.where("source = 'a'"), seed=f"s{k}", share=1.4).agg(F.sum("__copies")).first()[0] for k in range(3)]
+    assert max(times) - min(times) <= 1
+
+
 # --- SimHash near-dedup ---------------------------------------------------
 
 def _fingerprint(t):
