@@ -6,7 +6,7 @@ import importlib
 
 from riskframe.plans.registry import REGISTRY
 
-PLAN_MODULES = ["q_marts", "q_features", "q_checks", "q_metrics", "q_drift", "q_relational", "q_profiles", "q_fit", "q_io", "q_stream", "q_model"]
+PLAN_MODULES = ["q_marts", "q_features", "q_checks", "q_metrics", "q_drift", "q_relational", "q_profiles", "q_fit", "q_io", "q_stream", "q_model", "q_state"]
 
 ORACLE: dict[str, str] = {}
 for _m in PLAN_MODULES:
