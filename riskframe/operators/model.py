@@ -23,6 +23,9 @@ from riskframe.sources.io import materialize, scratch_path
 #: the ten metrics of a fold
 METRICS = ("roc_auc", "average_precision", "best_fbeta", "best_threshold", "cost", "avg_cost", "accuracy", "precision", "recall", "f1")
 
+#: rows of a training table that one task reads at most
+TASK_ROWS = 100_000
+
 
 def _pipeline(features: Sequence[str], clf, medians: Mapping[str, float | None], scale: bool = True) -> Pipeline:
     """Exact training medians (0 where a column has none) fill the gaps."""
@@ -59,12 +62,22 @@ def classifier(kind: str, label: str, seed: int = 42, **params):
 
 def fit(df: DataFrame, features: Sequence[str], label: str, kind: str = "lr", medians: Mapping[str, float | None] | None = None, **params):
     """``medians``: of the training rows; computed here if not given.  The
-    training table is written once: every iteration of the solver reads it."""
+    training table is written once and dealt by rows: every iteration of the
+    solver reads it."""
     if medians is None:
         from riskframe.operators.fit import fit_medians
         medians = fit_medians(df, features)
     d = with_balanced_weight(df.withColumn(label, F.col(label).cast("double")), label)
-    return _pipeline(features, classifier(kind, label, **params), medians, scale=(kind == "lr")).fit(materialize(d, "train"))
+    return _pipeline(features, classifier(kind, label, **params), medians, scale=(kind == "lr")).fit(training_table(d))
+
+
+def training_table(df: DataFrame, name: str = "train") -> DataFrame:
+    """The table written once and dealt so that a task reads at most ``TASK_ROWS`` of its
+    rows (Spark packs files by bytes, but a tree learner's bagged points take over 1 KB
+    each).  Tables that are dealt finer stay as they are."""
+    t = materialize(df, name)
+    n = -(-t.count() // TASK_ROWS)
+    return t.repartition(n) if n > t.rdd.getNumPartitions() else t
 
 
 def fold_medians(df: DataFrame, features: Sequence[str], k: int) -> dict[int, dict[str, float]]:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from riskframe.operators import model as MD
 from riskframe.plans import q_marts
 from riskframe.plans.bind import clustered_rows
 
@@ -26,3 +27,12 @@ def test_clustered_rows_are_all_rows_with_an_applicant(spark, tmp_path):
         .selectExpr("*", "DATE'2000-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     got = [r.o_orderkey for r in clustered_rows(spark, str(tmp_path), "bureau").collect()]
     assert sorted(got) == [0, 1, 2, 4, 5]
+
+
+def test_training_rows_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(MD, "TASK_ROWS", 10)
+    t = MD.training_table(spark.range(0, 95, 1, 1))
+    assert t.rdd.getNumPartitions() == 10 and t.count() == 95
+    assert max(t.rdd.glom().map(len).collect()) <= 20
+    monkeypatch.setattr(MD, "TASK_ROWS", 1000)
+    assert MD.training_table(spark.range(0, 95, 1, 1)).rdd.getNumPartitions() == 1
