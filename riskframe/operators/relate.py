@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.sources.io import materialize
+
 
 def cascade_subset(parent: DataFrame, parent_key: str, chain: Sequence[tuple[DataFrame, str, str]]) -> list[DataFrame]:
     """Subset every table of a key chain to the rows reachable from ``parent``.
@@ -25,9 +27,12 @@ def cascade_subset(parent: DataFrame, parent_key: str, chain: Sequence[tuple[Dat
 def known_unknown(batch: DataFrame, key: str, precomputed: DataFrame, compute) -> DataFrame:
     """Every row of ``batch`` once: with the features stored in ``precomputed``, or
     else with those of ``compute(unknown_batch)`` (null where it has none), and
-    a source tag.  Both are joined to the batch, so no applicant is lost."""
+    a source tag.  Both are joined to the batch, so no applicant is lost.
+    The stored features and the unknown part are read twice: each is written once, so
+    that no task holds the sorts and aggregates behind them beside its own."""
+    precomputed = materialize(precomputed, "known")
     known = precomputed.withColumn("source", F.lit("precomputed"))
-    unknown = batch.join(precomputed.select(key), key, "left_anti")
+    unknown = materialize(batch.join(precomputed.select(key), key, "left_anti"), "unknown")
     fresh = compute(unknown)
     stored = batch.join(known, key, "inner")
     computed = unknown.join(fresh, key, "left").withColumn("source", F.lit("computed"))

@@ -3,6 +3,7 @@
 import pytest
 
 from riskframe.operators import model as MD
+from riskframe.operators import relate as R
 from riskframe.plans import q_marts
 from riskframe.plans.bind import clustered_rows
 
@@ -36,3 +37,17 @@ def test_training_rows_of_a_task_are_bounded(spark, monkeypatch):
     assert max(t.rdd.glom().map(len).collect()) <= 20
     monkeypatch.setattr(MD, "TASK_ROWS", 1000)
     assert MD.training_table(spark.range(0, 95, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def test_known_and_unknown_read_written_tables(spark):
+    batch = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k long")
+    stored = spark.createDataFrame([(1, 10.0), (9, 90.0)], "k long, f double")
+    seen = []
+
+    def compute(unknown):
+        seen.extend(unknown.inputFiles())
+        return unknown.where("k = 2").distinct().selectExpr("k", "20D AS f")
+    out = R.known_unknown(batch, "k", stored, compute)
+    assert seen and all("unknown" in x for x in seen)
+    rows = sorted((r.k or 0, r.f or 0.0, r.source) for r in out.collect())
+    assert rows == [(0, 0.0, "computed"), (1, 10.0, "precomputed"), (2, 20.0, "computed"), (2, 20.0, "computed")]
