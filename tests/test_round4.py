@@ -1,9 +1,13 @@
 """Bounded tasks and shuffles of wide jobs."""
 
+import numpy as np
 import pytest
 
+from riskframe.llm import phrases as P
 from riskframe.operators import model as MD
+from riskframe.operators import neighbors as N
 from riskframe.operators import relate as R
+from riskframe.operators import search as SE
 from riskframe.plans import q_marts
 from riskframe.plans.bind import clustered_rows
 
@@ -51,3 +55,26 @@ def test_known_and_unknown_read_written_tables(spark):
     assert seen and all("unknown" in x for x in seen)
     rows = sorted((r.k or 0, r.f or 0.0, r.source) for r in out.collect())
     assert rows == [(0, 0.0, "computed"), (1, 10.0, "precomputed"), (2, 20.0, "computed"), (2, 20.0, "computed")]
+
+
+def test_neighbour_pairs_are_few_and_exact():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(600, 20)) + 50.0, rng.normal(size=(40, 20)) + 50.0
+    i, j, d = N._pairs(q, x, 5, np.full(40, np.inf))
+    want = N._squares(q, x)
+    assert len(i) == 40 * 6                                  # no ties: six nodes a query
+    assert (d == want[i, j]).all()
+    assert all(set(j[i == r]) == set(np.argsort(want[r], kind="stable")[:6]) for r in range(40))
+
+
+def test_training_tables_of_concurrent_fits_take_few_tasks(spark):
+    df = spark.range(0, 200, 1, 8).selectExpr("id", "CAST(id % 4 = 0 AS INT) AS y", "id * 1D AS a")
+    folds = df.selectExpr("id", "CAST(id % 2 AS INT) AS fold")
+    data = SE.prepare(df, ["a"], "y", "id", folds, 2)
+    assert SE.train_table(data, 0).rdd.getNumPartitions() == 1
+
+
+def test_counters_are_not_held_twice():
+    keys, counts = [np.array([3, 1], np.uint64), np.array([3], np.uint64)], [np.array([1, 2]), np.array([4])]
+    k, c = P._added(keys, counts)
+    assert (k.tolist(), c.tolist(), keys, counts) == ([1, 3], [2, 5], [], [])
