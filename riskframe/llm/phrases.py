@@ -121,12 +121,17 @@ def _hash(parts: np.ndarray, words: np.ndarray) -> np.ndarray:
 # --- summaries ------------------------------------------------------------
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with summed counts."""
+    """Sorted distinct keys with summed counts.  Empties both lists: millions of counters
+    are not held twice."""
     k, c = np.concatenate(keys), np.concatenate(counts)
+    keys.clear()
+    counts.clear()
     if not len(k):
         return k, c
     order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
+    k = k[order]
+    c = c[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     return k[first], np.add.reduceat(c, first)
 
