@@ -9,7 +9,9 @@ hash (ties: the first) is the window's *anchor*.  Equal windows have their
 anchor at the same place, about every twelfth word is one, and the suffix that begins
 at an anchor is sent once, with the words to its left that its windows cover.
 *Prefixes.*  The suffix's first ``PREFIX`` words decide its group.  A census over
-all texts counts every prefix; one that more than ``limit`` suffixes share (never
+all texts counts every prefix.  The suffix of a prefix that occurs once holds no
+repeat and is not sent: a bitmap of at most ``BITMAP_BYTES`` names the prefixes that
+occur again (bits that two prefixes share only send more).  A prefix that more than ``limit`` suffixes share (never
 more than ``HOT`` prefixes, a broadcast of 8 MB) is too large for a group and is
 lengthened to the whole window: each window start is then a suffix of its own.
 The number of groups follows the bytes of the corpus, so that one holds
@@ -45,8 +47,10 @@ PREFIX = 12
 LIMIT, HOT = 20_000, 1_000_000
 #: Bytes of words in a group, of text in a block, and suffixes that a subtree sorts at once.
 GROUP_BYTES, BLOCK_BYTES, SORTED = 24 << 20, 8 << 20, 200_000
-#: Bytes sent per byte of text, about.
+#: Bytes sent per byte of text, at most about.
 SENT = 3.5
+#: Size limit of the bitmap of repeated prefixes, and bits of it that a task makes at once.
+BITMAP_BYTES, SLICE_BITS = 32 << 20, 1 << 16
 
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _NONE = 0xFFFFFFFF
@@ -105,9 +109,15 @@ class Block:
         anchors = np.concatenate([view[a:a + 65_536].argmin(axis=1) for a in range(0, n, 65_536)])[starts] + starts
         self.doc, self.starts, self.anchors, self.hashes, self.runs = doc, starts, anchors, hashes, runs
 
-    def suffixes(self, window: int, hot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(prefix hash, first window start, last window start) of every suffix to send."""
+    def suffixes(self, window: int, hot: np.ndarray | None, repeated: tuple[np.ndarray, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(prefix hash, first window start, last window start) of every suffix, or of those whose
+        prefix is ``repeated`` (bits, mask)."""
         s, a = self.starts, self.anchors
+        if len(s) and repeated is not None:
+            bits, mask = repeated
+            at = self.runs[a] & np.uint64(mask)
+            again = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            s, a = s[again], a[again]
         if not len(s):
             return np.zeros(0, np.uint64), s, s
         prefix = self.runs[a]
@@ -140,8 +150,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[Bl
         yield Block(texts, window), rest
 
 
-def _census(texts: DataFrame, window: int, limit: int) -> np.ndarray:
-    """Sorted hashes of the prefixes that more than ``limit`` suffixes begin with."""
+def _census(texts: DataFrame, window: int) -> DataFrame:
+    """(prefix, n): hashes of the prefixes that more than one suffix begins with."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _ in _blocks(batches, window):
             prefix, _, _ = block.suffixes(window, None)
@@ -149,9 +159,35 @@ def _census(texts: DataFrame, window: int, limit: int) -> np.ndarray:
             for a in range(0, len(k), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[a:a + 50_000].view(np.int64)), pa.array(n[a:a + 50_000])], ["prefix", "n"])
 
-    hot = texts.mapInArrow(run, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("prefix")
+    return save(texts.mapInArrow(run, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1"), "substring-prefixes")
+
+
+def _hot(census: DataFrame, limit: int) -> np.ndarray:
+    """Sorted hashes of the prefixes that more than ``limit`` suffixes begin with."""
     # at most bytes / 2 / limit rows, which is HOT
-    return np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64))
+    return np.sort(np.array([r[0] for r in census.where(F.col("n") > limit).select("prefix").collect()], np.int64).view(np.uint64))
+
+
+def _bitmap(census: DataFrame) -> tuple[np.ndarray, int]:
+    """(bits, mask): bit ``prefix & mask`` is set for every prefix of the census (anchors are
+    smallest hashes: only their low bits are even).  Tasks make slices of ``SLICE_BITS``
+    bits; the driver lays them side by side."""
+    each = SLICE_BITS.bit_length() - 1
+    bits = max(each, min((BITMAP_BYTES * 8).bit_length() - 1, (16 * census.count()).bit_length()))
+    mask = (1 << bits) - 1
+
+    def run(group: pa.Table) -> pa.Table:
+        at = group.column("at").to_numpy()
+        part = np.zeros(SLICE_BITS, np.uint8)
+        part[at & (SLICE_BITS - 1)] = 1
+        return pa.table({"slice": pa.array([int(at[0]) >> each], pa.int64()), "part": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+
+    at = census.select(F.expr(f"prefix & {mask}L").alias("at"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in at.groupBy(F.expr(f"at div {SLICE_BITS}")).applyInArrow(run, "slice long, part binary").collect():
+        first = r["slice"] * (SLICE_BITS // 8)
+        out[first:first + SLICE_BITS // 8] = np.frombuffer(r["part"], np.uint8)
+    return out, mask
 
 
 # --- groups ---------------------------------------------------------------
@@ -176,10 +212,10 @@ def _runs(x: np.ndarray) -> Iterator[np.ndarray]:
         yield order[i:j]
 
 
-def _sent(texts: DataFrame, window: int, hot: np.ndarray, groups: Sequence[int]) -> DataFrame:
+def _sent(texts: DataFrame, window: int, hot: np.ndarray, repeated: tuple[np.ndarray, int], groups: Sequence[int]) -> DataFrame:
     """Per block and group one row with its pieces, and one with spans (words
     null) that the block itself shows to be repeated, dealt by text."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
+    shared = texts.sparkSession.sparkContext.broadcast((hot, repeated))
     group_keys = np.array(groups, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +224,7 @@ def _sent(texts: DataFrame, window: int, hot: np.ndarray, groups: Sequence[int])
                 words, prefix, _packed(doc.astype(np.uint32)), _packed(start.astype(np.uint32)), b"".join(keys))]], _SENT.names)
 
         for block, keys in _blocks(batches, window):
-            prefix, first, last = block.suffixes(window, shared.value)
+            prefix, first, last = block.suffixes(window, *shared.value)
             if not len(prefix):
                 continue
             doc = block.doc[first]
@@ -296,11 +332,12 @@ def repeated_spans(texts: DataFrame, window: int = 35) -> DataFrame:
     text_batches(spark)
     texts = texts.select("text", "key")
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    hot = _census(texts, window, max(LIMIT, -(-size // 2 // HOT)))
+    census = _census(texts, window)
+    hot, repeated = _hot(census, max(LIMIT, -(-size // 2 // HOT))), _bitmap(census)
     p = parallelism(spark)
     groups = spread_keys(spark, p, max(1, -(-int(size * SENT) // GROUP_BYTES // p)))
     # spans found in a task travel with its pieces, as a row of the task's own group
-    found = _sent(texts, window, hot, groups).groupBy("g").applyInArrow(_repeats(window), "key binary, a int, b int")
+    found = _sent(texts, window, hot, repeated, groups).groupBy("g").applyInArrow(_repeats(window), "key binary, a int, b int")
     return save(found.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "substring-spans")
 
 
