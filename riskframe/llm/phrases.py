@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import parallelism, save, spread_keys, text_batches
 
 #: Bytes of text and words that are counted at once, and counters of a task before they are sent.
-BLOCK_BYTES, BLOCK_WORDS, TASK_COUNTERS = 6 << 20, 1 << 20, 4_000_000
+BLOCK_BYTES, BLOCK_WORDS, TASK_COUNTERS = 2 << 20, 1 << 18, 2_000_000
 #: Size limit of the bitmap of survivors.
 BITMAP_BYTES = 32 << 20
 #: Bits of an n-gram's hash, and n-gram occurrences that one partition should hold at most.
 HASH_BITS, PARTITION_MASS = 48, 32_000_000
+#: Bits of a count that is held beside its key, and rows of counters that are added at once at most.
+COUNT_BITS, WAITING = 64 - HASH_BITS, 1_000
 #: Capacity over the mass bound divided by the threshold.
 SLACK = 1.0
 
@@ -120,20 +122,32 @@ def _hash(parts: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 # --- summaries ------------------------------------------------------------
 
+def _beside(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Key and count in one number, sorted without a second array; a count over
+    ``COUNT_BITS`` becomes several counters of its key."""
+    top = (1 << COUNT_BITS) - 1
+    counts = counts.astype(np.int64)
+    x = (keys << np.uint64(COUNT_BITS)) | (counts % top).astype(np.uint64)
+    big = counts >= top
+    if not big.any():
+        return x
+    whole = np.repeat((keys[big] << np.uint64(COUNT_BITS)) | np.uint64(top), counts[big] // top)
+    return np.concatenate([x[counts % top > 0], whole])
+
+
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys with summed counts.  Empties both lists: millions of counters
     are not held twice."""
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    keys.clear()
-    counts.clear()
-    if not len(k):
-        return k, c
-    order = np.argsort(k, kind="stable")
-    k = k[order]
-    c = c[order]
-    del order
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    return k[first], np.add.reduceat(c, first)
+    parts = []
+    while keys:
+        parts.append(_beside(keys.pop(), counts.pop()))
+    x = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    del parts
+    x.sort()
+    n = x & np.uint64((1 << COUNT_BITS) - 1)
+    x >>= np.uint64(COUNT_BITS)
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(x), 1), bool), x[1:] != x[:-1])))
+    return x[first], (np.add.reduceat(n, first) if len(x) else n).astype(np.int64)
 
 
 class Summary:
@@ -144,7 +158,13 @@ class Summary:
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def merge(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys, self.counts = _added([self.keys, keys], [self.counts, counts])
+        """Adds counters of sorted distinct keys: known ones in place, the others between them."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        self.counts[at[known]] += counts[known]
+        at, keys, counts = at[~known], keys[~known], counts[~known]
+        self.keys, self.counts = np.insert(self.keys, at, keys), np.insert(self.counts, at, counts)
         if len(self.keys) > self.capacity:
             d = int(np.partition(self.counts, len(self.counts) - self.capacity - 1)[len(self.counts) - self.capacity - 1])
             if self.taken + d >= self.threshold:            # more than its share of the mass: grow
@@ -175,10 +195,7 @@ def _summaries(texts: DataFrame, longest: int, names: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
 
-        def flush():
-            nonlocal keys, counts, held
-            k, c = _added(keys, counts)
-            keys, counts, held = [], [], 0
+        def flush(k, c):
             cuts = np.searchsorted(k, [(p << HASH_BITS) // partitions for p in range(partitions + 1)])
             for p in range(partitions):
                 a, b = cuts[p], cuts[p + 1]
@@ -196,15 +213,18 @@ def _summaries(texts: DataFrame, longest: int, names: list[int]) -> DataFrame:
             for n in range(1, longest + 1):
                 parts, c = _ngrams(codes, n, starts, len(words))
                 keys.append(_hash(parts, hashes))
-                counts.append(c)
+                counts.append(c.astype(np.min_scalar_type(int(c.max(initial=0)))))
                 held += len(c)
             if held > TASK_COUNTERS:
                 k, c = _added(keys, counts)
-                keys, counts, held = [k], [c], len(k)
-                if held > TASK_COUNTERS:
-                    yield from flush()
+                if len(k) > TASK_COUNTERS // 2:
+                    yield from flush(k, c)
+                    held = 0
+                else:
+                    keys, counts, held = [k], [c], len(k)
+                del k, c
         if held:
-            yield from flush()
+            yield from flush(*_added(keys, counts))
 
     return texts.mapInArrow(run, "p int, first long, keys binary, counts binary")
 
@@ -212,13 +232,19 @@ def _summaries(texts: DataFrame, longest: int, names: list[int]) -> DataFrame:
 def _survivors(summaries: DataFrame, capacity: int, threshold: int) -> DataFrame:
     """(p, n, keys): n-gram hashes that may reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, Summary] = {}
+        # a partition's counters, and those that came since it was last added to
+        held: dict[int, tuple[Summary, list, list]] = {}
         for b in batches:
             for p, first, k, c in zip(*[x.to_pylist() for x in b.columns]):
-                keys = _unpacked(k).astype(np.uint64)
-                keys[0] += np.uint64(first)
-                held.setdefault(p, Summary(capacity, threshold)).merge(np.cumsum(keys, dtype=np.uint64), _unpacked(c).astype(np.int64))
-        for p, s in held.items():
+                s, keys, counts = held.setdefault(p, (Summary(capacity, threshold), [], []))
+                new = _unpacked(k).astype(np.uint64)
+                new[0] += np.uint64(first)
+                keys.append(np.cumsum(new, dtype=np.uint64))
+                counts.append(_unpacked(c))
+                if sum(map(len, keys)) > capacity // 4 or len(keys) >= WAITING:
+                    s.merge(*_added(keys, counts))
+        for p, (s, keys, counts) in held.items():
+            s.merge(*_added(keys, counts))
             k = s.frequent()
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(k)], pa.int64()), pa.array([_packed(k)], pa.binary())], ["p", "n", "keys"])
 

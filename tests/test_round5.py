@@ -27,3 +27,29 @@ def test_only_suffixes_of_repeated_prefixes_are_sent(spark):
     assert 0 < n <= 2 * len(prefixes) + 5                       # not one of about 1,400 anchors
     got = {r.i: r.n_removed for r in S.remove_repeats(spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "text string, i int"), keep=["i"]).collect()}
     assert got == {i: 80 if i >= 40 else 0 for i in range(42)}
+
+
+def test_phrase_counters_are_summed_beside_their_keys():
+    from riskframe.llm import phrases as P
+    rng = np.random.default_rng(5)
+    top = (1 << P.COUNT_BITS) - 1
+    keys = np.unique(rng.integers(0, 1 << P.HASH_BITS, 500).astype(np.uint64))
+    keys[-1] = (1 << P.HASH_BITS) - 1
+    counts = rng.integers(1, 9, len(keys))
+    counts[:6] = [top - 1, top, top + 1, 2 * top, 10 * top + 3, 1]
+    assert P._beside(keys, counts).nbytes < 8 * len(keys) + 8 * 30               # not 16 bytes a counter
+    held = [keys, keys[::2], keys[:0]], [counts, counts[::2], counts[:0]]
+    k, n = P._added(*held)
+    want = counts.copy()
+    want[::2] += counts[::2]
+    assert held == ([], []) and k.tolist() == keys.tolist() and n.tolist() == want.tolist()
+    k, n = P._added([], [])
+    assert not len(k) and not len(n)
+
+
+def test_a_summary_takes_counters_in_any_order():
+    from riskframe.llm import phrases as P
+    s = P.Summary(100, 10)
+    for keys, counts in (([5, 9], [1, 2]), ([1, 5, 7], [4, 4, 4]), ([], []), ([11], [10])):
+        s.merge(np.array(keys, np.uint64), np.array(counts, np.int64))
+    assert s.keys.tolist() == [1, 5, 7, 9, 11] and s.counts.tolist() == [4, 5, 4, 2, 10] and s.frequent().tolist() == [11]
