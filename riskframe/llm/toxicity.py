@@ -38,6 +38,7 @@ MAX_LABELLED = 20_000       # bound of the training sample (rows)
 MAX_FEATURES = 3_000        # bound of the vocabulary
 MAX_CANDIDATES = 100_000    # features of toxic rows that are counted in clean rows
 MIN_DOCS = 4                # toxic training rows that must hold a feature
+HELD_FEATURES = 50_000      # counters of a worker before they are sent
 PREFIXES = range(3, 9)
 WORD = re.compile(r"\w+")
 
@@ -69,7 +70,13 @@ def _count_fn(known_b=None):
             for t in b.column("text").to_pylist():
                 f = doc_features(t)
                 c.update(f if known is None else f & known)
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
+                if len(c) > HELD_FEATURES:
+                    yield counted(c)
+                    c.clear()
+            yield counted(c)
+
+    def counted(c):
+        return pa.RecordBatch.from_pydict({"feature": pa.array(list(c), pa.string()), "n": pa.array(list(c.values()), pa.int64())})
     return run
 
 

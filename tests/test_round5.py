@@ -53,3 +53,28 @@ def test_a_summary_takes_counters_in_any_order():
     for keys, counts in (([5, 9], [1, 2]), ([1, 5, 7], [4, 4, 4]), ([], []), ([11], [10])):
         s.merge(np.array(keys, np.uint64), np.array(counts, np.int64))
     assert s.keys.tolist() == [1, 5, 7, 9, 11] and s.counts.tolist() == [4, 5, 4, 2, 10] and s.frequent().tolist() == [11]
+
+
+def test_feature_counters_of_a_worker_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from riskframe.llm import toxicity as T
+    rng = random.Random(8)
+    rows = [_prose(rng, 60) for _ in range(50)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(rows, pa.string())})
+    monkeypatch.setattr(T, "HELD_FEATURES", 100)
+    parts = list(T._count_fn()(iter([batch])))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) < 1_000
+    got = {}
+    for p in parts:
+        for f, n in zip(p.column("feature").to_pylist(), p.column("n").to_pylist()):
+            got[f] = got.get(f, 0) + n
+    assert got == {f: sum(f in T.doc_features(t) for t in rows) for f in got} and len(got) == len(set().union(*map(T.doc_features, rows)))
+
+
+def test_ids_are_decoded_from_a_written_table(spark):
+    import corpus_pipeline as C
+    df = spark.createDataFrame([(1, "a b", "en", "s", 3), (2, None, None, "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = C.encode(spark, df, "")
+    assert any("pipeline-ids" in f for f in out.inputFiles())       # no worker encodes and decodes side by side
+    assert sorted((r.doc_id, r.n_tokens) for r in out.collect()) == [(1, 2), (2, 0)]
