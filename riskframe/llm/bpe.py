@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import save, text_batches
+from riskframe.llm.common import lean, save, text_batches
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -115,14 +115,14 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     back = [F.col(f"__row.`{c}`").alias(c) for c in keep] + [F.col("__ids").alias(ids_col)]
 
     short = rows.where(F.length("__text") <= chunk_chars).mapInArrow(
-        _encode_fn(raw_b, pattern, "__text", "__ids"),
+        lean(_encode_fn(raw_b, pattern, "__text", "__ids")),
         T.StructType([T.StructField("__row", row_type), T.StructField("__ids", T.BinaryType())]))
 
     # written once: the row numbers must be the same where texts are cut and where rows come back
     long = save(rows.where(F.length("__text") > chunk_chars).withColumn("__uid", F.monotonically_increasing_id()), "bpe-long")
-    chunks = (long.select("__uid", "__text").mapInArrow(_split_fn(chunk_chars, overlap_chars), "__uid long, __k long, __n long, __chunk string")
+    chunks = (long.select("__uid", "__text").mapInArrow(lean(_split_fn(chunk_chars, overlap_chars)), "__uid long, __k long, __n long, __chunk string")
               .repartition("__uid", "__k")
-              .mapInArrow(_pretoken_fn(pattern, chunk_chars, overlap_chars),
+              .mapInArrow(lean(_pretoken_fn(pattern, chunk_chars, overlap_chars)),
                           "__uid long, __k long, __n long, __chunk string, __head array<long>, __tail array<long>"))
     w = Window.partitionBy("__uid").orderBy("__k")
     stitched = (chunks.withColumn("__sync", F.array_min(F.array_intersect("__tail", F.lead("__head").over(w))))
@@ -136,7 +136,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     whole = (pieces.where(~F.col("__ok")).groupBy("__uid").agg(F.sort_array(F.collect_list(F.struct("__k", "__piece"))).alias("p"))
              .select("__uid", F.lit(0).cast("long").alias("__k"), F.array_join(F.col("p.__piece"), "").alias("__piece")))
     encoded = (pieces.where("__ok").select("__uid", "__k", "__piece").unionByName(whole).repartition("__uid", "__k")
-               .mapInArrow(_encode_fn(raw_b, pattern, "__piece", "__ids"), "__uid long, __k long, __ids binary"))
+               .mapInArrow(lean(_encode_fn(raw_b, pattern, "__piece", "__ids")), "__uid long, __k long, __ids binary"))
     # one text's pieces meet again: bounded by the text, which was one cell of the input
     texts = encoded.groupBy("__uid").agg(F.sort_array(F.collect_list(F.struct("__k", "__ids"))).alias("p")).select(
         "__uid", F.aggregate(F.transform("p", lambda x: x["__ids"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("__ids"))
@@ -160,7 +160,7 @@ def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids", bytes_col: st
 
     keep = [c for c in encoded.columns if c != bytes_col]
     rows = encoded.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), F.col(f"`{ids_col}`").alias("__ids"))
-    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__raw", T.BinaryType())]))
+    out = rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField("__raw", T.BinaryType())]))
     return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], F.col("__raw").alias(bytes_col))
 
 

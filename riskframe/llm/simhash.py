@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import broadcast_within, parallelism, save, text_batches
+from riskframe.llm.common import broadcast_within, lean, parallelism, save, text_batches
 from riskframe.llm.components import connected_components
 
 #: An anchor with more rows than this is cut into chunk pairs (exact: every
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: Sequence[str] =
             fp = np.array([fingerprint(t, shingle, seed) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["__row", "__fp"])
 
-    out = d.mapInArrow(run, T.StructType([d.schema["__row"], T.StructField("__fp", T.LongType())]))
+    out = d.mapInArrow(lean(run), T.StructType([d.schema["__row"], T.StructField("__fp", T.LongType())]))
     return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], "__fp")
 
 
@@ -219,7 +219,7 @@ def links(nodes: DataFrame, max_distance: int = 3, fp: str = "__fp") -> DataFram
     a set whose components are those of all such pairs."""
     spark = nodes.sparkSession
     rows = save(nodes.select(F.col(fp).alias("fp")).distinct().mapInArrow(
-        _anchor_fn(segments(max_distance)), "seg int, anchor long, fp long, home boolean"), "simhash-anchors")
+        lean(_anchor_fn(segments(max_distance))), "seg int, anchor long, fp long, home boolean"), "simhash-anchors")
     # an anchor matters if it is some fingerprint's home and holds another row
     sizes = rows.groupBy("seg", "anchor").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
     large = save(sizes.where((F.col("n") > ANCHOR_ROWS) & (F.col("homes") > 0)).select(
@@ -233,7 +233,7 @@ def links(nodes: DataFrame, max_distance: int = 3, fp: str = "__fp") -> DataFram
         F.when(F.col("home"), F.col("other")).otherwise(F.col("own")).alias("rc"), "fp", "home")
     n = parallelism(spark)
     return (units.repartition(n, "seg", "anchor", "hc", "rc").sortWithinPartitions("seg", "anchor", "hc", "rc")
-            .mapInArrow(_compare_fn(max_distance), "a long, b long"))
+            .mapInArrow(lean(_compare_fn(max_distance)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3,

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import save, text_batches
+from riskframe.llm.common import lean, save, text_batches
 
 MAX_LABELLED = 20_000       # bound of the training sample (rows)
 MAX_FEATURES = 3_000        # bound of the vocabulary
@@ -81,7 +81,7 @@ def _count_fn(known_b=None):
 
 
 def _counts(texts: DataFrame, known_b=None) -> DataFrame:
-    return texts.select("text").mapInArrow(_count_fn(known_b), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(lean(_count_fn(known_b)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _design_fn(index_b, strong_b):
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lift = lambda f: (held[f] / n_tox) / ((clean.get(f, 0) + 0.5) / n_clean)
     index_b = spark.sparkContext.broadcast({f: i for i, f in enumerate(vocab)})
     strong_b = spark.sparkContext.broadcast({f for f in vocab if lift(f) >= 10})
-    design = train.mapInArrow(_design_fn(index_b, strong_b), T.StructType([
+    design = train.mapInArrow(lean(_design_fn(index_b, strong_b)), T.StructType([
         T.StructField("toxic", T.BooleanType()), T.StructField("cols", T.ArrayType(T.IntegerType())), T.StructField("marks", T.LongType())])).collect()
     design.sort(key=lambda r: (r["toxic"], r["cols"], r["marks"]))        # the same sums whatever the task order
     toxic, marks = np.array([r["toxic"] for r in design]), np.array([r["marks"] for r in design])
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[
                 tox.append(p[0])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sev, pa.float64()), pa.array(tox, pa.float64())], ["__row", "__sev", "__tox"])
 
-    out = d.mapInArrow(run, T.StructType([d.schema["__row"], T.StructField("__sev", T.DoubleType()), T.StructField("__tox", T.DoubleType())]))
+    out = d.mapInArrow(lean(run), T.StructType([d.schema["__row"], T.StructField("__sev", T.DoubleType()), T.StructField("__tox", T.DoubleType())]))
     return out.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], F.col("__sev").alias("severity"), F.col("__tox").alias("p_toxic"))
 
 
