@@ -314,6 +314,46 @@ def test_line_keys_are_native(spark, table):
     assert "Python" not in p and "Arrow" not in p
 
 
+def test_line_keys_hold_their_places(spark):
+    """Every key with a place is the hash of the text that stands there; a gram that a line holds twice has none."""
+    from riskframe.llm import lines
+    rng = random.Random(8)
+    rows = [(i, words(rng, n, 10 ** 6), "s") for i, n in enumerate((4, 6, 9, 14, 30, 80, 300))]
+    rows += [(50, "日本語の文書がここにあります" + "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(60)), "s"), (60, "the very same passage comes again " * 6, "s")]
+    k = lines.keyed(docs(spark, rows), "doc_id", "text", 0.8).selectExpr("id", "len", "inline(keys)")
+    t = docs(spark, rows).selectExpr("doc_id AS id", "trim(text) AS t")
+    at = "exists(array(6, 10, 16), c -> shiftright(xxhash64(c, substring(t, at + 1, c)), 20) = key)"
+    got = k.join(t, "id").selectExpr("id", "at IS NULL AS anywhere", f"at IS NULL OR {at} AS good").collect()
+    assert all(r.good for r in got) and {r.id for r in got if not r.anywhere} >= {r[0] for r in rows if 20 <= len(r[1]) and r[0] != 60}
+    assert any(r.anywhere for r in got if r.id == 60)
+
+
+def test_passages_at_unrelated_places_are_no_candidates(spark):
+    from riskframe.llm import lines
+    rng = random.Random(3)
+    shared = words(rng, 25, 10 ** 6)
+    for n in (3, 20):                           # rare keys, busy keys
+        rows = [(i, f"{shared} {words(rng, 35, 10 ** 6)}" if i < n else f"{words(rng, 35, 10 ** 6)} {shared}", "s") for i in range(2 * n)]
+        x = lines.keyed(docs(spark, rows), "doc_id", "text", 0.8).withColumn("lid", F.col("id"))
+        pairs, buckets = lines._by_keys(x, 0.8)
+        assert all((r.a < n) == (r.b < n) for r in pairs.collect())
+        if n == 3:
+            assert pairs.count()
+        else:
+            assert {(r.lid < n) == (r.hub < n) for r in buckets.collect()} == {True, False}
+            assert not buckets.where(f"(lid < {n}) <> (hub < {n}) AND " + " AND ".join(
+                lines._fits(a, f"hub_{a}", "len", "hub_len", 0.8) for a in ("at", "at2"))).count()
+
+
+def test_workers_give_memory_back(monkeypatch):
+    from riskframe.llm import common
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert list(common.lean(lambda batches: (2 * x for x in batches))(iter([1, 2]))) == [2, 4] and given == [1]
+    monkeypatch.undo()
+    common.give_back()
+
+
 def test_line_dedup_returns_every_row(spark):
     from riskframe.llm import lines
     rows = [(None, None, "a"), (None, None, "b"), (None, "", "a"), (None, "", "b"), (1, "--", "a"), (1, "--", "b"), (2, "some words\n--\nanother line entirely", "a"),
