@@ -413,3 +413,48 @@ def test_batched_edit_check_equals_brute_force():
     pairs = [pair(rng.randrange(560, 640), "abcdefgh ") for _ in range(300)]
     room = [int(max(map(len, p)) * 0.2) for p in pairs]
     assert edits.near([p[0] for p in pairs], [p[1] for p in pairs], room).tolist() == [edits.within(*p, r) for p, r in zip(pairs, room)]
+
+
+def test_edit_check_when_wide_pairs_leave_early():
+    """Unrelated pairs with wide rooms leave a group; the others' narrower band must not miss columns."""
+    from riskframe.llm import edits
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    pairs, room = [], []
+    for k in range(160):
+        if k % 4:
+            n = rng.randrange(500, 512)
+            pairs.append((f"x{text(n)}x", f"y{text(n)}y"))
+            room.append(135)
+        else:                                   # the path runs 50 rows below the diagonal
+            x = text(450)
+            pairs.append((f"x{text(50)}{x}x", f"y{x}{text(50)}y"))
+            room.append(104 + rng.randrange(10))
+    want = [edits.within(*p, r) for p, r in zip(pairs, room)]
+    assert sum(want) == 40 and edits.near([p[0] for p in pairs], [p[1] for p in pairs], room).tolist() == want
+
+
+def test_letters_never_ask_for_more_edits_than_needed():
+    from riskframe.llm import edits
+    rng = random.Random(2)
+    a = ["".join(rng.choice("abcé日 ") for _ in range(rng.randrange(1, 30))) for _ in range(200)]
+    b = [x[rng.randrange(len(x)):] + rng.choice(["", "z", "日本"]) for x in a]
+    least = edits.letters_differ(a, b).tolist()
+    assert all(n <= edit_distance(x, y) for n, x, y in zip(least, a, b)) and max(least) > 5
+    assert edits.letters_differ(["aab"], ["bcc"]).tolist() == [2]
+
+
+def test_lines_of_one_group_are_not_compared_again(spark, monkeypatch):
+    """Near copies that are far from their bucket's hub meet one of them, not each other."""
+    from riskframe.llm import lines
+    rng = random.Random(4)
+    shared = words(rng, 12, 10 ** 6)
+    long, short = f"{shared} {words(rng, 40, 10 ** 6)}", f"{shared} {words(rng, 12, 10 ** 6)}"
+    n = 60
+    rows = [(i, f"{long if i < n else short} q{i:03}", "s") for i in range(2 * n)]
+    sent = []
+    similar = lines._similar
+    monkeypatch.setattr(lines, "_similar", lambda e, *a: sent.append(e.count()) or similar(e, *a))
+    got = {r.doc_id for r in lines.dedup_lines(docs(spark, rows), max_distance=None, removed_col="gone").collect() if r.gone}
+    assert got == set(range(2 * n)) - {0, n}
+    assert sum(sent) < 10 * n                   # every pair of the short ones: 1,770
